@@ -300,6 +300,7 @@ class TemporalFrame:
             nesting=tuple(n for n in m.nesting if column not in (n.child, n.parent)),
             groups=tuple(g for g in m.groups if g != column),
             dense=m.dense and m.shared_span,
+            max_rows=m.max_rows if column not in m.key else None,
         )
 
     def nest(self, by: list[str], name: str = "data", part_rows: int | None = None) -> DataFrame:

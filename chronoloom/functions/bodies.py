@@ -7,7 +7,7 @@ the answer rebuilt per row from the block totals before it. The other forms are:
 
 * ``aggregate(fn)``: columns in, one Spark aggregate out (slide and tile);
 * ``on_list(fn)``: the window as an ordered array column in, any column expression out;
-* ``opaque(fn)``: a Python function of pandas Series, sent over Arrow.
+* ``opaque(fn)``: a Python function of numpy arrays, sent over Arrow.
 """
 
 from __future__ import annotations
@@ -38,7 +38,7 @@ class Part:
 class Accumulator:
     parts: Mapping[str, Part]
     finish: Callable[[Mapping[str, Column]], Column]
-    native: Callable[..., Column] | None = None
+    native: Callable[..., Column] | None = None  # (over, *inputs): aggregates wrapped in ``over``
     strict: bool = True
     centred: bool = False
 
@@ -127,6 +127,17 @@ def _correlation(p: Mapping[str, Column]) -> Column:
     return F.when((p["ok"] > 1) & varies, xy / F.sqrt(xx * yy))
 
 
+def _plain(aggregate_fn: Callable[..., Column]) -> Callable[..., Column]:
+    return lambda over, *cols: over(aggregate_fn(*cols))
+
+
+def _native_correlation(over: Callable[[Column], Column], x: Column, y: Column) -> Column:
+    """From covariance and deviations: Spark's own corr fails on a window of constant values."""
+    both = x.isNotNull() & y.isNotNull()
+    spread = over(F.stddev_samp(F.when(both, x))) * over(F.stddev_samp(F.when(both, y)))
+    return F.when(spread > 0, over(F.covar_samp(x, y)) / spread)
+
+
 def _two(**more: Part) -> dict[str, Part]:
     return {"ok": _OK, "x": Part(_double(0), "sum"), "y": Part(_double(1), "sum"), "xy": Part(_power(0, 1), "sum"), **more}
 
@@ -134,16 +145,16 @@ def _two(**more: Part) -> dict[str, Part]:
 _SPREAD_PARTS = {"ok": _OK, "s": Part(_double(0), "sum"), "q": Part(_power(0, 0), "sum")}
 
 NAMED: dict[str, Accumulator] = {
-    "sum": Accumulator({"s": Part(_x, "sum")}, lambda p: p["s"], F.sum),
+    "sum": Accumulator({"s": Part(_x, "sum")}, lambda p: p["s"], _plain(F.sum)),
     "mean": Accumulator(
-        {"ok": _OK, "s": Part(_x, "sum")}, lambda p: F.when(p["ok"] > 0, p["s"].cast("double") / p["ok"]), F.avg
+        {"ok": _OK, "s": Part(_x, "sum")}, lambda p: F.when(p["ok"] > 0, p["s"].cast("double") / p["ok"]), _plain(F.avg)
     ),
-    "min": Accumulator({"m": Part(_x, "min")}, lambda p: p["m"], F.min),
-    "max": Accumulator({"m": Part(_x, "max")}, lambda p: p["m"], F.max),
+    "min": Accumulator({"m": Part(_x, "min")}, lambda p: p["m"], _plain(F.min)),
+    "max": Accumulator({"m": Part(_x, "max")}, lambda p: p["m"], _plain(F.max)),
     "length": Accumulator(
         {"n": Part(lambda cols, o: F.lit(1).cast("bigint"), "sum")},
         lambda p: p["n"],
-        lambda *cols: F.count(F.lit(1)),
+        lambda over, *cols: over(F.count(F.lit(1))),
         strict=False,
     ),
     "first": Accumulator({"e": Part(_at, "min")}, lambda p: p["e"]["x"], strict=False),
@@ -158,13 +169,13 @@ NAMED: dict[str, Accumulator] = {
         lambda p: F.when(~p["t"], False).when(~p["u"], True),
         strict=False,
     ),
-    "var": Accumulator(_SPREAD_PARTS, _spread, F.var_samp, centred=True),
+    "var": Accumulator(_SPREAD_PARTS, _spread, _plain(F.var_samp), centred=True),
     "sd": Accumulator(
-        _SPREAD_PARTS, lambda p: F.sqrt(_spread(p)), F.stddev_samp, centred=True
+        _SPREAD_PARTS, lambda p: F.sqrt(_spread(p)), _plain(F.stddev_samp), centred=True
     ),
-    "cov": Accumulator(_two(), _covariance, F.covar_samp, centred=True),
+    "cov": Accumulator(_two(), _covariance, _plain(F.covar_samp), centred=True),
     "cor": Accumulator(
-        _two(xx=Part(_power(0, 0), "sum"), yy=Part(_power(1, 1), "sum")), _correlation, centred=True
+        _two(xx=Part(_power(0, 0), "sum"), yy=Part(_power(1, 1), "sum")), _correlation, _native_correlation, centred=True
     ),
 }
 

@@ -29,6 +29,8 @@ DAYS = {"day": 1, "week": 7}
 
 def floordiv(value: Column, divisor: int | Column) -> Column:
     """Integer division rounding down, exact for 64-bit values before and after the epoch."""
+    if isinstance(divisor, int) and divisor == 1:
+        return value
     d = F.lit(divisor) if isinstance(divisor, int) else divisor
     return F.call_function("div", value - F.pmod(value, d), d)
 

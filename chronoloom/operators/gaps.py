@@ -105,7 +105,9 @@ def fill_na(
     out = df.select(*columns)
     if m.index_by:
         out = out.withColumn(m.index_by[0], m.index_by[1].column())
-    return tf.with_(out, dense=True, shared_span=full or m.shared_span, costly=placed.blocked or m.costly)
+    return tf.with_(
+        out, dense=True, shared_span=full or m.shared_span, costly=placed.blocked or m.costly, max_rows=None
+    )
 
 
 def count_gaps(tf: "TemporalFrame", full: bool = False) -> DataFrame:
@@ -119,7 +121,13 @@ def count_gaps(tf: "TemporalFrame", full: bool = False) -> DataFrame:
     index_type = tf.df.schema[m.index].dataType
     by = list(m.groups) or list(m.key)
     seen = tf.with_(
-        tf.df.select(*by, m.index).distinct(), key=tuple(by), nesting=(), groups=(), index_by=None, dense=False
+        tf.df.select(*by, m.index).distinct(),
+        key=tuple(by),
+        nesting=(),
+        groups=(),
+        index_by=None,
+        dense=False,
+        max_rows=m.max_rows if set(m.key) <= set(by) else None,
     )
     df = L.neighbours(L.place(seen), previous=full)
     at = lambda o: tf.axis.value(o, index_type)

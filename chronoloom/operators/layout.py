@@ -28,7 +28,7 @@ second blocked operation on it first writes it to the shared folder.
 from __future__ import annotations
 
 from collections.abc import Mapping
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
@@ -62,6 +62,7 @@ class Placed:
 
     df: DataFrame
     key: tuple[str, ...]
+    index: str
     blocked: bool
     layout: Layout
 
@@ -69,6 +70,11 @@ class Placed:
     def by(self) -> list[str]:
         return [*self.key, C] if self.blocked else list(self.key)
 
+    @property
+    def order(self) -> Column:
+        """The index itself where that is all there is to sort, so that chained windows share a sort."""
+        return F.col(O) if self.blocked else F.col(self.index)
+
 
 def mode_of(tf: "TemporalFrame") -> str:
     meta = tf.meta
@@ -101,7 +107,7 @@ def place(tf: "TemporalFrame") -> Placed:
     meta, axis = tf.meta, tf.axis
     df = tf.df.withColumn(O, axis.ordinal(F.col(meta.index)))
     if mode == "short":
-        return Placed(df, meta.key, False, meta.layout)
+        return Placed(df, meta.key, meta.index, False, meta.layout)
     if meta.interval is not None:
         width = meta.layout.block * axis.step(meta.interval)
     else:
@@ -112,7 +118,7 @@ def place(tf: "TemporalFrame") -> Placed:
         block = F.when(F.col(HOT), block).otherwise(F.lit(0).cast("bigint"))
     else:
         df = df.withColumn(HOT, F.lit(True))
-    return Placed(df.withColumn(C, block), meta.key, True, meta.layout)
+    return Placed(df.withColumn(C, block), meta.key, meta.index, True, meta.layout)
 
 
 def _merge(name: str, combine: str) -> Column:
@@ -150,7 +156,7 @@ def running(placed: Placed, parts: Mapping[str, tuple[Column, str]]) -> DataFram
         df = df.withColumn(MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
         order = [F.col(MARK), F.col(O)]
     else:
-        order = [F.col(O)]
+        order = [placed.order]
     spec = Window.partitionBy(*placed.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     kept = [c for c in df.columns if c not in combines]
     out = df.select(*kept, *[_over(n, c, spec).alias(n) for n, c in combines.items()])
@@ -172,7 +178,7 @@ def neighbours(placed: Placed, previous: bool = False) -> DataFrame:
         df = df.withColumn(MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
         order = [F.col(MARK), F.col(O)]
     else:
-        order = [F.col(O)]
+        order = [placed.order]
     spec = Window.partitionBy(*placed.by).orderBy(*order)
     look = {NEXT: F.lead(O).over(spec), PREV: F.lag(O).over(spec)}
     out = df.select("*", *[look[name].alias(name) for name in wanted])
@@ -183,11 +189,11 @@ def positions(tf: "TemporalFrame") -> Placed:
     """Add ``__p``, the exact 0-based position of a row in its series."""
     placed = place(tf)
     if not placed.blocked:
-        spec = Window.partitionBy(*placed.by).orderBy(O)
+        spec = Window.partitionBy(*placed.by).orderBy(placed.order)
         df = placed.df.withColumn(P, (F.row_number().over(spec) - 1).cast("bigint"))
     else:
         df = running(placed, {P: (F.lit(1).cast("bigint"), "sum")}).withColumn(P, F.col(P) - 1)
-    return Placed(df, placed.key, placed.blocked, placed.layout)
+    return replace(placed, df=df)
 
 
 HOME, COPY = "__home", "__copy"

@@ -7,6 +7,7 @@ from typing import TYPE_CHECKING
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import layout as L
 
@@ -15,8 +16,8 @@ if TYPE_CHECKING:
 
 HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi": "left_semi", "anti": "left_anti"}
 
-# Above this many leading rows a slice is cut by position instead of by a limit in one task.
-LIMIT_ROWS = 100_000
+# A limit keeps this many rows of every task and merges them in one; longer cuts go by position.
+LIMIT_ROWS = 2_000
 
 
 def join(left: DataFrame, right: DataFrame, on: list[str], how: str, na_matches: str = "na") -> DataFrame:
@@ -57,7 +58,8 @@ def temporal_join(
     right = other if isinstance(other, DataFrame) else other.df
     df = join(tf.df, right, on, how, na_matches)
     kept = how == "left"
-    out = tf.with_(df, dense=tf.meta.dense and kept, shared_span=tf.meta.shared_span and kept)
+    bound = None if how in ("right", "full") else tf.meta.max_rows
+    out = tf.with_(df, dense=tf.meta.dense and kept, shared_span=tf.meta.shared_span and kept, max_rows=bound)
     if validate and how not in ("semi", "anti") and not duplicates(out).isEmpty():
         raise ValueError("after the join key and index no longer identify a row")
     return out
@@ -74,18 +76,26 @@ def sort_columns(order) -> list[Column]:
 
 def top_k(df: DataFrame, by: str, k: int, ties: list[str]) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ties are broken by name, so the result is one only."""
-    return df.orderBy(desc(by), *sort_columns(ties)).limit(k)
+    order = [desc(by), *sort_columns(ties)]
+    if k <= LIMIT_ROWS:
+        return df.orderBy(*order).limit(k)
+    return global_positions(df, order, L.P).where(F.col(L.P) < k).select(*df.columns)
 
 
 def global_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the exact 0-based position of every row in a total order, in parallel.
 
     The sorted table is checkpointed, which fixes its partitions; each partition's size then gives the
-    offset of the next. Only those sizes (one row per partition) are broadcast.
+    offset of the next. Only those sizes (one row per partition) are broadcast. Rows that tie are ordered
+    by a hash, and equal rows by chance, so a value that fills a third of the table spreads over many
+    partitions like any other.
     """
     from ..sources.storage import checkpointed
 
-    fixed = checkpointed(df.orderBy(*order)).withColumn("__id", F.monotonically_increasing_id())
+    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
+    ties = {"__hash": F.xxhash64(*hashed), "__chance": F.rand(0)}
+    sorted_ = df.withColumns(ties).orderBy(*order, *ties)
+    fixed = checkpointed(sorted_).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftrightunsigned(F.col("__id"), 33)
     fixed = fixed.withColumn("__part", part)
     sizes = fixed.groupBy("__part").agg(F.count(F.lit(1)).alias("__n"))

@@ -44,14 +44,20 @@ def nest(tf: "TemporalFrame", by: list[str], name: str = "data", part_rows: int
 
     A group becomes one value. Where groups have no natural bound, ``part_rows`` splits them: every
     group then has as many rows as needed, numbered by ``part``, and ``unnest`` restores all of them.
+    Parts of a series are consecutive; parts of any other group are drawn by a hash of key and index.
     """
     m = tf.meta
     df, keys = tf.df, list(by)
     if part_rows is not None:
-        if set(by) != set(m.key):
-            raise ValueError("part_rows needs the nested groups to be the series")
-        df = L.positions(tf).df.withColumn("part", L.floordiv(F.col(L.P), part_rows))
         keys.append("part")
+        if set(by) == set(m.key):
+            df = L.positions(tf).df.withColumn("part", L.floordiv(F.col(L.P), part_rows))
+        else:
+            names = {c: f"__g{i}" for i, c in enumerate(by)}
+            sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed(names)
+            df = df.join(sizes, [df[c].eqNullSafe(sizes[g]) for c, g in names.items()], "inner")
+            parts = L.floordiv(F.col("__n") + (part_rows - 1), part_rows)
+            df = df.withColumn("part", F.pmod(F.xxhash64(*m.key, m.index), parts))
     inner = [m.index, *[c for c in tf.df.columns if c not in by and c != m.index]]
     rows = F.array_sort(F.collect_list(F.struct(*inner)))
     return df.groupBy(*keys).agg(rows.alias(name))

@@ -33,6 +33,7 @@ def summarise(tf: "TemporalFrame", **aggregates: Column) -> "TemporalFrame":
         groups=m.groups[:-1],
         index_by=None,
         dense=m.dense and (m.shared_span or whole_series),
+        max_rows=m.max_rows if whole_series else None,
     )
 
 

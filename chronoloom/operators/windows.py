@@ -16,10 +16,12 @@ from dataclasses import dataclass
 from functools import reduce
 from typing import TYPE_CHECKING
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions.bodies import COMBINE, Accumulator, Aggregate, Body, OnList, Opaque, resolve
 from ..functions.calendar import Interval, Period
@@ -87,30 +89,33 @@ def _window_list(inputs: list[Column], names: tuple[str, ...], spec) -> Column:
     return _pluck(rows, names)
 
 
+def _arrays(columns: tuple[pa.Array, ...]) -> list[np.ndarray]:
+    return [c.to_numpy(zero_copy_only=False) for c in columns]
+
+
 def _grouped_udf(body: Opaque, wanted: int):
+    """The opaque function as an aggregate over a frame; frames arrive as slices of one Arrow batch."""
     fn = body.fn
 
-    def call(*series: pd.Series) -> float:  # the hint only says "a scalar"; the type is body.returns
-        return fn(*series) if len(series[0]) >= wanted else None
+    def call(*columns: pa.Array) -> float:  # the hint only says "a scalar"; the type is body.returns
+        return fn(*_arrays(columns)) if len(columns[0]) >= wanted else None
 
-    return F.pandas_udf(call, body.returns)
+    return F.arrow_udf(call, body.returns)
 
 
 def _list_udf(body: Opaque, names: tuple[str, ...]):
     """The opaque function over windows that were already collected into arrays."""
-    fn, single = body.fn, len(names) == 1
+    fn, single, returns = body.fn, len(names) == 1, to_arrow_type(T.DataType.fromDDL(body.returns))
 
-    def each(windows: pd.Series) -> pd.Series:
-        def one(w):
-            if w is None:
-                return None
-            if single:
-                return fn(pd.Series(list(w)))
-            return fn(*[pd.Series([r[n] for r in w]) for n in names])
+    def each(windows: pa.Array) -> pa.Array:
+        def one(i: int):
+            rows = windows[i].values
+            return fn(*_arrays((rows,) if single else tuple(rows.field(n) for n in names)))
 
-        return windows.map(one)
+        out = [one(i) if windows[i].is_valid else None for i in range(len(windows))]
+        return pa.array(out, type=returns)
 
-    return F.pandas_udf(each, body.returns)
+    return F.arrow_udf(each, body.returns)
 
 
 def apply_windows(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
@@ -127,7 +132,7 @@ def apply_windows(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "Temp
 
 def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
     placed = L.place(tf)
-    df, by, order = placed.df, placed.by, L.O
+    df, by, order = placed.df, placed.by, placed.order
     if placed.blocked:
         if tf.meta.dense:
             step = tf.axis.step(tf.require_interval())
@@ -136,17 +141,17 @@ def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFra
         else:
             placed = L.positions(tf)
         df, by = L.halo(placed, max(c.size for c in calls.values()))
-        order = L.P
+        order = F.col(L.P)
     df = _pivoted(df, tf.df, calls)
     for name, call in calls.items():
         df = _slide_column(df, by, order, name, call)
-    if order == L.P:
+    if placed.blocked:
         df = df.where(F.col(L.COPY) == F.col(L.HOME))
     kept = [c for c in tf.df.columns if c not in calls]
     return tf.with_(df.select(*kept, *calls), costly=placed.blocked or tf.meta.costly)
 
 
-def _slide_column(df: DataFrame, by: list[str], order: str, name: str, call: WindowCall) -> DataFrame:
+def _slide_column(df: DataFrame, by: list[str], order: Column, name: str, call: WindowCall) -> DataFrame:
     n, body, cols = call.size, call.body, call.inputs
     ordered = Window.partitionBy(*by).orderBy(order)
     frame = ordered.rowsBetween(-(n - 1), 0)
@@ -159,7 +164,7 @@ def _slide_column(df: DataFrame, by: list[str], order: str, name: str, call: Win
     elif isinstance(body, Aggregate):
         value = body.fn(*cols).over(frame)
     elif body.native is not None and (n <= WIDE or body.centred):
-        value = body.native(*cols).over(frame)
+        value = body.native(lambda a: a.over(frame), *cols)
     else:
         df, value = _slide_parts(df, ordered, frame, name, call)
     if isinstance(body, Accumulator) and body.strict and not call.na_rm and _nullable(df, call):
@@ -252,7 +257,7 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
         finish[name] = value
     df = L.running(placed, parts)
     if whole:
-        spec = Window.partitionBy(*placed.by).orderBy(L.O).rowsBetween(Window.unboundedPreceding, 0)
+        spec = Window.partitionBy(*placed.by).orderBy(placed.order).rowsBetween(Window.unboundedPreceding, 0)
         finish |= {name: call.body.fn(*call.inputs).over(spec) for name, call in whole.items()}
     for name, call in calls.items():
         value = finish[name]
@@ -275,7 +280,7 @@ def _tile_value(df: DataFrame, call: WindowCall) -> Column:
     if isinstance(body, Aggregate):
         return body.fn(*cols)
     if body.native is not None:
-        value = body.native(*cols)
+        value = body.native(lambda a: a, *cols)
     else:
         inputs = _inputs(call)
         value = body.finish(

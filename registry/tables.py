@@ -340,6 +340,12 @@ def nest_unnest(spark, sf_dir):
     return cl.unnest(nested).select("date", "channel", "category", "service", "volume", "value")
 
 
+@query(f"WITH {DAILY} SELECT {day('date')}, channel, category, service, volume, value FROM daily")
+def nest_groups(spark, sf_dir):
+    nested = star.enquiries(spark, sf_dir).nest(["category"], part_rows=500)
+    return cl.unnest(nested).select("date", "channel", "category", "service", "volume", "value")
+
+
 TREE = """'{"name":"World","children":[' || string_agg(
              '{"name":"' || category || '","children":[' || leaves || ']}', ',' ORDER BY (category = 'ASIA')::INT, category)
            || ']}'"""
