@@ -38,7 +38,7 @@ OUT_TYPES: dict[str, tuple[str, tuple[type, ...]]] = {
     "chr": ("string", (T.StringType, T.NumericType, T.BooleanType, T.DateType, T.TimestampNTZType)),
 }
 
-# Windows wider than this get integer sums from a difference of running sums instead of re-adding.
+# Spark re-aggregates a sliding frame for every row; above this size windows are put together from runs.
 WIDE = 64
 
 
@@ -163,38 +163,61 @@ def _slide_column(df: DataFrame, by: list[str], order: Column, name: str, call:
         value = body.fn(_window_list(cols, call.columns, frame))
     elif isinstance(body, Aggregate):
         value = body.fn(*cols).over(frame)
-    elif body.native is not None and (n <= WIDE or body.centred):
-        value = body.native(lambda a: a.over(frame), *cols)
     else:
-        df, value = _slide_parts(df, ordered, frame, name, call)
-    if isinstance(body, Accumulator) and body.strict and not call.na_rm and _nullable(df, call):
-        known = F.count(F.when(_known(cols), 1)).over(frame)
-        value = F.when(known == F.least(seen, F.lit(n)), value)
+        strict = body.strict and not call.na_rm and _nullable(df, call)
+        known = F.when(_known(cols), 1).otherwise(0).cast("bigint")
+        if body.native is not None and n <= WIDE:
+            value, known = body.native(lambda a: a.over(frame), *cols), F.sum(known).over(frame)
+        else:
+            parts = {p: (part.value(_inputs(call), F.col(L.O)), part.combine) for p, part in body.parts.items()}
+            parts |= {"__known": (known, "sum")} if strict else {}
+            df, merged = _slide_parts(df, by, order, frame, f"__{name}", parts, n)
+            value, known = body.finish(merged), merged.get("__known")
+        if strict:
+            value = F.when(known == F.least(seen, F.lit(n)), value)
     if not call.partial:
         value = F.when(seen >= n, value)
     return _typed(df.withColumn(name, value), name, call.out_type)
 
 
-def _slide_parts(df: DataFrame, ordered, frame, name: str, call: WindowCall) -> tuple[DataFrame, Column]:
-    """A window from its parts; integer sums of wide windows cost the same for every window size."""
-    body, inputs = call.body, _inputs(call)
-    values = {f"__{name}_{p}": part.value(inputs, F.col(L.O)) for p, part in body.parts.items()}
-    df = df.withColumns(values)
-    upto = ordered.rowsBetween(Window.unboundedPreceding, 0)
-    out, sums = {}, {}
-    for p, part in body.parts.items():
-        v = f"__{name}_{p}"
-        if part.combine == "sum" and call.size > WIDE and isinstance(df.schema[v].dataType, T.IntegralType):
-            sums[f"{v}_upto"] = F.sum(F.coalesce(F.col(v), F.lit(0))).over(upto)
-            out[p] = (v, f"{v}_upto")
-        else:
-            out[p] = L._over(v, part.combine, frame)
-    df = df.withColumns(sums)
-    for p, made in out.items():
-        if isinstance(made, tuple):
-            upto_now = F.col(made[1])
-            out[p] = upto_now - F.coalesce(F.lag(upto_now, call.size).over(ordered), F.lit(0))
-    return df, body.finish(out)
+_MERGE = {
+    "sum": lambda a, b: F.coalesce(a + b, a, b),
+    "min": lambda a, b: F.least(a, b),
+    "max": lambda a, b: F.greatest(a, b),
+}
+
+
+def _slide_parts(
+    df: DataFrame, by: list[str], order: Column, frame, prefix: str, parts: Mapping[str, tuple[Column, str]], n: int
+) -> tuple[DataFrame, dict[str, Column]]:
+    """The parts of a slide, combined over the window.
+
+    A wide window costs the same per row as a narrow one: rows are counted off in runs of ``n``, so a
+    window is the tail of one run and the head of the next. Heads and tails are running aggregates, and
+    nothing is subtracted, so this is exact for sums, minima and maxima of any type.
+    """
+    df = df.withColumns({f"{prefix}_{p}": value for p, (value, _) in parts.items()})
+    wide = {f"{prefix}_{p}": c for p, (_, c) in parts.items() if n > WIDE and c in _MERGE}
+    out = {p: L._over(f"{prefix}_{p}", c, frame) for p, (_, c) in parts.items() if f"{prefix}_{p}" not in wide}
+    if not wide:
+        return df, out
+    ordered = Window.partitionBy(*by).orderBy(order)
+    at, run = f"{prefix}_at", f"{prefix}_run"
+    df = df.withColumn(at, F.row_number().over(ordered) - 1).withColumn(run, L.floordiv(F.col(at), n))
+    upto = (Window.unboundedPreceding, 0)
+    head = Window.partitionBy(*by, run).orderBy(order).rowsBetween(*upto)
+    tail = Window.partitionBy(*by, run).orderBy(order.desc()).rowsBetween(*upto)
+    df = df.withColumns({f"{v}_tail": L._over(v, c, tail) for v, c in wide.items()})
+    df = df.withColumns({f"{v}_head": L._over(v, c, head) for v, c in wide.items()})
+    df = df.withColumns({f"{v}_tail": F.lag(f"{v}_tail", n - 1).over(ordered) for v in wide})
+    # The first windows, and those that are a whole run, are covered by their head alone.
+    alone = (F.col(at) < n) | (F.pmod(F.col(at), F.lit(n)) == n - 1)
+    for p, (_, c) in parts.items():
+        v = f"{prefix}_{p}"
+        if v in wide:
+            both = _MERGE[c](F.col(f"{v}_tail"), F.col(f"{v}_head"))
+            out[p] = F.when(alone, F.col(f"{v}_head")).otherwise(both)
+    return df, out
 
 
 PIVOT = "__pivot"
@@ -211,7 +234,9 @@ def _pivoted(df: DataFrame, base: DataFrame, calls: Mapping[str, WindowCall]) ->
 
 def _centred(call: WindowCall) -> bool:
     body = call.body
-    return isinstance(body, Accumulator) and body.centred and (call.kind == "stretch" or body.native is None)
+    if not isinstance(body, Accumulator) or not body.centred:
+        return False
+    return call.kind == "stretch" or body.native is None or (call.kind == "slide" and call.size > WIDE)
 
 
 def _inputs(call: WindowCall) -> list[Column]:

@@ -8,10 +8,10 @@ from pyspark.sql import types as T
 import chronoloom as cl
 from chronoloom.operators.relational import global_positions, sort_columns
 from chronoloom.plans import star
-from chronoloom.plans.analysis import monthly
+from chronoloom.plans.analysis import annual
 from chronoloom.plans.etl import RAW_SCHEMA, clean
 
-from .base import DAILY, FILLED0, MONTHLY, ORDERS, SERIES, TOTAL, day, query
+from .base import DAILY, FILLED0, ORDERS, SERIES, TOTAL, day, query
 
 # -- sources and sinks ------------------------------------------------------------------------------
 
@@ -124,6 +124,11 @@ def select(spark, sf_dir):
     return star.enquiries(spark, sf_dir).select("volume").df
 
 
+@query(f"WITH {DAILY} SELECT DISTINCT category FROM daily")
+def pull(spark, sf_dir):
+    return star.enquiries(spark, sf_dir).pull("category").distinct()
+
+
 @query(f"WITH {TOTAL} SELECT {day('date')}, ttl_volume, '-Infinity'::DOUBLE AS ymin, 'Infinity'::DOUBLE AS ymax FROM total")
 def constant_columns(spark, sf_dir):
     tf = star.total(spark, sf_dir).select("ttl_volume")
@@ -303,8 +308,6 @@ def spread(spark, sf_dir):
     FROM filled0 GROUP BY 1, 2, 3"""
 )
 def spread_fill(spark, sf_dir):
-    from chronoloom.plans.analysis import annual
-
     per_year = annual(star.filled(spark, sf_dir, volume=0, value=0), ("service", "category", "channel"))
     return per_year.spread("channel", "annual_volume", SEGMENTS, fill=0).df
 

@@ -256,13 +256,13 @@ def quarterly(spark, sf_dir):
     return tf.index_by(quarter=cl.yearquarter("date")).summarise(volume=F.sum("volume")).df
 
 
-@query(f"WITH {ANNUAL} SELECT channel, category, year, annual_volume FROM annual")
-def annual_volume(spark, sf_dir):
+@query(f"WITH {ANNUAL} SELECT channel, category, year, annual_volume FROM annual", name="annual")
+def annual_(spark, sf_dir):
     return annual(star.filled(spark, sf_dir, volume=0, value=0)).df
 
 
-@query(f"WITH {MONTHLY} SELECT channel, category, {day('yearmth')}, monthly_volume FROM monthly")
-def monthly_volume(spark, sf_dir):
+@query(f"WITH {MONTHLY} SELECT channel, category, {day('yearmth')}, monthly_volume FROM monthly", name="monthly")
+def monthly_(spark, sf_dir):
     return monthly(star.filled(spark, sf_dir, volume=0, value=0)).df
 
 

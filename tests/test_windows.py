@@ -129,6 +129,29 @@ def test_opaque_is_called_on_full_windows_only(small):
     assert column(small, fam["slide_dbl"]("y", cl.opaque(strict), size=3)) == [None, None, 3.0, 6.0, 9.0]
 
 
+def test_wide_windows_equal_frames(spark, monkeypatch):
+    from chronoloom.operators import windows
+
+    df = series(spark, 5, 3, 90).cache()
+    tf = cl.as_temporal(df, "t", ["k"], interval=None, validate=False, max_rows=1000)
+
+    def wide(partial):
+        return tf.transmute(
+            s=fam["slide"]("x", "sum", size=7, partial=partial),
+            r=fam["slide"]("x", "sum", size=7, partial=partial, na_rm=True),
+            m=fam["slide"]("y", "mean", size=10, partial=partial),
+            lo=fam["slide"]("y", "min", size=13, partial=partial),
+            hi=fam["slide"]("x", "max", size=4, partial=partial, na_rm=True),
+            sd=fam["slide"]("y", "sd", size=9, partial=partial),
+            c=fam["slide2"]("x", "y", "cor", size=11, partial=partial, na_rm=True),
+            f=fam["slide"]("x", "first", size=6, partial=partial),
+        ).df
+
+    plain = [collected(wide(False)), collected(wide(True))]
+    monkeypatch.setattr(windows, "WIDE", 2)
+    assert [collected(wide(False)), collected(wide(True))] == plain
+
+
 def test_any_and_all_with_unknown(small):
     tf = small.mutate(p=F.col("x") > 4)
     assert column(tf, fam["slide_lgl"]("p", "any", size=2)) == [None, None, True, True, True]
