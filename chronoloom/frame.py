@@ -87,7 +87,8 @@ class TemporalFrame:
 
     @property
     def axis(self) -> Axis:
-        return Axis.of(self.df.schema[self.meta.index].dataType, self.meta.interval)
+        zone = self.df.sparkSession.conf.get("spark.sql.session.timeZone")
+        return Axis.of(self.df.schema[self.meta.index].dataType, self.meta.interval, zone)
 
     @property
     def measures(self) -> list[str]:

@@ -23,6 +23,7 @@ MICROS = {
     "day": 86_400_000_000,
     "week": 7 * 86_400_000_000,
 }
+UTC = ("UTC", "Etc/UTC", "GMT", "Z", "+00:00")
 MONTHS = {"month": 1, "quarter": 3, "year": 12}
 DAYS = {"day": 1, "week": 7}
 
@@ -49,13 +50,17 @@ class Interval:
 
 @dataclass(frozen=True)
 class Axis:
-    """How one index column maps to ordinals. ``kind`` is date, timestamp, timestamp_ntz or int."""
+    """How one index column maps to ordinals. ``kind`` is date, timestamp, timestamp_ntz or int.
+
+    ``utc`` says that the session's zone is UTC, where wall-clock time and instants are the same number.
+    """
 
     kind: str
     unit: str
+    utc: bool = False
 
     @classmethod
-    def of(cls, data_type: T.DataType, interval: Interval | None) -> "Axis":
+    def of(cls, data_type: T.DataType, interval: Interval | None, zone: str = "") -> "Axis":
         if isinstance(data_type, T.DateType):
             unit = interval.unit if interval else "day"
             if unit not in DAYS and unit not in MONTHS:
@@ -66,7 +71,7 @@ class Axis:
             unit = interval.unit if interval else "microsecond"
             if unit not in MICROS and unit not in MONTHS:
                 raise ValueError(f"a timestamp index cannot have an interval in {unit}s")
-            return cls(kind, unit)
+            return cls(kind, unit, zone in UTC)
         if isinstance(data_type, T.IntegralType):
             return cls("int", interval.unit if interval else "unit")
         raise TypeError(f"{data_type.simpleString()} cannot be a time index")
@@ -80,6 +85,8 @@ class Axis:
             return F.unix_date(c).cast("bigint")
         if self.kind == "timestamp":
             return F.unix_micros(c)
+        if self.utc:
+            return F.unix_micros(c.cast("timestamp"))
         # Wall-clock fields only, so the session time zone never enters.
         day = F.unix_date(c.cast("date")).cast("bigint") * MICROS["day"]
         second = (F.call_function("date_part", F.lit("SECOND"), c) * 1_000_000).cast("bigint")
@@ -103,6 +110,8 @@ class Axis:
             return F.date_from_unix_date(o.cast("int"))
         if self.kind == "timestamp":
             return F.timestamp_micros(o)
+        if self.utc:
+            return F.timestamp_micros(o).cast("timestamp_ntz")
         seconds = (o.cast("decimal(20,0)") / F.lit(1_000_000)).cast("decimal(18,6)")
         epoch = F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")
         return epoch + F.make_dt_interval(F.lit(0), F.lit(0), F.lit(0), seconds)

@@ -62,32 +62,52 @@ def broken_nesting(tf: TemporalFrame) -> DataFrame:
 
 
 def _gcd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce a column of distances to their greatest common divisor."""
     common = 0
     for batch in batches:
         steps = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
         if len(steps):
             common = int(np.gcd(common, np.gcd.reduce(steps)))
-    yield pa.record_batch({"step": pa.array([common], pa.int64())})
+    yield pa.record_batch({"at": pa.array([None], pa.int64()), "step": pa.array([common], pa.int64())})
+
+
+def _lattice(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Reduce ordinals of one series, in any order, to one of them and the divisor of all distances to it."""
+    at, common = None, 0
+    for batch in batches:
+        ordinals = batch.column(0).drop_null().to_numpy(zero_copy_only=False)
+        if len(ordinals):
+            at = int(ordinals[0]) if at is None else at
+            common = int(np.gcd(common, np.gcd.reduce(ordinals - at)))
+    yield pa.record_batch({"at": pa.array([at], pa.int64()), "step": pa.array([common], pa.int64())})
 
 
 def interval_of(tf: TemporalFrame) -> DataFrame:
     """The interval as a one-row table ``n, unit``: the greatest common divisor of all distances
     between neighbouring observations of a series. No row if no series has two observations.
 
-    Each task reduces its distances to one number, and a last task reduces those.
+    Each task reduces its distances to one number, and a last task reduces those. A table of one series
+    needs no order, hence no shuffle: distances to any one observation have the same divisor.
     """
-    df = L.neighbours(L.place(tf)).select((F.col(L.NEXT) - F.col(L.O)).alias("step"))
-    steps = df.where(F.col("step") > 0).mapInArrow(_gcd, "step bigint")
     axis = tf.axis
+    if tf.meta.key:
+        df = L.neighbours(L.place(tf)).select((F.col(L.NEXT) - F.col(L.O)).alias("step"))
+        partial = df.where(F.col("step") > 0).mapInArrow(_gcd, "at bigint, step bigint")
+    else:
+        partial = tf.df.select(axis.ordinal(F.col(tf.meta.index)).alias("at")).mapInArrow(_lattice, "at bigint, step bigint")
 
     def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in _gcd(batches):
-            step = batch.column(0)[0].as_py()
-            if step:
-                found = axis.interval_of(step)
-                yield pa.record_batch({"n": pa.array([found.n], pa.int64()), "unit": pa.array([found.unit])})
-
-    return steps.repartition(1).mapInArrow(name, "n bigint, unit string")
+        table = pa.Table.from_batches(list(batches))  # one row per task of the step before
+        if not table.num_rows:
+            return
+        at = table.column("at").drop_null().to_numpy()
+        steps = table.column("step").to_numpy()
+        step = int(np.gcd.reduce(np.concatenate([steps, at - at[0]] if len(at) else [steps])))
+        if step:
+            found = axis.interval_of(step)
+            yield pa.record_batch({"n": pa.array([found.n], pa.int64()), "unit": pa.array([found.unit])})
+
+    return partial.repartition(1).mapInArrow(name, "n bigint, unit string")
 
 
 def detect_interval(tf: TemporalFrame) -> Interval | None:

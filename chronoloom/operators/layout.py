@@ -187,7 +187,10 @@ def neighbours(placed: Placed, previous: bool = False) -> DataFrame:
 
 def positions(tf: "TemporalFrame") -> Placed:
     """Add ``__p``, the exact 0-based position of a row in its series."""
-    placed = place(tf)
+    return numbered(place(tf))
+
+
+def numbered(placed: Placed) -> Placed:
     if not placed.blocked:
         spec = Window.partitionBy(*placed.by).orderBy(placed.order)
         df = placed.df.withColumn(P, (F.row_number().over(spec) - 1).cast("bigint"))
@@ -196,6 +199,33 @@ def positions(tf: "TemporalFrame") -> Placed:
     return replace(placed, df=df)
 
 
+def reachable(tf: "TemporalFrame", size: int) -> list[tuple[DataFrame, list[str], Column]]:
+    """Tables in which every row has the ``size - 1`` rows before it in its own window partition, each with
+    its partition columns and order. Drop the copies (``own``) when the window is done.
+
+    Whole series need one shuffle. Only what is cut into blocks is numbered first and shuffled again,
+    unless the series is dense: then the ordinal already counts rows.
+    """
+    placed = place(tf)
+    whole = replace(placed, blocked=False)
+    if not placed.blocked:
+        return [(whole.df, whole.by, whole.order)]
+    if tf.meta.dense:
+        step = tf.axis.step(tf.require_interval())
+        cut = replace(placed, df=placed.df.withColumn(P, floordiv(F.col(O), step)))
+        return [(*halo(cut, size), F.col(P))]
+    if not placed.key:
+        return [(*halo(numbered(placed), size), F.col(P))]
+    cold = placed.df.where(~F.col(HOT))
+    hot = numbered(replace(placed, df=placed.df.where(F.col(HOT))))
+    return [(cold, whole.by, whole.order), (*halo(hot, size), F.col(P))]
+
+
+def own(df: DataFrame) -> DataFrame:
+    """The rows of ``reachable`` without the copies."""
+    return df.where(F.col(COPY) == F.col(HOME)) if COPY in df.columns else df
+
+
 HOME, COPY = "__home", "__copy"
 
 

@@ -131,24 +131,14 @@ def apply_windows(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "Temp
 
 
 def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
-    placed = L.place(tf)
-    df, by, order = placed.df, placed.by, placed.order
-    if placed.blocked:
-        if tf.meta.dense:
-            step = tf.axis.step(tf.require_interval())
-            # One row per interval: the ordinal itself counts rows.
-            placed = dataclasses.replace(placed, df=placed.df.withColumn(L.P, L.floordiv(F.col(L.O), step)))
-        else:
-            placed = L.positions(tf)
-        df, by = L.halo(placed, max(c.size for c in calls.values()))
-        order = F.col(L.P)
-    df = _pivoted(df, tf.df, calls)
-    for name, call in calls.items():
-        df = _slide_column(df, by, order, name, call)
-    if placed.blocked:
-        df = df.where(F.col(L.COPY) == F.col(L.HOME))
     kept = [c for c in tf.df.columns if c not in calls]
-    return tf.with_(df.select(*kept, *calls), costly=placed.blocked or tf.meta.costly)
+    done = []
+    for df, by, order in L.reachable(tf, max(c.size for c in calls.values())):
+        df = _pivoted(df, tf.df, calls)
+        for name, call in calls.items():
+            df = _slide_column(df, by, order, name, call)
+        done.append(L.own(df).select(*kept, *calls))
+    return tf.with_(reduce(DataFrame.unionByName, done), costly=L.mode_of(tf) != "short" or tf.meta.costly)
 
 
 def _slide_column(df: DataFrame, by: list[str], order: Column, name: str, call: WindowCall) -> DataFrame:
@@ -344,11 +334,9 @@ def slider(tf: "TemporalFrame", size: int) -> DataFrame:
     """Extents of the full sliding windows: key, window_id, xmin, xmax."""
     m = tf.meta
     placed = L.positions(tf)
-    df, by = (placed.df, list(m.key)) if not placed.blocked else L.halo(placed, size)
-    first = F.lag(m.index, size - 1).over(Window.partitionBy(*by).orderBy(L.P))
-    df = df.withColumn("xmin", first).where(F.col(L.P) >= size - 1)
-    if placed.blocked:
-        df = df.where(F.col(L.COPY) == F.col(L.HOME))
+    df, by = L.halo(placed, size) if placed.blocked else (placed.df, placed.by)
+    first = F.lag(m.index, size - 1).over(Window.partitionBy(*by).orderBy(L.P if placed.blocked else placed.order))
+    df = L.own(df.withColumn("xmin", first)).where(F.col(L.P) >= size - 1)
     return df.select(*m.key, (F.col(L.P) - (size - 2)).alias("window_id"), "xmin", F.col(m.index).alias("xmax"))
 
 
