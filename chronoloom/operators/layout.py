@@ -12,8 +12,9 @@ one task. Three placements, chosen from facts known while the plan is built:
     again bounds a block: no more rows than ordinals.
 ``mixed``
     A key with a fine-grained index, where one key may hold a third of the table. Keys above
-    ``hot_rows`` are found by a partial-aggregated count; at most ``n / hot_rows`` of them can exist, so
-    that list is safe to broadcast. Hot keys are cut into blocks, all other keys stay whole.
+    ``hot_rows`` are found by a partial-aggregated count. The limit rises with the table, so that no
+    more than ``HOT_KEYS`` keys can be above it and their list is safe to broadcast at any size. Hot
+    keys are cut into blocks, all other keys stay whole.
 
 Blocks need what happened before them. Each block is reduced to one summary row, the summaries of a
 series are scanned in order, and the result rides into the block as a *marker row* that sorts before
@@ -43,6 +44,10 @@ if TYPE_CHECKING:
 O, C, HOT, MARK, P, NEXT, PREV = "__o", "__c", "__hot", "__mark", "__p", "__next", "__prev"
 
 
+# No more keys than this can each hold more than their part of a table.
+HOT_KEYS = 100_000
+
+
 @dataclass(frozen=True)
 class Layout:
     """Sizes of the placement; the defaults suit executors with a few GB per task.
@@ -87,13 +92,16 @@ def mode_of(tf: "TemporalFrame") -> str:
 
 
 def mark_hot(df: DataFrame, key: tuple[str, ...], hot_rows: int) -> DataFrame:
-    """Flag the rows of keys with more than ``hot_rows`` rows (at most n / hot_rows such keys)."""
+    """Flag the rows of keys with more than ``hot_rows`` rows, or more than n / HOT_KEYS if that is larger.
+
+    Fewer than ``HOT_KEYS`` keys can pass, whatever the table holds; that bounds the broadcast.
+    """
     names = {k: f"__h{i}" for i, k in enumerate(key)}
-    hot = (
-        df.groupBy(*key)
-        .agg(F.count(F.lit(1)).alias("__n"))
-        .where(F.col("__n") > hot_rows)
-        .select(*[F.col(k).alias(h) for k, h in names.items()], F.lit(True).alias(HOT))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    part = F.call_function("div", F.sum("__n"), F.lit(HOT_KEYS).cast("bigint"))
+    limit = counts.agg(F.greatest(F.lit(hot_rows).cast("bigint"), part)).scalar()
+    hot = counts.where(F.col("__n") > limit).select(
+        *[F.col(k).alias(h) for k, h in names.items()], F.lit(True).alias(HOT)
     )
     same = [df[k].eqNullSafe(hot[h]) for k, h in names.items()]
     joined = df.join(F.broadcast(hot), same, "left").drop(*names.values())

@@ -16,13 +16,14 @@ def shared_dir(spark: SparkSession) -> str:
     Where the setting is absent a local session gets a temporary folder; a cluster is refused, since
     its executors do not share a local disk.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if named:
         return named
-    if not spark.sparkContext.master.startswith("local"):
+    if not sc.master.startswith("local"):
         raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
     folder = tempfile.mkdtemp(prefix="chronoloom-")
-    spark.conf.set("spark.checkpoint.dir", folder)
+    sc.setCheckpointDir(folder)
     return folder
 
 

@@ -268,5 +268,39 @@ def test_csv_by_name_and_checked_header(spark, tmp_path):
     assert cl.read_table(spark, str(tmp_path / "out")).count() == 1
 
 
+class Session:
+    """As much of a session as the choice of a shared folder looks at."""
+
+    def __init__(self, master, named=None):
+        self.master, self.named, self.set_to = master, named, None
+        self.conf = self.sparkContext = self
+
+    def get(self, key, default):
+        return self.named or default
+
+    def getCheckpointDir(self):
+        return self.set_to
+
+    def setCheckpointDir(self, path):
+        self.set_to = path
+
+
 def test_scratch_needs_a_shared_folder(spark):
+    from chronoloom.sources.storage import shared_dir
+
     assert cl.scratch_path(spark, "x") != cl.scratch_path(spark, "x")
+    assert shared_dir(Session("yarn", "hdfs://shared/dir")) == "hdfs://shared/dir"
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        shared_dir(Session("yarn"))
+    local = Session("local[2]")
+    assert shared_dir(local) == shared_dir(local) == local.set_to
+
+
+def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
+    from chronoloom.operators import layout
+
+    df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 6).alias("k"))
+    hot = lambda: {r.k for r in layout.mark_hot(df, ("k",), 5).where(layout.HOT).select("k").distinct().collect()}
+    assert hot() == {0, 1, 2, 3, 4, 5}
+    monkeypatch.setattr(layout, "HOT_KEYS", 3)  # more than a third of the rows
+    assert hot() == {0}
