@@ -7,8 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
+from .common import Stages
+from .packing import pack
 from .quality import judge
 from .sharding import interleave_shards
+from .token_files import read_token_files, write_token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -28,6 +31,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def word_tokenizer() -> str:
+    """Where the public word tokenizer is; the same path on every machine."""
+    import public_tokenizers
+
+    return public_tokenizers.path("word_bpe_49k.json")
+
+
 @query(sql.SHARDS)
 def op2_interleaved_shards(spark, sf_dir):
     return interleave_shards(table(spark, sf_dir, "documents"), n_shards=16)
@@ -36,3 +46,15 @@ def op2_interleaved_shards(spark, sf_dir):
 @query(sql.QUALITY)
 def op4_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
+
+
+@query()
+def op8_sum_of_squares_packing(spark, sf_dir):
+    return pack(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096)
+
+
+@query()
+def op9_repair_token_files(spark, sf_dir):
+    path = Stages(spark, "tokens").path("files")
+    write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer())
+    return read_token_files(spark, path)
