@@ -8,6 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
 from .common import Stages
+from .decontaminate import overlaps
+from .minhash import near_duplicates
 from .packing import pack
 from .quality import judge
 from .sharding import interleave_shards
@@ -38,6 +40,11 @@ def word_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+@query()
+def op1_near_duplicates(spark, sf_dir):
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 @query(sql.SHARDS)
 def op2_interleaved_shards(spark, sf_dir):
     return interleave_shards(table(spark, sf_dir, "documents"), n_shards=16)
@@ -58,3 +65,9 @@ def op9_repair_token_files(spark, sf_dir):
     path = Stages(spark, "tokens").path("files")
     write_token_files(table(spark, sf_dir, "documents"), path, word_tokenizer())
     return read_token_files(spark, path)
+
+
+@query()
+def op10_spaced_seed_decontamination(spark, sf_dir):
+    found = overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches")
