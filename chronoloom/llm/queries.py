@@ -7,13 +7,15 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from . import sql
-from .common import Stages
+from .common import Stages, remove
 from .decontaminate import overlaps
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import judge
 from .sharding import interleave_shards
 from .token_files import read_token_files, write_token_files
+from .toxicity import fit, score
+from .warc import normalise, read_archives, write_monolithic
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -55,6 +57,23 @@ def op4_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
 
 
+@query()
+def op5_toxicity_machine(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query(sql.WARC)
+def op6_warc_normaliser(spark, sf_dir):
+    stages = Stages(spark, "warc")
+    whole, split = stages.path("whole"), stages.path("split")
+    write_monolithic(table(spark, sf_dir, "pages"), whole)
+    normalise(spark, whole, split)
+    remove(spark, whole)
+    found = read_archives(spark, split, with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query()
 def op8_sum_of_squares_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096)
