@@ -9,10 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import Stages, remove
 from .decontaminate import overlaps
+from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
 from .quality import judge
 from .sharding import interleave_shards
+from .token_counts import count_tokens
 from .token_files import read_token_files, write_token_files
 from .toxicity import fit, score
 from .warc import normalise, read_archives, write_monolithic
@@ -52,6 +54,13 @@ def op2_interleaved_shards(spark, sf_dir):
     return interleave_shards(table(spark, sf_dir, "documents"), n_shards=16)
 
 
+@query()
+def op3_trie_token_counts(spark, sf_dir):
+    import public_tokenizers
+
+    return count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 @query(sql.QUALITY)
 def op4_quality_rules(spark, sf_dir):
     return judge(table(spark, sf_dir, "documents"))
@@ -74,6 +83,11 @@ def op6_warc_normaliser(spark, sf_dir):
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+@query()
+def op7_patience_license_scan(spark, sf_dir):
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 @query()
 def op8_sum_of_squares_packing(spark, sf_dir):
     return pack(table(spark, sf_dir, "documents"), word_tokenizer(), capacity=4096)
