@@ -26,6 +26,9 @@ BLANKS = r" \t\n\x0B\f\r"  # of a word's end, as a character class
 SYMBOLS = r"#*$%&|<>"
 CAPITALS = r"A-Z"
 WINDOW = 8  # words
+COUNTS = (
+    "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_stop_words", "n_capitals",
+)
 
 
 @dataclass(frozen=True)
@@ -120,6 +123,9 @@ def measures(docs: DataFrame, text_col: str = "text") -> DataFrame:
             F.size("_lines").cast("long").alias("n_lines"),
             F.size(F.filter("_words", lambda w: w.isin(*STOP_WORDS))).cast("long").alias("n_stop_words"),
             _count(F.col("_text"), CAPITALS).cast("long").alias("n_capitals"),
+            # A filter on the counts must not be moved below this projection: it would compute each of
+            # them, and the arrays they are made of, once per mention. Rows aren't numbered otherwise.
+            F.monotonically_increasing_id().alias("_fence"),
         ),
     )
     return out.drop("_text", "_words", "_hashes", "_windows", "_lines")
@@ -142,7 +148,7 @@ def judge(
     """
     narrow = docs.select(column(id_col).alias("doc_id"), column(text_col).alias("text"))
     return _verdict(measures(narrow), rules).select(
-        "doc_id", "_m.*", "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules")
+        "doc_id", *[F.col(f"_m.{c}") for c in COUNTS], "base_failed", "kept", F.concat_ws(",", "failed").alias("failed_rules")
     )
 
 
