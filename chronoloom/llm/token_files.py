@@ -43,44 +43,51 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUN
     ``ends`` marks the last id of each document. A round counts all pairs exactly and takes the most
     frequent, its share of the symbols left. Where chosen pairs overlap, the left one is replaced.
     """
-    s, ends = ids.astype(np.int64), ends.copy()
-    rules = np.zeros((0, 2), np.int64)
+    s, ends = ids.astype(np.uint32), ends.copy()
+    rules = np.zeros((0, 2), np.uint32)
+    table = np.zeros(_TABLE, np.uint16)
     for k in range(rounds):
         left = SYMBOLS - terminals - len(rules)
         quota = left if k == rounds - 1 else left // 2
         if quota <= 0 or len(s) < 2:
             break
-        codes = s[:-1] * SYMBOLS + s[1:]
-        codes[ends[:-1]] = -1
-        pairs, counts = np.unique(codes, return_counts=True)
-        frequent = np.flatnonzero((counts >= min_count) & (pairs >= 0))
+        codes = (s[:-1] << np.uint32(16)) | s[1:]
+        within = ~ends[:-1]
+        pairs, counts = np.unique(codes[within], return_counts=True)
+        frequent = np.flatnonzero(counts >= min_count)
         if not len(frequent):
             break
         frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:quota]]
         chosen = pairs[frequent]
         # a table by hash says which pair may be at a place; one pair per slot, the others next round
-        slot = _slots(chosen)
-        _, first = np.unique(slot, return_index=True)
+        _, first = np.unique(_slots(chosen), return_index=True)
         chosen = chosen[np.sort(first)]
-        table = np.full(_TABLE, -1, np.int64)
+        expected = np.zeros(_TABLE, np.uint32)
+        expected[_slots(chosen)] = chosen
         table[_slots(chosen)] = np.arange(len(chosen))
-        at = table[_slots(codes)]
-        places = np.flatnonzero((at >= 0) & (chosen[at] == codes))
+        slots = _slots(codes)
+        places = np.flatnonzero((expected[slots] == codes) & within)
+        rule = table[slots[places]]
+        known = chosen[rule] == codes[places]  # an unused slot expects code 0
+        places, rule = places[known], rule[known]
+        if not len(places):
+            break
         # of pairs that overlap in a run, every second one
         begins = np.concatenate([[True], np.diff(places) > 1])
         run = places[begins][np.cumsum(begins) - 1]
-        places = places[(places - run) % 2 == 0]
-        s[places] = terminals + len(rules) + at[places]
+        taken = (places - run) % 2 == 0
+        places, rule = places[taken], rule[taken]
+        s[places] = rule + np.uint32(terminals + len(rules))
         ends[places] = ends[places + 1]
         keep = np.ones(len(s), bool)
         keep[places + 1] = False
         s, ends = s[keep], ends[keep]
-        rules = np.concatenate([rules, np.stack([chosen // SYMBOLS, chosen % SYMBOLS], 1)])
+        rules = np.concatenate([rules, np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1)])
     return s.astype("<u2"), ends, rules.astype("<u2")
 
 
 def _slots(codes: np.ndarray) -> np.ndarray:
-    return ((codes * 0x2545F491) >> 21) & (_TABLE - 1)
+    return (codes * np.uint32(0x9E3779B1)) >> np.uint32(12)
 
 
 def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
@@ -93,10 +100,18 @@ def expansion_lengths(rules: np.ndarray, terminals: int) -> np.ndarray:
 
 def expand(symbols: np.ndarray, rules: np.ndarray, terminals: int) -> np.ndarray:
     """The ids of a run of symbols, all of a shard or one document of it."""
-    grown = [np.uint32(k).astype("<u4").tobytes() for k in range(terminals)]
+    grown = [b""] * terminals  # of an id itself, put in below
+    one = [int(k).to_bytes(4, "little") for k in range(terminals)]
     for a, b in rules.tolist():
-        grown.append(grown[a] + grown[b])
-    return np.frombuffer(b"".join(map(grown.__getitem__, symbols.tolist())), "<u4")
+        grown.append((grown[a] or one[a]) + (grown[b] or one[b]))
+    ids = np.frombuffer(b"".join(one) + b"".join(grown), "<u4")
+    lengths = np.concatenate([np.ones(terminals, np.int64), expansion_lengths(rules, terminals).astype(np.int64)])
+    starts = np.cumsum(lengths) - lengths
+    n = lengths[symbols]
+    ends = np.cumsum(n)
+    places = np.repeat(starts[symbols] - (ends - n), n)
+    places += np.arange(len(places))
+    return ids[places]
 
 
 def _encode_shards(batches: Iterator[pa.RecordBatch], path: str, shard_ids: int, rounds: int, min_count: int):

@@ -38,7 +38,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {"\n": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
@@ -46,54 +46,51 @@ class WordEncoder:
 
     def _learn_pieces(self, pieces: list[str]) -> None:
         """Ids of plain pieces, encoded many to a text; the word-end ids say where each piece ends."""
-        if not pieces:
-            return
-        if len(self.pieces) + len(pieces) > CACHED_WORDS:
-            self.pieces.clear()
         ids = np.concatenate(self._encode([" ".join(pieces[k : k + 512]) for k in range(0, len(pieces), 512)]))
         ends = np.flatnonzero(self.ends[ids]) + 1
         if len(ends) != len(pieces) or ends[-1] != len(ids):
-            self.pieces.update((p, e.tobytes()) for p, e in zip(pieces, self._encode(pieces), strict=True))
+            self.pieces.update(zip(pieces, [e.tobytes() for e in self._encode(pieces)], strict=True))
             return
         data, stops = ids.tobytes(), (ends * 4).tolist()
-        self.pieces.update(
-            (p, data[a:b]) for p, a, b in zip(pieces, [0, *stops], stops, strict=False)
-        )
+        self.pieces.update(zip(pieces, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
 
-    def _learn_words(self, missing: list[str]) -> dict[str, bytes]:
+    def _learn_words(self, words: list[str]) -> list[bytes]:
         """Ids of words: plain ones by their pieces, which recur more than words do, others whole."""
-        plain, odd = [], []
-        for w in missing:
-            (plain if _PLAIN.fullmatch(w) and _SPECIAL not in w else odd).append(w)
-        out = {w: ids.tobytes() for w, ids in zip(odd, self._encode(odd), strict=True)}
-        if not plain:
-            return out
-        cut = _PIECES.findall("\n".join(plain).lower() + "\n")
-        kinds = dict.fromkeys(cut)
-        del kinds["\n"]
-        known = {p: self.pieces.get(p) for p in kinds}
-        fresh = [p for p, ids in known.items() if ids is None]
-        self._learn_pieces(fresh)
-        known.update((p, self.pieces[p]) for p in fresh)
-        known["\n"] = b""
-        parts = list(map(known.__getitem__, cut))
-        data = b"".join(parts)
-        stops = np.cumsum(np.fromiter(map(len, parts), np.int64, len(parts)))
-        stops = stops[[k for k, p in enumerate(cut) if p == "\n"]].tolist()
-        out.update((w, data[a:b]) for w, a, b in zip(plain, [0, *stops], stops, strict=False))
+        odd = [k for k, w in enumerate(words) if not _PLAIN.fullmatch(w) or _SPECIAL in w]
+        plain = words
+        if odd:
+            whole = set(odd)
+            plain = [w for k, w in enumerate(words) if k not in whole]
+        out: list[bytes] = []
+        if plain:
+            cut = _PIECES.findall("\n".join(plain).lower() + "\n")
+            if len(self.pieces) > CACHED_WORDS:
+                self.pieces = {"\n": b""}
+            parts = list(map(self.pieces.get, cut))
+            if fresh := list(dict.fromkeys([p for p, ids in zip(cut, parts, strict=True) if ids is None])):
+                self._learn_pieces(fresh)
+                parts = list(map(self.pieces.__getitem__, cut))
+            data = b"".join(parts)
+            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+            stops = np.cumsum(lengths)[lengths == 0].tolist()  # only the ends of words have no ids
+            out = list(map(data.__getitem__, map(slice, [0, *stops], stops)))
+        if odd:
+            rest = iter(out)
+            encoded = iter(self._encode([words[k] for k in odd]))
+            out = [next(encoded).tobytes() if k in whole else next(rest) for k in range(len(words))]
         return out
 
     def ids_of_words(self, words: list[str]) -> list[bytes]:
         """Little-endian 32-bit ids of each word (no ASCII blanks within)."""
         out = list(map(self.words.get, words))
-        missing = [k for k, ids in enumerate(out) if ids is None]
+        missing = [w for w, ids in zip(words, out, strict=True) if ids is None]
         if missing:
-            learnt = self._learn_words([words[k] for k in missing])
-            for k in missing:
-                out[k] = learnt[words[k]]
-            if len(self.words) + len(learnt) > CACHED_WORDS:
-                self.words.clear()
-            self.words.update(learnt)
+            if len(self.words) > CACHED_WORDS:
+                self.words = {}
+            learnt = self._learn_words(missing)
+            self.words.update(zip(missing, learnt, strict=True))
+            rest = iter(learnt)
+            out = [next(rest) if ids is None else ids for ids in out]
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -107,9 +104,15 @@ class WordEncoder:
         flat = lists.flatten().dictionary_encode()
         ids = self.ids_of_words(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
         words = flat.indices.to_numpy(zero_copy_only=False)
-        data = np.frombuffer(b"".join(map(ids.__getitem__, words.tolist())), "<u4")
-        lengths = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
-        ends = np.cumsum(lengths[words]) if len(words) else np.zeros(0, np.int64)
+        table = np.frombuffer(b"".join(ids), "<u4")
+        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
+        starts = np.cumsum(lengths) - lengths
+        n = lengths[words]
+        ends = np.cumsum(n, dtype=np.int64)
+        # place of every id in the table: the start of its word, plus its place in the word
+        places = np.repeat(starts[words] - (ends - n), n)
+        places += np.arange(len(places))
+        data = table[places]
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return data, np.concatenate([[0], ends])[cuts]
 
