@@ -49,6 +49,12 @@ def remove(spark: SparkSession, path: str) -> None:
     where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Create a folder, if it isn't there, through Spark's own file system layer."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def column(name: str):
     """A column by its exact name."""
     return F.col(f"`{name}`")

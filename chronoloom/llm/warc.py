@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Stages, column
+from .common import Stages, column, make_folder
 
 SEPARATOR = "\r\n\r\n"
 LEAST_BYTES = 100  # of a payload that a revisit may stand for
@@ -205,13 +205,15 @@ def normalise(spark: SparkSession, source: str, target: str) -> None:
 
     ``target/kind=0`` holds the archives (concatenated gzip members), ``target/kind=1`` for each the
     index: JSON objects with offset and length, ended by a zero byte. Archive and index of a part have the
-    same file name. A source without records gives neither.
+    same file name. A source without records gives two empty folders.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.gz")
     found = files.load(source).select("content")
     members = found.mapInArrow(_members, "kind int, seq bigint, value binary")
     ordered = members.sortWithinPartitions("kind", "seq").select("kind", F.col("value").cast("string").alias("value"))
     ordered.write.partitionBy("kind").option("lineSep", NUL).text(target)
+    for kind in (ARCHIVE, INDEX):
+        make_folder(spark, f"{target}/kind={kind}")
 
 
 # -- reading ----------------------------------------------------------------------------------------
