@@ -3,14 +3,16 @@
 A text is a weighted set of five-word shingles. The weight is ``(1 + ln tf) * idf``. Document frequencies
 are counted over all distinct texts into a table of fixed size, two hash rows of 2**18 cells whose smaller
 cell counts; a shingle in up to one document of twenty has idf 1, and the more it recurs beyond that the
-less it weighs, at every input size alike. Consistent weighted sampling draws for each of
+less it weighs, at every input size alike (the first ``FREE`` documents don't count, or in a table of a
+few dozen texts any two that are alike would make their shingles common). Consistent weighted sampling draws for each of
 ``BANDS * ROWS`` seeds the element that two sets share with the probability of their weighted Jaccard
 similarity; equal bands make candidates, and the exact similarity of the full texts decides.
 
 Buckets may hold thousands of texts. Each text is first compared with the smallest of its bucket. Only
-where a bucket still has several components are the texts of the smaller ones compared with all others of
-the bucket that are in another component: no link between components is lost and no group of alike texts
-is expanded into pairs. Exact copies are one class from the start.
+where a bucket still has several components are the texts outside its largest one compared with all others
+of the bucket, block by block inside tasks, through an index of their shingles: no link between components
+is lost, no group of alike texts is expanded into rows of pairs, and no block grows with the bucket. Exact
+copies are one class from the start.
 """
 
 from __future__ import annotations
@@ -31,9 +33,12 @@ SHINGLE = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 11, 4
 COMMON = 0.05  # of all documents: up to here a shingle has the full weight
+FREE = 20
 CELLS, PARTS = 1 << 18, 64
 HOT = 200  # classes of copies above a 200th of all rows, of which there can't be more than that
 
+BLOCK_STRAYS, BLOCK_MEMBERS = 256, 1024  # texts of a bucket that are compared in one call
+
 _GOLDEN = 0x9E3779B97F4A7C15
 
 
@@ -53,7 +58,8 @@ def _shingles(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 def idf_of(table: np.ndarray, n_docs: int, hashes: np.ndarray) -> np.ndarray:
     """Inverse document frequency, 1 up to ``COMMON`` of the documents and falling from there."""
     one, two = _cells(hashes)
-    share = np.maximum(np.minimum(table[one], table[two]) / max(n_docs, 1), 1e-12)
+    often = np.minimum(table[one], table[two]) - FREE
+    share = np.maximum(often / max(n_docs, 1), 1e-12)
     return np.minimum(1.0, np.log1p(1 / share) / np.log1p(1 / COMMON))
 
 
@@ -258,9 +264,7 @@ def near_duplicates(
     links = stages.write(_verify(stars, texts, frequencies, n_docs, similarity), "verified")
     found = components(links, stages)
 
-    rest = _unresolved(candidates, found)
-    rest = stages.write(rest.join(stars, ["a", "b"], "left_anti"), "pairs")
-    more = stages.write(_verify(rest, texts, frequencies, n_docs, similarity), "verified")
+    more = stages.write(_cross_links(candidates, found, texts, frequencies, n_docs, similarity), "crossed")
     if not more.isEmpty():
         found = components(links.union(more), stages)
     stages.drop(bands, keyed, buckets, candidates, texts)
@@ -273,21 +277,60 @@ def near_duplicates(
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _unresolved(candidates: DataFrame, found: DataFrame) -> DataFrame:
-    """Pairs of a bucket in different components, none of both in the bucket's largest component twice.
+def _cross_links(candidates: DataFrame, found: DataFrame, texts: DataFrame, table, n_docs: int, least: float) -> DataFrame:
+    """Links (a, b) between components that meet in a bucket.
 
-    A bucket of one component, as nearly all are after the first comparison, gives none.
+    Of each such bucket, the texts outside the largest component ("strays") are compared with all texts.
+    Both are dealt out by hash into blocks, and every pair of blocks is one group. A bucket of one
+    component, as nearly all are after the first comparison, gives none.
     """
     labelled = candidates.join(found, "node", "left").select("key", "node", F.coalesce("label", "node").alias("label"))
     sizes = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
-    largest = sizes.groupBy("key").agg(
-        F.max_by("label", F.struct("n", "label")).alias("main"), F.count("*").alias("kinds")
+    mixed = sizes.groupBy("key").agg(
+        F.max_by("label", F.struct("n", "label")).alias("main"),
+        F.ceil(F.sum("n") / BLOCK_MEMBERS).alias("chunks"),
+        F.ceil((F.sum("n") - F.max("n")) / BLOCK_STRAYS).alias("blocks"),
     )
-    mixed = labelled.join(largest.where("kinds > 1").select("key", "main"), "key")
-    strays = mixed.where("label <> main").select("key", F.col("node").alias("x"), F.col("label").alias("lx"))
-    others = mixed.select("key", F.col("node").alias("y"), F.col("label").alias("ly"), (F.col("label") == F.col("main")).alias("in_main"))
-    pairs = strays.join(others, "key").where("lx <> ly and (in_main or x < y)")
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    rows = labelled.join(mixed.where("blocks > 0"), "key").join(texts, "node")
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n))
+    every = lambda n: F.sequence(F.lit(0).cast("bigint"), F.col(n) - 1)
+    place = lambda block, chunk, stray: F.struct(block.alias("block"), chunk.alias("chunk"), stray.alias("stray"))
+    as_member = F.transform(every("blocks"), lambda b: place(b, deal("chunks"), F.lit(False)))
+    as_stray = F.transform(every("chunks"), lambda c: place(deal("blocks"), c, F.lit(True)))
+    places = F.when(F.col("label") == F.col("main"), as_member).otherwise(F.concat(as_member, as_stray))
+    dealt = rows.select("key", "node", "label", "text", F.explode(places).alias("at"))
+    groups = dealt.select("key", "at.block", "at.chunk", "at.stray", "node", "label", "text").groupBy("key", "block", "chunk")
+    return groups.applyInPandas(
+        lambda frame: _compare_blocks(frame, table.value, n_docs, least), "a bigint, b bigint"
+    ).distinct()
+
+
+def _compare_blocks(frame: pd.DataFrame, table: np.ndarray, n_docs: int, least: float) -> pd.DataFrame:
+    """Links between the strays and the members of one group that are in different components."""
+    links: list[tuple[int, int]] = []
+    strays = frame[frame["stray"]].drop_duplicates("node")
+    members = frame[~frame["stray"]].drop_duplicates("node")
+    if len(strays) and len(members):
+        hashes, owner, counts = _shingles(pa.array(strays["text"], pa.string()))
+        weight = weights(table, n_docs, hashes, counts)
+        total = np.bincount(owner, weight, len(strays))
+        order = np.argsort(hashes, kind="stable")
+        kinds, first = np.unique(hashes[order], return_index=True)
+        owner, weight, stops = owner[order], weight[order], np.append(first[1:], len(order))
+        nodes, labels = strays["node"].to_numpy(), strays["label"].to_numpy()
+        m_hash, m_owner, m_counts = _shingles(pa.array(members["text"], pa.string()))
+        m_weight = weights(table, n_docs, m_hash, m_counts)
+        cuts = np.searchsorted(m_owner, np.arange(len(members) + 1))
+        for k, (node, label) in enumerate(zip(members["node"].tolist(), members["label"].tolist(), strict=True)):
+            h, w = m_hash[cuts[k] : cuts[k + 1]], m_weight[cuts[k] : cuts[k + 1]]
+            at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
+            shared = kinds[at] == h
+            n = (stops - first)[at[shared]]
+            begin = np.repeat(first[at[shared]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+            common = np.bincount(owner[begin], np.minimum(weight[begin], np.repeat(w[shared], n)), len(strays))
+            good = (common >= (least - 1e-9) * (total + w.sum() - common)) & (labels != label)
+            links += [(min(node, x), max(node, x)) for x in nodes[good].tolist()]
+    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
 def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
