@@ -18,7 +18,7 @@ from .functions.calendar import (
     yearweek,
 )
 from .functions.scalar import constant, cut_at_blank, if_else, is_in, parse_dmy, paste, recode, regex_replace
-from .operators.declare import as_temporal, broken_nesting, describe, detect_interval, duplicates, interval_of
+from .operators.declare import as_temporal, broken_nesting, describe, detect_interval, duplicates, interval_of, off_lattice
 from .operators.gaps import fill_size
 from .operators.layout import Layout
 from .operators.levels import LevelOrder, lump_drop, lump_keep, present_levels

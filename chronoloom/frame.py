@@ -29,7 +29,9 @@ class Meta:
 
     ``dense`` means every series has a row at each interval of its own span; ``shared_span`` that all
     series cover the same span. ``max_rows`` is a bound on the rows of one series, when known.
-    ``costly`` marks a table whose plan already holds a two-pass operation.
+    ``costly`` marks a table whose plan already holds a two-pass operation. ``lattice`` says that all
+    distances in a series are known to be multiples of the interval. An interval of 0 units is one whose
+    count is still to be found: ``require_interval`` does (a job).
     """
 
     index: str
@@ -42,6 +44,7 @@ class Meta:
     shared_span: bool = False
     max_rows: int | None = None
     costly: bool = False
+    lattice: bool = False
     layout: Layout = field(default_factory=Layout)
 
     @property
@@ -101,9 +104,21 @@ class TemporalFrame:
         return TemporalFrame(self.df if df is None else df, replace(self.meta, **changes))
 
     def require_interval(self) -> Interval:
-        if self.meta.interval is None:
+        found = self.meta.interval
+        if found is not None and found.n == 0:
+            from .operators.declare import detect_interval
+
+            # Where no series has two rows, any count of units is right.
+            found = detect_interval(self) or replace(found, n=1)
+        if found is None:
             raise ValueError("the index is irregular: declare an interval first")
-        return self.meta.interval
+        return found
+
+    def resolved(self) -> "TemporalFrame":
+        """The same table with its interval found, if that was open (a job)."""
+        if self.meta.interval is None or self.meta.interval.n:
+            return self
+        return self.with_(interval=self.require_interval(), lattice=True)
 
     def describe(self) -> DataFrame:
         from .operators.declare import describe
@@ -236,7 +251,7 @@ class TemporalFrame:
         return self.with_(share(self.df, value, [*within, self.meta.index], name))
 
     # -- gaps --------------------------------------------------------------------------------
-    def fill_na(self, full: bool = False, max_ratio: float | None = 50.0, **values: object) -> "TemporalFrame":
+    def fill_na(self, full: bool = False, max_ratio: float | None = None, **values: object) -> "TemporalFrame":
         from .operators.gaps import fill_na
 
         return fill_na(self, full, max_ratio, **values)
@@ -289,10 +304,14 @@ class TemporalFrame:
         return self.with_(df, key=(*self.meta.key, names_to))
 
     def spread(self, column: str, value: str, levels: list[object] | None = None, fill: object = None) -> "TemporalFrame":
-        """Long to wide: the spread column leaves the key."""
+        """Long to wide: the spread column leaves the key. Other measures have no place in the result and
+        are refused: drop or spread them by themselves."""
         from .operators.reshape import spread
 
         m = self.meta
+        others = [c for c in self.measures if c not in (column, value)]
+        if others:
+            raise ValueError(f"spread would lose {', '.join(others)}: select {value} first")
         ids = [m.index, *[k for k in m.key if k != column]]
         df = spread(self.df, ids, column, value, levels, fill)
         return self.with_(

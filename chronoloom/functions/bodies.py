@@ -1,28 +1,38 @@
 """What to compute inside a window: named functions, lambdas and opaque Python functions.
 
 An ``Accumulator`` is the form that scales. It is a handful of per-row *parts* that are combined with
-sum, min, max or list concatenation, and a ``finish`` expression over the combined parts. Because the
+sum, min, max, merged moments or list concatenation, and a ``finish`` expression over the combined parts. Because the
 combination is associative, a long series can be cut into blocks, each block reduced to one row, and
 the answer rebuilt per row from the block totals before it. The other forms are:
 
-* ``aggregate(fn)``: columns in, one Spark aggregate out (slide and tile);
+* ``aggregate(fn)`` or a bare lambda: columns in, one Spark aggregate out. A lambda of several aggregates,
+  or of a row of them, takes a second argument ``over`` and wraps each:
+  ``lambda c, over: over(F.max(c)) - over(F.min(c))``;
 * ``on_list(fn)``: the window as an ordered array column in, any column expression out;
 * ``opaque(fn)``: a Python function of numpy arrays, sent over Arrow.
 """
 
 from __future__ import annotations
 
+import inspect
 from collections.abc import Callable, Mapping
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from . import moments as M
+
+#: Combines that merge count, means and products instead of adding.
+MOMENTS = {"moments": M.ONE, "moments2": M.TWO}
+
 COMBINE: dict[str, Callable[[Column], Column]] = {
     "sum": F.sum,
     "min": F.min,
     "max": F.max,
     "concat": lambda c: F.flatten(F.collect_list(c)),
+    "moments": lambda c: M.measured(c, M.ONE),
+    "moments2": lambda c: M.measured(c, M.TWO),
 }
 
 
@@ -40,13 +50,18 @@ class Accumulator:
     finish: Callable[[Mapping[str, Column]], Column]
     native: Callable[..., Column] | None = None  # (over, *inputs): aggregates wrapped in ``over``
     strict: bool = True
-    centred: bool = False
 
 
 @dataclass(frozen=True)
 class Aggregate:
     fn: Callable[..., Column]
 
+    def value(self, cols: list[Column], over: Callable[[Column], Column]) -> Column:
+        """The aggregate of the columns, each of its parts wrapped in ``over``."""
+        if "over" in inspect.signature(self.fn).parameters:
+            return self.fn(*cols, over=over)
+        return over(self.fn(*cols))
+
 
 @dataclass(frozen=True)
 class OnList:
@@ -90,64 +105,27 @@ def _at(cols: list[Column], o: Column) -> Column:
     return F.struct(o.alias("o"), cols[0].alias("x"))
 
 
-def _power(i: int, j: int) -> Callable[[list[Column], Column], Column]:
-    def value(cols: list[Column], _o: Column) -> Column:
-        a, b = cols[i].cast("double"), cols[j].cast("double")
-        return F.when(_known(cols), a * b)
-
-    return value
-
-
-def _double(i: int) -> Callable[[list[Column], Column], Column]:
-    def value(cols: list[Column], _o: Column) -> Column:
-        return F.when(_known(cols), cols[i].cast("double"))
-
-    return value
-
-
-# A spread below this part of the squares is rounding: the values are constant.
-_ROUNDING = 1e-12
 _OK = Part(_count_known, "sum")
 
 
-def _spread(p: Mapping[str, Column]) -> Column:
-    squares = F.greatest(p["q"] - p["s"] * p["s"] / p["ok"], F.lit(0.0))
-    return F.when(p["ok"] > 1, squares / (p["ok"] - 1))
-
-
-def _covariance(p: Mapping[str, Column]) -> Column:
-    return F.when(p["ok"] > 1, (p["xy"] - p["x"] * p["y"] / p["ok"]) / (p["ok"] - 1))
-
-
-def _correlation(p: Mapping[str, Column]) -> Column:
-    xy = p["xy"] - p["x"] * p["y"] / p["ok"]
-    xx = p["xx"] - p["x"] * p["x"] / p["ok"]
-    yy = p["yy"] - p["y"] * p["y"] / p["ok"]
-    varies = (xx > p["xx"] * _ROUNDING) & (yy > p["yy"] * _ROUNDING)
-    return F.when((p["ok"] > 1) & varies, xy / F.sqrt(xx * yy))
-
-
 def _plain(aggregate_fn: Callable[..., Column]) -> Callable[..., Column]:
     return lambda over, *cols: over(aggregate_fn(*cols))
 
 
-def _native_correlation(over: Callable[[Column], Column], x: Column, y: Column) -> Column:
-    """From covariance and deviations: Spark's own corr fails on a window of constant values."""
-    both = x.isNotNull() & y.isNotNull()
-    spread = over(F.stddev_samp(F.when(both, x))) * over(F.stddev_samp(F.when(both, y)))
-    return F.when(spread > 0, over(F.covar_samp(x, y)) / spread)
-
+def _native_mean(over: Callable[[Column], Column], x: Column) -> Column:
+    """As the parts give it, so that a mean has one type at any size."""
+    return over(F.sum(x)).cast("double") / over(F.count(x))
 
-def _two(**more: Part) -> dict[str, Part]:
-    return {"ok": _OK, "x": Part(_double(0), "sum"), "y": Part(_double(1), "sum"), "xy": Part(_power(0, 1), "sum"), **more}
 
+def _of_moments(products: tuple[str, ...], finish: Callable[[Column], Column]) -> Accumulator:
+    combine = next(c for c, p in MOMENTS.items() if p == products)
+    return Accumulator({"m": Part(lambda cols, o: M.row(cols, products), combine)}, lambda p: finish(p["m"]))
 
-_SPREAD_PARTS = {"ok": _OK, "s": Part(_double(0), "sum"), "q": Part(_power(0, 0), "sum")}
 
 NAMED: dict[str, Accumulator] = {
     "sum": Accumulator({"s": Part(_x, "sum")}, lambda p: p["s"], _plain(F.sum)),
     "mean": Accumulator(
-        {"ok": _OK, "s": Part(_x, "sum")}, lambda p: F.when(p["ok"] > 0, p["s"].cast("double") / p["ok"]), _plain(F.avg)
+        {"ok": _OK, "s": Part(_x, "sum")}, lambda p: F.when(p["ok"] > 0, p["s"].cast("double") / p["ok"]), _native_mean
     ),
     "min": Accumulator({"m": Part(_x, "min")}, lambda p: p["m"], _plain(F.min)),
     "max": Accumulator({"m": Part(_x, "max")}, lambda p: p["m"], _plain(F.max)),
@@ -169,14 +147,10 @@ NAMED: dict[str, Accumulator] = {
         lambda p: F.when(~p["t"], False).when(~p["u"], True),
         strict=False,
     ),
-    "var": Accumulator(_SPREAD_PARTS, _spread, _plain(F.var_samp), centred=True),
-    "sd": Accumulator(
-        _SPREAD_PARTS, lambda p: F.sqrt(_spread(p)), _plain(F.stddev_samp), centred=True
-    ),
-    "cov": Accumulator(_two(), _covariance, _plain(F.covar_samp), centred=True),
-    "cor": Accumulator(
-        _two(xx=Part(_power(0, 0), "sum"), yy=Part(_power(1, 1), "sum")), _correlation, _native_correlation, centred=True
-    ),
+    "var": _of_moments(M.ONE, M.variance),
+    "sd": _of_moments(M.ONE, lambda m: F.sqrt(M.variance(m))),
+    "cov": _of_moments(M.TWO, M.covariance),
+    "cor": _of_moments(M.TWO, M.correlation),
 }
 
 Body = Accumulator | Aggregate | OnList | Opaque

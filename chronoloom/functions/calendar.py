@@ -38,7 +38,7 @@ def floordiv(value: Column, divisor: int | Column) -> Column:
 
 @dataclass(frozen=True)
 class Interval:
-    """The common distance between observations, e.g. ``Interval(1, "day")``."""
+    """The common distance between observations, e.g. ``Interval(1, "day")``; 0 units: count not yet known."""
 
     n: int
     unit: str

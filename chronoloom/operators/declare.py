@@ -10,13 +10,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..frame import Meta, Nested, TemporalFrame, split_key
-from ..functions.calendar import Interval
+from ..functions.calendar import Interval, Period
 from . import layout as L
 
 
 def as_temporal(
     df: DataFrame,
-    index: str,
+    index: str | Period,
     key: list[str | Nested] | None = None,
     interval: Interval | str | None = "auto",
     validate: bool = True,
@@ -26,11 +26,18 @@ def as_temporal(
     """Declare the index and the key of a table.
 
     ``interval``: ``"auto"`` detects it (a job), an ``Interval`` states it, ``None`` marks the index as
-    irregular. ``validate`` refuses a table where key and index repeat, or a child key has two parents
-    (a job each). With a stated interval and ``validate=False`` nothing runs.
+    irregular. ``validate`` refuses a table where key and index repeat, a child key has two parents, or a
+    distance isn't a multiple of a stated interval (a job each). With a stated interval and
+    ``validate=False`` nothing runs.
+
+    An index that holds the first days of periods is declared as ``yearmonth("month")``: distances are
+    then counted in that unit.
     """
     columns, nesting = split_key(key or [])
-    meta = Meta(index, columns, nesting, None, max_rows=max_rows, layout=layout or L.Layout())
+    unit = None
+    if isinstance(index, Period):
+        index, unit = index.source, Interval(0, index.unit)
+    meta = Meta(index, columns, nesting, unit, max_rows=max_rows, layout=layout or L.Layout())
     tf = TemporalFrame(df, meta)
     if validate:
         if not duplicates(tf).isEmpty():
@@ -38,8 +45,21 @@ def as_temporal(
         if nesting and not broken_nesting(tf).isEmpty():
             raise ValueError("a nested key has more than one parent: see broken_nesting(...)")
     if interval == "auto":
-        interval = detect_interval(tf)
-    return tf.with_(interval=interval)
+        found = detect_interval(tf) or (unit and Interval(1, unit.unit))
+        return tf.with_(interval=found, lattice=found is not None)
+    tf = tf.with_(interval=interval)
+    if validate and interval is not None:
+        if not off_lattice(tf).isEmpty():
+            raise ValueError("distances aren't multiples of the stated interval: see off_lattice(...)")
+        tf = tf.with_(lattice=True)
+    return tf
+
+
+def off_lattice(tf: TemporalFrame) -> DataFrame:
+    """Rows whose next observation isn't a multiple of the interval away."""
+    step = tf.axis.step(tf.require_interval())
+    rest = F.pmod(F.col(L.NEXT) - F.col(L.O), F.lit(step))
+    return L.neighbours(L.place(tf)).where(rest != 0).select(*tf.df.columns)
 
 
 def duplicates(tf: TemporalFrame) -> DataFrame:
@@ -118,6 +138,7 @@ def detect_interval(tf: TemporalFrame) -> Interval | None:
 
 def describe(tf: TemporalFrame) -> DataFrame:
     """One row: rows, columns, interval, key and its size, groups and their size."""
+    tf = tf.resolved()
     m = tf.meta
     by = [*m.groups, *([m.index_by[0]] if m.index_by else [])]
     count = lambda cols: F.count_distinct(F.struct(*cols)) if cols else F.lit(0).cast("bigint")

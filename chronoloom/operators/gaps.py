@@ -60,13 +60,13 @@ def _runs(first: Column, last: Column, df: DataFrame, long_gaps: bool) -> DataFr
 
 
 def fill_na(
-    tf: "TemporalFrame", full: bool = False, max_ratio: float | None = 50.0, **values: object
+    tf: "TemporalFrame", full: bool = False, max_ratio: float | None = None, **values: object
 ) -> "TemporalFrame":
     """Insert the missing rows of every series, over its own span or (``full``) the table's span.
 
     Columns not named in ``values`` are null in the inserted rows; a null that was there before stays.
-    ``max_ratio`` refuses a fill that would multiply the table by more than that (this check runs a
-    job); ``None`` skips the check where the caller knows the calendar is short.
+    A distance that isn't a multiple of the interval is filled as far as whole intervals fit in. With
+    ``max_ratio`` a fill that would multiply the table by more than that is refused (this runs a job).
     """
     m = tf.meta
     step = tf.axis.step(tf.require_interval())
@@ -80,7 +80,8 @@ def fill_na(
     placed = L.place(tf)
     df = L.neighbours(placed, previous=full)
     zero = F.lit(0).cast("bigint")
-    after = L.floordiv(F.col(NEXT) - F.col(O), step) - 1
+    after = F.greatest(L.floordiv(F.col(NEXT) - F.col(O), step) - 1, zero)
+    after = F.when(F.col(NEXT).isNotNull(), after)
     if full:
         span = _span(tf)
         last = F.coalesce(after, L.floordiv(span.getField("hi") - F.col(O), step))
@@ -106,7 +107,7 @@ def fill_na(
     if m.index_by:
         out = out.withColumn(m.index_by[0], m.index_by[1].column())
     return tf.with_(
-        out, dense=True, shared_span=full or m.shared_span, costly=placed.blocked or m.costly, max_rows=None
+        out, dense=m.lattice or step == 1, shared_span=full or m.shared_span, costly=placed.blocked or m.costly, max_rows=None
     )
 
 

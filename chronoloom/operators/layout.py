@@ -8,8 +8,9 @@ one task. Three placements, chosen from facts known while the plan is built:
     there are calendar days in years 1..9999 (3.65 million, in practice thousands). One shuffle on the
     key, plain window.
 ``long``
-    No key, so the table is one series. Rows are cut into *blocks* of consecutive ordinals. Uniqueness
-    again bounds a block: no more rows than ordinals.
+    No key, so the table is one series. Rows are cut into *blocks* of consecutive ordinals. A block is as
+    wide as ``block`` rows are on average, by the count and span of the series, so there are about
+    rows / block of them however sparse the index is. A burst makes its block longer.
 ``mixed``
     A key with a fine-grained index, where one key may hold a third of the table. Keys above
     ``hot_rows`` are found by a partial-aggregated count. The limit rises with the table, so that no
@@ -35,13 +36,14 @@ from typing import TYPE_CHECKING
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.bodies import COMBINE
+from ..functions import moments as M
+from ..functions.bodies import COMBINE, MOMENTS
 from ..functions.calendar import floordiv
 
 if TYPE_CHECKING:
     from ..frame import TemporalFrame
 
-O, C, HOT, MARK, P, NEXT, PREV = "__o", "__c", "__hot", "__mark", "__p", "__next", "__prev"
+O, C, HOT, MARK, P, NEXT, PREV, WIDTH = "__o", "__c", "__hot", "__mark", "__p", "__next", "__prev", "__width"
 
 
 # No more keys than this can each hold more than their part of a table.
@@ -52,13 +54,11 @@ HOT_KEYS = 100_000
 class Layout:
     """Sizes of the placement; the defaults suit executors with a few GB per task.
 
-    ``block`` counts intervals of a regular index, ``irregular_block`` microseconds of an irregular one
-    (17 seconds by default, so a year of one series is at most 1.9 million summary rows).
+    ``block`` counts rows: of a block on average, and of the summaries there is one for each block.
     """
 
     hot_rows: int = 1 << 22
     block: int = 1 << 16
-    irregular_block: int = 1 << 24
 
 
 @dataclass(frozen=True)
@@ -91,17 +91,25 @@ def mode_of(tf: "TemporalFrame") -> str:
     return "short" if axis.kind == "date" or axis.unit in ("year", "quarter", "month") else "mixed"
 
 
-def mark_hot(df: DataFrame, key: tuple[str, ...], hot_rows: int) -> DataFrame:
-    """Flag the rows of keys with more than ``hot_rows`` rows, or more than n / HOT_KEYS if that is larger.
+def _width(n: Column, lo: Column, hi: Column, block: int) -> Column:
+    """Ordinals of a block, such that a series of ``n`` rows from ``lo`` to ``hi`` has n / block blocks."""
+    blocks = F.greatest(floordiv(n, block), F.lit(1).cast("bigint"))
+    return F.coalesce(floordiv(hi - lo, blocks) + 1, F.lit(1).cast("bigint"))
+
+
+def mark_hot(df: DataFrame, key: tuple[str, ...], hot_rows: int, block: int) -> DataFrame:
+    """Flag the rows of keys with more than ``hot_rows`` rows, or more than n / HOT_KEYS if that is larger,
+    and give them the width of their blocks.
 
     Fewer than ``HOT_KEYS`` keys can pass, whatever the table holds; that bounds the broadcast.
     """
     names = {k: f"__h{i}" for i, k in enumerate(key)}
-    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"))
+    counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(O).alias("__lo"), F.max(O).alias("__hi"))
     part = F.call_function("div", F.sum("__n"), F.lit(HOT_KEYS).cast("bigint"))
     limit = counts.agg(F.greatest(F.lit(hot_rows).cast("bigint"), part)).scalar()
     hot = counts.where(F.col("__n") > limit).select(
-        *[F.col(k).alias(h) for k, h in names.items()], F.lit(True).alias(HOT)
+        *[F.col(k).alias(h) for k, h in names.items()], F.lit(True).alias(HOT),
+        _width(F.col("__n"), F.col("__lo"), F.col("__hi"), block).alias(WIDTH),
     )
     same = [df[k].eqNullSafe(hot[h]) for k, h in names.items()]
     joined = df.join(F.broadcast(hot), same, "left").drop(*names.values())
@@ -116,17 +124,18 @@ def place(tf: "TemporalFrame") -> Placed:
     df = tf.df.withColumn(O, axis.ordinal(F.col(meta.index)))
     if mode == "short":
         return Placed(df, meta.key, meta.index, False, meta.layout)
-    if meta.interval is not None:
-        width = meta.layout.block * axis.step(meta.interval)
-    else:
-        width = meta.layout.block if axis.kind in ("date", "int") else meta.layout.irregular_block
-    block = floordiv(F.col(O), width)
     if mode == "mixed":
-        df = mark_hot(df, meta.key, meta.layout.hot_rows)
-        block = F.when(F.col(HOT), block).otherwise(F.lit(0).cast("bigint"))
+        df = mark_hot(df, meta.key, meta.layout.hot_rows, meta.layout.block)
+        block = F.when(F.col(HOT), floordiv(F.col(O), F.col(WIDTH))).otherwise(F.lit(0).cast("bigint"))
+    elif meta.dense and meta.interval is not None and meta.interval.n:
+        df = df.withColumn(HOT, F.lit(True)).withColumn(WIDTH, F.lit(meta.layout.block * axis.step(meta.interval)))
+        block = floordiv(F.col(O), F.col(WIDTH).cast("bigint"))
     else:
-        df = df.withColumn(HOT, F.lit(True))
-    return Placed(df.withColumn(C, block), meta.key, meta.index, True, meta.layout)
+        ends = df.agg(F.count(F.lit(1)).alias("n"), F.min(O).alias("lo"), F.max(O).alias("hi"))
+        width = ends.select(_width(F.col("n"), F.col("lo"), F.col("hi"), meta.layout.block)).scalar()
+        df = df.withColumn(HOT, F.lit(True)).withColumn(WIDTH, width)
+        block = floordiv(F.col(O), F.col(WIDTH))
+    return Placed(df.withColumn(C, block).drop(WIDTH), meta.key, meta.index, True, meta.layout)
 
 
 def _merge(name: str, combine: str) -> Column:
@@ -137,6 +146,8 @@ def _merge(name: str, combine: str) -> Column:
 def _over(name: str, combine: str, spec) -> Column:
     if combine == "concat":
         return F.flatten(F.collect_list(F.col(name)).over(spec))
+    if combine in MOMENTS:
+        return M.measured(F.col(name), MOMENTS[combine], lambda a: a.over(spec))
     return COMBINE[combine](F.col(name)).over(spec)
 
 
@@ -144,7 +155,16 @@ def exclusive(summary: DataFrame, placed: Placed, combines: Mapping[str, str], r
     """Combine, for each block of a series, all blocks strictly before it (after it if ``reverse``)."""
     order = F.col(C).desc() if reverse else F.col(C).asc()
     spec = Window.partitionBy(*placed.key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    return summary.select(*placed.key, C, *[_over(n, c, spec).alias(n) for n, c in combines.items()])
+    over = lambda a: a.over(spec)
+    plain = [_over(n, c, spec).alias(n) for n, c in combines.items() if c not in MOMENTS]
+    merged = {n: M.before(F.col(n), MOMENTS[c], over) for n, c in combines.items() if c in MOMENTS}
+    if not merged:
+        return summary.select(*placed.key, C, *plain)
+    sums = [v.alias(f"{n}_{p}") for n, (first, _) in merged.items() for p, v in first.items()]
+    out = summary.select(*placed.key, C, *plain, *merged, *sums)
+    found = {n: {p: F.col(f"{n}_{p}") for p in first} for n, (first, _) in merged.items()}
+    kept = [n for n, c in combines.items() if c not in MOMENTS]
+    return out.select(*placed.key, C, *kept, *[second(found[n]).alias(n) for n, (_, second) in merged.items()])
 
 
 def running(placed: Placed, parts: Mapping[str, tuple[Column, str]]) -> DataFrame:
@@ -160,14 +180,18 @@ def running(placed: Placed, parts: Mapping[str, tuple[Column, str]]) -> DataFram
             .groupBy(*placed.key, C)
             .agg(*[_merge(n, c).alias(n) for n, c in combines.items()])
         )
-        marks = exclusive(summary, placed, combines).withColumn(MARK, F.lit(0))
+        carried = {n: f"{n}_carried" for n, c in combines.items() if c in MOMENTS}
+        marks = exclusive(summary, placed, combines).withColumnsRenamed(carried).withColumn(MARK, F.lit(0))
         df = df.withColumn(MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
         order = [F.col(MARK), F.col(O)]
     else:
-        order = [placed.order]
+        carried, order = {}, [placed.order]
     spec = Window.partitionBy(*placed.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    kept = [c for c in df.columns if c not in combines]
-    out = df.select(*kept, *[_over(n, c, spec).alias(n) for n, c in combines.items()])
+    kept = [c for c in df.columns if c not in combines and c not in carried.values()]
+    first = {n: F.first(c, ignorenulls=True).over(spec).alias(c) for n, c in carried.items()}
+    out = df.select(*kept, *first.values(), *[_over(n, c, spec).alias(n) for n, c in combines.items()])
+    out = out.withColumns({n: M.merge(F.col(c), F.col(n), MOMENTS[combines[n]]) for n, c in carried.items()})
+    out = out.drop(*carried.values())
     return out.where(F.col(MARK) == 1).drop(MARK) if placed.blocked else out
 
 

@@ -78,10 +78,15 @@ def top_k(df: DataFrame, by: str, k: int, ties: list[str]) -> DataFrame:
     """The ``k`` rows with the largest ``by``; ties are broken by name, so the result is one only."""
     order = [desc(by), *sort_columns(ties)]
     if k <= LIMIT_ROWS:
-        return df.orderBy(*order).limit(k)
+        return df.orderBy(*order, _hashed(df)).limit(k)
     return global_positions(df, order, L.P).where(F.col(L.P) < k).select(*df.columns)
 
 
+def _hashed(df: DataFrame) -> Column:
+    """Settles what an order leaves open, the same way wherever it is used; only equal rows still tie."""
+    return F.xxhash64(*[f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))])
+
+
 def global_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame:
     """Add the exact 0-based position of every row in a total order, in parallel.
 
@@ -92,8 +97,7 @@ def global_positions(df: DataFrame, order: list[Column], name: str) -> DataFrame
     """
     from ..sources.storage import checkpointed
 
-    hashed = [f.name for f in df.schema.fields if not isinstance(f.dataType, (T.MapType, T.VariantType))]
-    ties = {"__hash": F.xxhash64(*hashed), "__chance": F.rand(0)}
+    ties = {"__hash": _hashed(df), "__chance": F.rand(0)}
     sorted_ = df.withColumns(ties).orderBy(*order, *ties)
     fixed = checkpointed(sorted_).withColumn("__id", F.monotonically_increasing_id())
     part = F.shiftrightunsigned(F.col("__id"), 33)
@@ -115,7 +119,7 @@ def slice_rows(tf: "TemporalFrame", first: int, last: int) -> "TemporalFrame":
     columns = tf.df.columns
     if not m.groups:
         if last <= LIMIT_ROWS:
-            df = tf.df.orderBy(*sort_columns(order)).limit(last)
+            df = tf.df.orderBy(*sort_columns(order), _hashed(tf.df)).limit(last)
             df = df.offset(first - 1) if first > 1 else df
         else:
             df = global_positions(tf.df, sort_columns(order), L.P)
@@ -125,7 +129,7 @@ def slice_rows(tf: "TemporalFrame", first: int, last: int) -> "TemporalFrame":
     else:
         # Rank within the group. With a bound on the rank Spark keeps only the leading rows of each
         # group per task before the shuffle, so a group of any size costs `last` rows per task.
-        spec = Window.partitionBy(*m.groups).orderBy(*sort_columns(order))
+        spec = Window.partitionBy(*m.groups).orderBy(*sort_columns(order), _hashed(tf.df))
         df = tf.df.withColumn(L.P, F.row_number().over(spec)).where(F.col(L.P) <= last)
         df = df.where(F.col(L.P) >= first).select(*columns)
     return tf.with_(df, dense=False, shared_span=False)

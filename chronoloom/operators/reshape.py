@@ -14,6 +14,9 @@ if TYPE_CHECKING:
     from ..frame import TemporalFrame
 
 
+NO_LEVEL = "<NA>"
+
+
 def gather(df: DataFrame, columns: list[str], names_to: str, values_to: str) -> DataFrame:
     """Wide to long; a narrow operation without a shuffle."""
     ids = [c for c in df.columns if c not in columns]
@@ -25,18 +28,17 @@ def spread(
 ) -> DataFrame:
     """Long to wide in one shuffle: one conditional aggregate per level.
 
-    Without ``levels`` the distinct values are looked up first (a job), up to Spark's own pivot limit.
+    Without ``levels`` the distinct values are looked up first (a job): as many as there are become
+    columns, so give the levels of a column of many values. Rows without a level go to the column
+    ``<NA>``, which is there if any are found or ``levels`` has None. Given levels are the only columns.
     """
     if levels is None:
-        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
-        rows = df.select(column).where(F.col(column).isNotNull()).distinct().orderBy(column).limit(limit + 1).collect()
-        if len(rows) > limit:
-            raise ValueError(f"{column} has more than {limit} values: too wide a table")
-        levels = [r[0] for r in rows]
-    cells = [F.max(F.when(F.col(column) == F.lit(v), F.col(value))) for v in levels]
+        levels = [r[0] for r in df.select(column).distinct().orderBy(F.asc_nulls_last(column)).collect()]
+    same = lambda v: F.col(column).isNull() if v is None else F.col(column) == F.lit(v)
+    cells = [F.max(F.when(same(v), F.col(value))) for v in levels]
     if fill is not None:
         cells = [F.coalesce(c, F.lit(fill)) for c in cells]
-    return df.groupBy(*ids).agg(*[c.alias(str(v)) for c, v in zip(cells, levels)])
+    return df.groupBy(*ids).agg(*[c.alias(NO_LEVEL if v is None else str(v)) for c, v in zip(cells, levels)])
 
 
 def nest(tf: "TemporalFrame", by: list[str], name: str = "data", part_rows: int | None = None) -> DataFrame:

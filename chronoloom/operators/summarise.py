@@ -29,7 +29,8 @@ def summarise(tf: "TemporalFrame", **aggregates: Column) -> "TemporalFrame":
         index=index,
         key=key,
         nesting=tuple(n for n in m.nesting if n.child in key and n.parent in key),
-        interval=Interval(1, m.index_by[1].unit) if m.index_by else m.interval,
+        interval=_interval(tf, whole_series) if m.index_by else m.interval,
+        lattice=m.lattice and not m.index_by,
         groups=m.groups[:-1],
         index_by=None,
         dense=m.dense and (m.shared_span or whole_series),
@@ -37,6 +38,16 @@ def summarise(tf: "TemporalFrame", **aggregates: Column) -> "TemporalFrame":
     )
 
 
+def _interval(tf: "TemporalFrame", whole_series: bool) -> Interval:
+    """The interval of periods: one unit where every series has a row in each period of its span, which a
+    filled table of a short interval has; else its count is left to be found when it is needed."""
+    m, unit = tf.meta, tf.meta.index_by[1].unit
+    longest = {"year": 365, "quarter": 90, "month": 28, "week": 7, "day": 1}[unit]
+    filled = m.dense and (m.shared_span or whole_series) and m.interval is not None
+    days = {"day": 1, "week": 7}.get(m.interval.unit, 0) * m.interval.n if filled else 0
+    return Interval(1 if 0 < days <= longest else 0, unit)
+
+
 def share(df: DataFrame, value: str, within: list[str], name: str = "share") -> DataFrame:
     """Add each row's share of the total of its panel.
 

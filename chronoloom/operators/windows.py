@@ -23,7 +23,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
-from ..functions.bodies import COMBINE, Accumulator, Aggregate, Body, OnList, Opaque, resolve
+from ..functions import moments as M
+from ..functions.bodies import COMBINE, MOMENTS, Accumulator, Aggregate, Body, OnList, Opaque, resolve
 from ..functions.calendar import Interval, Period
 from . import layout as L
 
@@ -134,7 +135,6 @@ def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFra
     kept = [c for c in tf.df.columns if c not in calls]
     done = []
     for df, by, order in L.reachable(tf, max(c.size for c in calls.values())):
-        df = _pivoted(df, tf.df, calls)
         for name, call in calls.items():
             df = _slide_column(df, by, order, name, call)
         done.append(L.own(df).select(*kept, *calls))
@@ -152,14 +152,14 @@ def _slide_column(df: DataFrame, by: list[str], order: Column, name: str, call:
     if isinstance(body, OnList):
         value = body.fn(_window_list(cols, call.columns, frame))
     elif isinstance(body, Aggregate):
-        value = body.fn(*cols).over(frame)
+        value = body.value(cols, lambda a: a.over(frame))
     else:
         strict = body.strict and not call.na_rm and _nullable(df, call)
         known = F.when(_known(cols), 1).otherwise(0).cast("bigint")
         if body.native is not None and n <= WIDE:
             value, known = body.native(lambda a: a.over(frame), *cols), F.sum(known).over(frame)
         else:
-            parts = {p: (part.value(_inputs(call), F.col(L.O)), part.combine) for p, part in body.parts.items()}
+            parts = {p: (part.value(cols, F.col(L.O)), part.combine) for p, part in body.parts.items()}
             parts |= {"__known": (known, "sum")} if strict else {}
             df, merged = _slide_parts(df, by, order, frame, f"__{name}", parts, n)
             value, known = body.finish(merged), merged.get("__known")
@@ -174,6 +174,7 @@ _MERGE = {
     "sum": lambda a, b: F.coalesce(a + b, a, b),
     "min": lambda a, b: F.least(a, b),
     "max": lambda a, b: F.greatest(a, b),
+    **{c: lambda a, b, products=p: M.merge(a, b, products) for c, p in MOMENTS.items()},
 }
 
 
@@ -210,46 +211,17 @@ def _slide_parts(
     return df, out
 
 
-PIVOT = "__pivot"
-
-
-def _pivoted(df: DataFrame, base: DataFrame, calls: Mapping[str, WindowCall]) -> DataFrame:
-    """Add the overall means that products are taken about, so that large values do not cancel."""
-    names = [c for call in calls.values() if _centred(call) for c in call.columns]
-    if not names:
-        return df
-    means = base.agg(*[F.avg(c).alias(c) for c in dict.fromkeys(names)])
-    return df.withColumn(PIVOT, means.select(F.struct(*means.columns)).scalar())
-
-
-def _centred(call: WindowCall) -> bool:
-    body = call.body
-    if not isinstance(body, Accumulator) or not body.centred:
-        return False
-    return call.kind == "stretch" or body.native is None or (call.kind == "slide" and call.size > WIDE)
-
-
-def _inputs(call: WindowCall) -> list[Column]:
-    return [F.col(c) - F.col(PIVOT)[c] for c in call.columns] if _centred(call) else call.inputs
-
-
 # -- stretch ----------------------------------------------------------------------------------
 
 
 def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
     placed = L.place(tf)
-    placed = dataclasses.replace(placed, df=_pivoted(placed.df, tf.df, calls))
     parts: dict[str, tuple[Column, str]] = {"__seen": (F.lit(1).cast("bigint"), "sum")}
     finish: dict[str, Column] = {}
     whole: dict[str, WindowCall] = {}
     for i, (name, call) in enumerate(calls.items()):
         body = call.body
         if isinstance(body, Aggregate):
-            if placed.blocked:
-                raise TypeError(
-                    f"{name}: a series without a known bound stretches by an Accumulator or on_list(...), "
-                    "not by an arbitrary aggregate"
-                )
             whole[name] = call
             continue
         if isinstance(body, (OnList, Opaque)):
@@ -262,9 +234,8 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
             else:
                 finish[name] = body.fn(windows)
             continue
-        inputs = _inputs(call)
         for p, part in body.parts.items():
-            parts[f"__{i}_{p}"] = (part.value(inputs, F.col(L.O)), part.combine)
+            parts[f"__{i}_{p}"] = (part.value(call.inputs, F.col(L.O)), part.combine)
         value = body.finish({p: F.col(f"__{i}_{p}") for p in body.parts})
         if body.strict and not call.na_rm and _nullable(tf.df, call):
             parts[f"__{i}_known"] = (F.when(_known(call.inputs), 1).otherwise(0).cast("bigint"), "sum")
@@ -272,8 +243,9 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
         finish[name] = value
     df = L.running(placed, parts)
     if whole:
-        spec = Window.partitionBy(*placed.by).orderBy(placed.order).rowsBetween(Window.unboundedPreceding, 0)
-        finish |= {name: call.body.fn(*call.inputs).over(spec) for name, call in whole.items()}
+        # An arbitrary aggregate can't be carried from block to block: its series is followed in one task.
+        spec = Window.partitionBy(*placed.key).orderBy(placed.order).rowsBetween(Window.unboundedPreceding, 0)
+        finish |= {name: call.body.value(call.inputs, lambda a: a.over(spec)) for name, call in whole.items()}
     for name, call in calls.items():
         value = finish[name]
         if not call.partial and not isinstance(call.body, Opaque):
@@ -293,13 +265,12 @@ def _tile_value(df: DataFrame, call: WindowCall) -> Column:
         windows = _pluck(rows, call.columns)
         return windows if isinstance(body, Opaque) else body.fn(windows)
     if isinstance(body, Aggregate):
-        return body.fn(*cols)
+        return body.value(cols, lambda a: a)
     if body.native is not None:
         value = body.native(lambda a: a, *cols)
     else:
-        inputs = _inputs(call)
         value = body.finish(
-            {p: COMBINE[part.combine](part.value(inputs, F.col(L.O))) for p, part in body.parts.items()}
+            {p: COMBINE[part.combine](part.value(cols, F.col(L.O))) for p, part in body.parts.items()}
         )
     if body.strict and not call.na_rm and _nullable(df, call):
         value = F.when(F.count(F.when(_known(cols), 1)) == F.count(F.lit(1)), value)
@@ -315,7 +286,7 @@ def tiles(tf: "TemporalFrame", **calls: WindowCall) -> "TemporalFrame":
     m = tf.meta
     placed = L.positions(tf)
     df = placed.df.withColumn("tile", L.floordiv(F.col(L.P), n) + 1)
-    out = _pivoted(df, tf.df, calls).groupBy(*m.key, "tile").agg(
+    out = df.groupBy(*m.key, "tile").agg(
         F.min(m.index).alias(m.index), *[_tile_value(df, call).alias(name) for name, call in calls.items()]
     )
     for name, call in calls.items():
@@ -375,14 +346,12 @@ def slide_period(
     if any(not isinstance(c.body, Accumulator) for c in calls.values()):
         raise TypeError("slide_period computes named functions or Accumulators")
     data = tf.df.withColumn(name, period.column()).withColumn(L.O, tf.axis.ordinal(F.col(m.index)))
-    # Period parts are merged like a stretch, so products need the same care.
-    calls = {label: dataclasses.replace(call, kind="stretch") for label, call in calls.items()}
-    data = _pivoted(data, tf.df, calls)
+    if any(c.size != 1 or c.partial for c in calls.values()):
+        raise ValueError("slide_period has its own size and partial: leave them out of the calls")
     parts, values = {}, {}
     for i, (label, call) in enumerate(calls.items()):
-        inputs = _inputs(call)
         for p, part in call.body.parts.items():
-            values[f"__{i}_{p}"] = part.value(inputs, F.col(L.O))
+            values[f"__{i}_{p}"] = part.value(call.inputs, F.col(L.O))
             parts[f"__{i}_{p}"] = part.combine
         values[f"__{i}_known"] = F.when(_known(call.inputs), 1).otherwise(0).cast("bigint")
         values[f"__{i}_all"] = F.lit(1).cast("bigint")
@@ -391,20 +360,24 @@ def slide_period(
     frame = TemporalFrame(
         per,
         dataclasses.replace(
-            m, index=name, nesting=(), interval=Interval(1, period.unit), groups=(), index_by=None, dense=False,
+            m, index=name, nesting=(), interval=Interval(0, period.unit), groups=(), index_by=None, dense=False,
             shared_span=False,
         ),
     )
-    merged = frame.mutate(
-        **{v: WindowCall("slide", (v,), Aggregate(COMBINE[c]), size, partial=partial) for v, c in parts.items()}
-    ).df
+
+    def slid(combine: str) -> Body:
+        if combine in MOMENTS:
+            return OnList(lambda groups: M.folded(groups, MOMENTS[combine]))
+        return Aggregate(COMBINE[combine])
+
+    merged = frame.mutate(**{v: WindowCall("slide", (v,), slid(c), size, partial=partial) for v, c in parts.items()}).df
     for i, (label, call) in enumerate(calls.items()):
         value = call.body.finish({p: F.col(f"__{i}_{p}") for p in call.body.parts})
         if call.body.strict and not call.na_rm:
             value = F.when(F.col(f"__{i}_known") == F.col(f"__{i}_all"), value)
         merged = _typed(merged.withColumn(label, value), label, call.out_type)
     back = merged.select(*[F.col(k).alias(f"__r_{k}") for k in (*m.key, name)], *calls)
-    rows = data.drop(L.O, PIVOT)
+    rows = data.drop(L.O)
     same = [rows[k].eqNullSafe(back[f"__r_{k}"]) for k in m.key] + [rows[name] == back[f"__r_{name}"]]
     kept = [c for c in rows.columns if c not in calls]
     return tf.with_(rows.join(back, same, "inner").select(*kept, *calls))

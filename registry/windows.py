@@ -416,7 +416,7 @@ TYPE = "PARTITION BY event_type ORDER BY ts"
 def events_hot_series(spark, sf_dir):
     """Few, large series, cut into blocks of an hour as soon as a series passes a thousand rows."""
     events = star.table(spark, sf_dir, "events").select("ts", "event_type", "event_id", "value")
-    layout = cl.Layout(hot_rows=1000, irregular_block=3_600_000_000)
+    layout = cl.Layout(hot_rows=1000, block=256)
     tf = cl.as_temporal(events, "ts", ["event_type"], interval=None, validate=False, layout=layout)
     tf = tf.mutate(m=cl.FAMILY["slide_dbl"]("value", "mean", size=20))
     stretch = cl.FAMILY["stretch"]

@@ -85,7 +85,7 @@ def main() -> None:
     con, oracles, failed = connect(sf_dir), oracle_sql(), []
     wanted = sys.argv[2:]
     for name, run in queries().items():
-        if wanted and name not in wanted:
+        if name not in oracles or (wanted and name not in wanted):
             continue
         try:
             ok, note = compare(spark, con, name, run, oracles[name], sf_dir)

@@ -89,7 +89,7 @@ def test_fill_full_span_and_limit(gaps):
 
 
 def test_fill_months_from_month_ends(spark):
-    df = spark.createDataFrame([(D(2019, 11, 30), 1), (D(2020, 3, 31), 2)], "day date, x int")
+    df = spark.createDataFrame([(D(2019, 11, 30), 1), (D(2019, 12, 31), 0), (D(2020, 3, 31), 2)], "day date, x int")
     tf = cl.as_temporal(df, "day").index_by(month=cl.yearmonth("day")).summarise(x=F.sum("x"))
     got = rows(tf.fill_na(x=0).df, "month")
     assert got == [(D(2019, 11, 1), 1), (D(2019, 12, 1), 0), (D(2020, 1, 1), 0), (D(2020, 2, 1), 0), (D(2020, 3, 1), 2)]
@@ -121,7 +121,7 @@ def test_null_rules_in_summaries(gaps):
 def test_summarise_rewrites_the_description(gaps):
     tf = gaps.mutate(c=F.lit("z")).group_by("c", "k").index_by(year=cl.year("day")).summarise(n=cl.n_rows())
     m = tf.meta
-    assert (m.index, m.key, m.groups, m.interval) == ("year", ("k", "c"), ("c",), cl.Interval(1, "year"))
+    assert (m.index, m.key, m.groups, tf.require_interval()) == ("year", ("k", "c"), ("c",), cl.Interval(1, "year"))
     assert rows(tf.df, "k") == [("z", None, 2020, 2), ("z", "a", 2020, 4), ("z", "b", 2020, 1)]
     assert gaps.summarise(n=cl.n_rows()).meta.key == ()
 
@@ -299,8 +299,68 @@ def test_scratch_needs_a_shared_folder(spark):
 def test_the_list_of_hot_keys_is_bounded(spark, monkeypatch):
     from chronoloom.operators import layout
 
-    df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 6).alias("k"))
-    hot = lambda: {r.k for r in layout.mark_hot(df, ("k",), 5).where(layout.HOT).select("k").distinct().collect()}
+    df = spark.range(100).select(F.when(F.col("id") < 40, 0).otherwise(F.col("id") % 6).alias("k"), F.col("id").alias(layout.O))
+    hot = lambda: {r.k for r in layout.mark_hot(df, ("k",), 5, 4).where(layout.HOT).select("k").distinct().collect()}
     assert hot() == {0, 1, 2, 3, 4, 5}
     monkeypatch.setattr(layout, "HOT_KEYS", 3)  # more than a third of the rows
     assert hot() == {0}
+
+
+WEEK = cl.Interval(7, "day")
+
+
+@pytest.mark.parametrize("options", [{}, {"layout": cl.Layout(hot_rows=1, block=2)}])
+def test_fill_off_the_lattice_invents_nothing(spark, options):
+    """Distances that aren't multiples of the interval, on whole series and on blocks."""
+    from collections import Counter
+
+    for days, inserted in (([0, 3, 14, 21], 0), ([0, 7, 10, 17], 0), ([0, 2, 23], 2)):
+        rows = [(dt.datetime(2000, 1, 1) + dt.timedelta(d), "k", 1) for d in days]
+        df = spark.createDataFrame(rows, "t timestamp_ntz, k string, x int")
+        if not options:
+            df = df.withColumn("t", F.col("t").cast("date"))
+        for key in (["k"], []):
+            tf = cl.as_temporal(df, "t", key, interval=WEEK, validate=False, **options)
+            filled = tf.fill_na(x=0)
+            found = Counter(r.t for r in filled.df.collect())
+            assert max(found.values()) == 1 and len(found) == len(days) + inserted
+            assert not filled.meta.dense
+            assert min(found) == min(r.t for r in df.collect())
+            with pytest.raises(ValueError, match="multiples"):
+                cl.as_temporal(df, "t", key, interval=WEEK, **options)
+
+
+def test_a_stored_monthly_table_is_declared_by_its_period(spark):
+    months = [(dt.date(2020, m, 1), m) for m in (1, 2, 4, 7)]
+    df = spark.createDataFrame(months, "month date, x int")
+    tf = cl.as_temporal(df, cl.yearmonth("month"))
+    assert tf.meta.interval == cl.Interval(1, "month")
+    assert [r.month.month for r in tf.fill_na(x=0).df.orderBy("month").collect()] == list(range(1, 8))
+    quarters = cl.as_temporal(df.where("x in (1, 4, 7)"), cl.yearmonth("month"))
+    assert quarters.meta.interval == cl.Interval(3, "month")
+
+
+def test_interval_after_index_by_is_found_not_assumed(spark):
+    rows = [(dt.date(2020, m, d), 1) for m in (1, 4, 7, 10) for d in (1, 9)]
+    tf = cl.as_temporal(spark.createDataFrame(rows, "d date, x int"), "d").index_by(m=cl.yearmonth("d"))
+    monthly = tf.summarise(x=F.sum("x"))
+    assert monthly.require_interval() == cl.Interval(3, "month")
+    assert monthly.fill_na(x=0).df.count() == 4
+
+
+def test_spread_refuses_to_lose_a_measure(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, 1), "a", 1, 2), (dt.date(2020, 1, 1), None, 3, 4)], "d date, k string, x int, y int")
+    tf = cl.as_temporal(df, "d", ["k"])
+    with pytest.raises(ValueError, match="lose y"):
+        tf.spread("k", "x")
+    out = tf.with_(df.drop("y")).spread("k", "x").df
+    assert out.columns == ["d", "a", "<NA>"] and tuple(out.first())[1:] == (1, 3)
+
+
+def test_open_ties_are_settled_alike(spark, monkeypatch):
+    from chronoloom.operators import relational
+
+    df = spark.range(300).select(F.col("id"), (F.col("id") % 3).alias("x"))
+    few = sorted(relational.top_k(df, "x", 20, []).collect())
+    monkeypatch.setattr(relational, "LIMIT_ROWS", 5)
+    assert sorted(relational.top_k(df, "x", 20, []).collect()) == few

@@ -3,6 +3,7 @@
 import datetime as dt
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -32,7 +33,7 @@ def collected(df, *order):
 def everything(df, key, **options):
     """All ordered operations over one table, under one placement."""
     tf = cl.as_temporal(df, "t", key, interval=options.pop("interval", None), validate=False, **options)
-    minute = tf.with_(interval=cl.Interval(1, "minute"))
+    minute = tf.with_(interval=cl.Interval(1, "minute"), lattice=True)
     slid = tf.mutate(
         s=fam["slide"]("x", "sum", size=5, na_rm=True),
         m=fam["slide_dbl"]("x", "mean", size=3),
@@ -80,7 +81,7 @@ def everything(df, key, **options):
     ]
 
 
-TINY = cl.Layout(hot_rows=20, block=4, irregular_block=3_600_000_000)
+TINY = cl.Layout(hot_rows=20, block=4)
 
 
 @pytest.mark.parametrize("seed", [1])
@@ -201,11 +202,84 @@ def test_constant_windows_have_no_correlation(spark):
         assert got.where("a is not null or b is not null").count() == 0
 
 
-def test_stretch_of_an_arbitrary_aggregate_needs_a_bound(small, spark):
+def test_stretch_of_an_arbitrary_aggregate_on_every_placement(small):
     assert column(small, fam["stretch"]("y", cl.aggregate(F.product))) == [0.0] * 5
-    long = cl.as_temporal(small.df.where("k = 'a'").drop("k"), "t")
-    with pytest.raises(TypeError, match="Accumulator"):
-        long.mutate(out=fam["stretch"]("y", cl.aggregate(F.product)))
+    one = small.df.where("k = 'a'").drop("k")
+    span = lambda c, over: over(F.max(c)) - over(F.min(c))
+    whole, blocks = cl.as_temporal(one, "t", max_rows=9), cl.as_temporal(one, "t", layout=TINY)
+    for tf in (whole, blocks):
+        out = tf.mutate(p=fam["stretch"]("y", cl.aggregate(F.product)), r=fam["stretch_dbl"]("y", span)).df.orderBy("t")
+        assert [(r.p, r.r) for r in out.collect()] == [(0.0, float(k)) for k in range(5)]
+
+
+def test_lambdas_of_several_aggregates_and_of_rows(small):
+    span = lambda c, over: over(F.max(c)) - over(F.min(c))
+    ends = lambda c, over: F.struct(over(F.min(c)).alias("lo"), over(F.max(c)).alias("hi"))
+    assert column(small, fam["slide_dbl"]("y", span, size=2)) == [None, 1.0, 1.0, 1.0, 1.0]
+    assert [tuple(r) for r in column(small, fam["slide"]("y", ends, size=2))[1:]] == [(k, k + 1.0) for k in range(4)]
+    tiles = small.tiles(r=fam["tile"]("y", ends, size=4)).df.where("k = 'a'").orderBy("tile").collect()
+    assert [tuple(t.r) for t in tiles] == [(0.0, 3.0), (4.0, 4.0)]
+
+
+def levels(spark, rows=400):
+    """Two series of noise on very different levels, the first drifting."""
+    rnd = random.Random(4)
+    out = []
+    for k, level in (("high", 1e9), ("low", 0.0)):
+        for i in range(rows):
+            x = rnd.gauss(0, 1)
+            out.append((k, dt.date(2000, 1, 1) + dt.timedelta(i), level + x, -level + 2 * x + rnd.gauss(0, 0.1)))
+    return spark.createDataFrame(out, "k string, t date, x double, y double")
+
+
+def test_moments_do_not_cancel_at_any_size_or_placement(spark):
+    df = levels(spark)
+    rows = {k: [(r.x, r.y) for r in df.where(F.col("k") == k).orderBy("t").collect()] for k in ("high", "low")}
+    stamps = df.withColumn("t", F.col("t").cast("timestamp_ntz"))
+    frames = {
+        "short": cl.as_temporal(df, "t", ["k"], interval=cl.Interval(1, "day")),
+        "mixed": cl.as_temporal(stamps, "t", ["k"], interval=None, layout=cl.Layout(hot_rows=20, block=16)),
+    }
+    calls = {f"sd{n}": fam["slide_dbl"]("x", "sd", size=n) for n in (64, 65, 90)}
+    calls |= {f"cor{n}": fam["slide2_dbl"]("x", "y", "cor", size=n) for n in (64, 65)}
+    for tf in frames.values():
+        slid = tf.mutate(**calls).df
+        grown = tf.mutate(sd=fam["stretch_dbl"]("x", "sd"), cov=fam["stretch2_dbl"]("x", "y", "cov")).df
+        for k, values in rows.items():
+            a = np.array(values)
+            a = a - a.mean(0)  # numpy cancels too
+            got = slid.where(F.col("k") == k).orderBy("t").collect()
+            for i in range(89, len(a), 37):
+                for n in (64, 65, 90):
+                    assert got[i][f"sd{n}"] == pytest.approx(a[i - n + 1 : i + 1, 0].std(ddof=1), rel=1e-5)
+                for n in (64, 65):
+                    want = np.corrcoef(a[i - n + 1 : i + 1].T)[0, 1]
+                    assert got[i][f"cor{n}"] == pytest.approx(want, rel=1e-4)
+            got = grown.where(F.col("k") == k).orderBy("t").collect()
+            for i in range(5, len(a), 41):
+                assert got[i].sd == pytest.approx(a[: i + 1, 0].std(ddof=1), rel=1e-5)
+                assert got[i].cov == pytest.approx(np.cov(a[: i + 1].T)[0, 1], rel=1e-4)
+
+
+def test_one_type_at_every_size(spark):
+    df = levels(spark, 80).withColumn("x", F.col("x").cast("decimal(18,2)"))
+    tf = cl.as_temporal(df, "t", ["k"], interval=cl.Interval(1, "day"))
+    out = tf.mutate(
+        a=fam["slide"]("x", "mean", size=64), b=fam["slide"]("x", "mean", size=65), c=fam["stretch"]("x", "mean"),
+        d=fam["slide"]("x", "sd", size=64), e=fam["slide"]("x", "sd", size=65),
+    ).df
+    assert {t for c, t in out.dtypes if c in "abcde"} == {"double"}
+
+
+def test_blocks_follow_rows_not_ordinals(spark):
+    from chronoloom.operators import layout
+
+    df = spark.range(2000).select((F.lit(dt.datetime(2020, 1, 1)).cast("timestamp_ntz") + F.expr("make_dt_interval(0, 0, 0, id * 977)")).alias("t"))
+    whole = df.select(F.unix_micros(F.col("t").cast("timestamp")).alias("t"))
+    for table, interval in ((df, "auto"), (df, None), (whole, "auto")):
+        tf = cl.as_temporal(table, "t", interval=interval, layout=cl.Layout(block=50))
+        blocks = layout.place(tf).df.select(layout.C).distinct().count()
+        assert 20 <= blocks <= 80
 
 
 def test_custom_accumulator(small):
