@@ -65,6 +65,22 @@ def temporal_join(
     return out
 
 
+SALTS = 64
+
+
+def spread_join(rows: DataFrame, table: DataFrame, pairs: dict[str, str], by: list[str]) -> DataFrame:
+    """Rows with the one row of ``table`` that has the same values (nulls alike): ``pairs`` maps column names.
+
+    One value may be that of a third of all rows, so rows are dealt over ``SALTS`` parts of each value by
+    a hash of the columns ``by``, and the table, a row per value, is repeated for each part.
+    """
+    parts = table.withColumn("__part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    dealt = rows.withColumn("__deal", F.pmod(F.xxhash64(*by), F.lit(SALTS)).cast("int"))
+    same = [dealt[a].eqNullSafe(parts[b]) for a, b in pairs.items()]
+    joined = dealt.join(parts, [*same, dealt["__deal"] == parts["__part"]], "inner")
+    return joined.drop("__deal", "__part", *pairs.values())
+
+
 def desc(column: str) -> Column:
     return F.desc_nulls_last(column)
 

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from . import layout as L
 from .levels import LevelOrder
+from .relational import spread_join
 
 if TYPE_CHECKING:
     from ..frame import TemporalFrame
@@ -57,7 +58,7 @@ def nest(tf: "TemporalFrame", by: list[str], name: str = "data", part_rows: int
         else:
             names = {c: f"__g{i}" for i, c in enumerate(by)}
             sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("__n")).withColumnsRenamed(names)
-            df = df.join(sizes, [df[c].eqNullSafe(sizes[g]) for c, g in names.items()], "inner")
+            df = spread_join(df, sizes, names, [*m.key, m.index])
             parts = L.floordiv(F.col("__n") + (part_rows - 1), part_rows)
             df = df.withColumn("part", F.pmod(F.xxhash64(*m.key, m.index), parts))
     inner = [m.index, *[c for c in tf.df.columns if c not in by and c != m.index]]

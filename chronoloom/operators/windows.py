@@ -27,6 +27,7 @@ from ..functions import moments as M
 from ..functions.bodies import COMBINE, MOMENTS, Accumulator, Aggregate, Body, OnList, Opaque, resolve
 from ..functions.calendar import Interval, Period
 from . import layout as L
+from .relational import spread_join
 
 if TYPE_CHECKING:
     from ..frame import TemporalFrame
@@ -376,11 +377,17 @@ def slide_period(
         if call.body.strict and not call.na_rm:
             value = F.when(F.col(f"__{i}_known") == F.col(f"__{i}_all"), value)
         merged = _typed(merged.withColumn(label, value), label, call.out_type)
-    back = merged.select(*[F.col(k).alias(f"__r_{k}") for k in (*m.key, name)], *calls)
+    names = {k: f"__r_{k}" for k in (*m.key, name)}
+    back = merged.select(*[F.col(k).alias(r) for k, r in names.items()], *calls)
     rows = data.drop(L.O)
-    same = [rows[k].eqNullSafe(back[f"__r_{k}"]) for k in m.key] + [rows[name] == back[f"__r_{name}"]]
     kept = [c for c in rows.columns if c not in calls]
-    return tf.with_(rows.join(back, same, "inner").select(*kept, *calls))
+    rows = rows.select(*kept)
+    if m.key:
+        same = [rows[k].eqNullSafe(back[r]) for k, r in names.items()]
+        joined = rows.join(back, same, "inner")
+    else:  # a period may hold a large part of the table
+        joined = spread_join(rows, back, names, [m.index])
+    return tf.with_(joined.select(*kept, *calls))
 
 
 # -- the family of names ------------------------------------------------------------------------
