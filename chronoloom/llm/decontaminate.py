@@ -235,4 +235,4 @@ def keep_unseen(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", *
     """The rows of ``docs``, with all their columns, whose text overlaps with no item; null texts stay."""
     found = overlaps(docs, benchmark, text_col=text_col, **columns).select(F.col("digest").alias("_digest")).distinct()
     found = Stages(docs.sparkSession, "seen").write(found, "seen")
-    return docs.join(found, F.md5(column(text_col)) == F.col("_digest"), "left_anti")
+    return docs.join(found, F.md5(column(text_col)) == found["_digest"], "left_anti")

@@ -343,5 +343,5 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = Stages(docs.sparkSession, "kept").write(kept, "kept")
     whole = docs.where(ident.isNotNull() & text.isNotNull())
-    one = whole.join(kept, ident.cast("long") == F.col("_kept"), "left_semi").dropDuplicates([id_col])
+    one = whole.join(kept, ident.cast("long") == kept["_kept"], "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(ident.isNull() | text.isNull()))

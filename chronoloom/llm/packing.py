@@ -101,6 +101,9 @@ def pack(
     a null or empty text is one piece of one id. Every row of ``docs`` is a document: repeated rows and
     rows without an id are packed like others. Ties in length keep doc_id order. An empty table gives
     none. Other columns aren't read.
+
+    ``docs`` should come from files: blocks are dealt out by a row's place in its partition, which a task
+    that is repeated after the loss of an executor must find again.
     """
     blocks = max(1, -(-docs.count() // BLOCK))
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))

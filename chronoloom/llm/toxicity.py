@@ -146,6 +146,8 @@ def fit_machine(docs: np.ndarray, codes: np.ndarray, labels: np.ndarray, factors
 def _sample_terms(batches: Iterator[pa.RecordBatch]):
     for batch in slices(batches, "text"):
         docs, codes = _terms(batch.column("text"))
+        both = np.unique((docs[codes >= 0] << 33) | codes[codes >= 0])
+        docs, codes = both >> 33, both & ((1 << 33) - 1)
         starts = np.searchsorted(docs, np.arange(batch.num_rows + 1))
         lists = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(codes))
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("toxic"), lists], ["doc_id", "toxic", "terms"])

@@ -12,7 +12,7 @@ DOCS = T.StructType(
         T.StructField("source", T.StringType()),
         T.StructField("n_chars", T.LongType()),
         # names that the operators use within
-        *[T.StructField(c, T.StringType()) for c in ("digest", "block", "shard", "_text", "_m", "kept", "score", "n")],
+        *[T.StructField(c, T.StringType()) for c in ("digest", "block", "shard", "_text", "_m", "kept", "score", "_kept", "_digest")],
     ]
 )
 WORDS = "alpha beta gamma delta epsilon zeta eta theta iota kappa lambda mu nu xi omicron pi rho the of and".split()
@@ -46,7 +46,7 @@ def edge_texts() -> list[tuple]:
 
 
 def table(spark, rows, extra=True):
-    junk = ("j",) * 8
+    junk = ("j",) * 9
     full = [(i, t, "en", None if i == 7 else f"s{(i or 0) % 3}", len(t or ""), *junk) for i, t in rows]
     df = spark.createDataFrame(full, DOCS)
     return df if extra else df.select("doc_id", "text", "lang", "source", "n_chars")
