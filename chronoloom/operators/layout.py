@@ -13,7 +13,7 @@ one task. Three placements, chosen from facts known while the plan is built:
     rows / block of them however sparse the index is. A burst makes its block longer.
 ``mixed``
     A key with a fine-grained index, where one key may hold a third of the table. Keys above
-    ``hot_rows`` are found by a partial-aggregated count. The limit rises with the table, so that no
+    ``hot_rows`` are found by a partial-aggregated count. The limit rises with tables of over 4 * 10^12 rows, so that no
     more than ``HOT_KEYS`` keys can be above it and their list is safe to broadcast at any size. Hot
     keys are cut into blocks, all other keys stay whole.
 
@@ -47,7 +47,7 @@ O, C, HOT, MARK, P, NEXT, PREV, WIDTH = "__o", "__c", "__hot", "__mark", "__p",
 
 
 # No more keys than this can each hold more than their part of a table.
-HOT_KEYS = 100_000
+HOT_KEYS = 1_000_000
 
 
 @dataclass(frozen=True)
