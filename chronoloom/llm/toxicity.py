@@ -4,9 +4,9 @@ A document is the set of its terms, words and their beginnings, hashed to 32 bit
 ``w0 + sum(w_i) + sum over pairs of (v_i . v_j)``: besides a weight, each term has a short vector, so two
 terms that are harmless alone can count together, which additive weights miss.
 
-The model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash of the id) in one task. It
-holds only terms that go with the label in the sample, so its size is bounded too; every document is
-scored whole in the scan, with no shuffle.
+The model is fitted on a bounded sample of labelled rows (``SAMPLE``, by hash of the id). Spark counts the
+terms of the sample by label and keeps those that go with it; one task fits weights and vectors of these.
+So the size of the model is bounded too. Every document is scored whole in the scan, with no shuffle.
 """
 
 from __future__ import annotations
@@ -101,22 +101,15 @@ def _margin(model: Machine, docs: np.ndarray, features: np.ndarray, n: int) -> t
 
 
 def fit_machine(docs: np.ndarray, codes: np.ndarray, labels: np.ndarray, factors: int = FACTORS, epochs: int = EPOCHS) -> Machine:
-    """Fit by AdaGrad on the logistic loss, with all sampled rows in each of many small batches."""
+    """Fit by AdaGrad on the logistic loss, with all sampled rows in each of many small batches.
+
+    ``docs`` and ``codes`` say which document has which of the chosen terms, ``docs`` ascending.
+    """
     n, rng = len(labels), np.random.default_rng(7)
     kinds, at = np.unique(codes, return_inverse=True)
-    both = np.unique(docs * max(len(kinds), 1) + at) if len(kinds) else np.zeros(0, np.int64)
-    docs, at = both // max(len(kinds), 1), both % max(len(kinds), 1)
-    toxic = int(labels.sum())
-    seen, seen_toxic = np.bincount(at, minlength=len(kinds)), np.bincount(at, labels[docs], len(kinds))
-    p = (seen + 1) / (n + 2)
-    gap = (seen_toxic + 0.5) / (toxic + 1) - (seen - seen_toxic + 0.5) / (n - toxic + 1)
-    z = gap / np.sqrt(p * (1 - p) * (1 / (toxic + 1) + 1 / (n - toxic + 1)))
-    chosen = (seen >= LEAST_DOCUMENTS) & (np.abs(z) >= LEAST_Z) & (kinds >= 0)
-    place = np.cumsum(chosen) - 1
-    docs, at = docs[chosen[at]], place[at[chosen[at]]]
-    m = int(chosen.sum())
+    toxic, m = int(labels.sum()), len(kinds)
     rate = (toxic + 0.5) / (n + 1)
-    model = Machine(kinds[chosen], np.zeros(m), rng.normal(0, 0.05, (m, factors)), float(np.log(rate / (1 - rate))))
+    model = Machine(kinds, np.zeros(m), rng.normal(0, 0.05, (m, factors)), float(np.log(rate / (1 - rate))))
     if m == 0 or toxic in (0, n):
         return model
     starts = np.searchsorted(docs, np.arange(n + 1))
@@ -166,6 +159,17 @@ def _fit_sample(frame: pd.DataFrame) -> pd.DataFrame:
     )
 
 
+def _telling(each: DataFrame, n: int, toxic: int) -> DataFrame:
+    """The terms that go with the label: in ``LEAST_DOCUMENTS`` rows, and ``LEAST_Z`` standard errors
+    between the shares of toxic and of other rows that have them."""
+    counted = each.where("term is not null").groupBy("term").agg(F.count("*").alias("seen"), F.sum("toxic").alias("bad"))
+    share = (F.col("seen") + 1) / (n + 2)
+    gap = (F.col("bad") + 0.5) / (toxic + 1) - (F.col("seen") - F.col("bad") + 0.5) / (n - toxic + 1)
+    z = gap / F.sqrt(share * (1 - share) * (1 / (toxic + 1) + 1 / (n - toxic + 1)))
+    telling = counted.where((F.col("seen") >= LEAST_DOCUMENTS) & (F.abs(z) >= LEAST_Z))
+    return telling.select("term", F.lit(True).alias("telling"))
+
+
 def fit(
     docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text"
 ) -> Machine:
@@ -179,15 +183,22 @@ def fit(
     known = labels.select(ident, column("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.where(~held_out("doc_id")).groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     chosen = known.orderBy(F.md5(F.col("doc_id").cast("string")), "doc_id").limit(sample)
-    chosen = Stages(docs.sparkSession, "toxicity").write(chosen, "sample")
+    stages = Stages(docs.sparkSession, "toxicity")
+    chosen = stages.write(chosen, "sample")
     texts = docs.select(ident, column(text_col).alias("text"))
     rows = texts.join(F.broadcast(chosen), "doc_id")  # at most ``sample`` rows
     terms = rows.mapInArrow(_sample_terms, "doc_id bigint, toxic int, terms array<bigint>")
-    terms = terms.groupBy("doc_id", "toxic").agg(F.any_value("terms").alias("terms"))
-    fitted = terms.groupBy().applyInPandas(
+    terms = stages.write(terms.groupBy("doc_id", "toxic").agg(F.any_value("terms").alias("terms")), "terms")
+    each = terms.select("doc_id", "toxic", F.explode_outer("terms").alias("term"))
+    chosen = stages.write(_telling(each, *terms.agg(F.count("*"), F.coalesce(F.sum("toxic"), F.lit(0))).first()), "chosen")
+    features = each.join(chosen, "term", "left").groupBy("doc_id", "toxic").agg(
+        F.sort_array(F.collect_list(F.when(F.col("telling"), F.col("term")))).alias("terms")
+    )
+    fitted = features.groupBy().applyInPandas(
         _fit_sample, "terms binary, weight binary, vectors binary, constant double"
     )
     row = fitted.first()
+    stages.drop(terms)
     if row is None:
         return Machine(np.zeros(0, np.int64), np.zeros(0), np.zeros((0, FACTORS)), 0.0)
     return Machine(
