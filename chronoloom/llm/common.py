@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from ..sources.storage import scratch_path
 
 #: Bytes of text that a Python worker handles at a time; a single longer text is a slice of its own.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 
 
 class Stages:

@@ -14,8 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces kept per worker; a full cache starts anew.
-CACHED_WORDS = 600_000
+#: Words and pieces kept per worker, some 200 bytes each; a full cache starts anew.
+CACHED_WORDS, CACHED_PIECES = 200_000, 400_000
 
 #: How the word tokenizer cuts a lower-cased word of the characters of ``_PLAIN``. Words with
 #: others, whose lower case or composition may depend on neighbours, go to the library whole.
@@ -64,7 +64,7 @@ class WordEncoder:
         out: list[bytes] = []
         if plain:
             cut = _PIECES.findall("\n".join(plain).lower() + "\n")
-            if len(self.pieces) > CACHED_WORDS:
+            if len(self.pieces) > CACHED_PIECES:
                 self.pieces = {"\n": b""}
             parts = list(map(self.pieces.get, cut))
             if fresh := list(dict.fromkeys([p for p, ids in zip(cut, parts, strict=True) if ids is None])):
