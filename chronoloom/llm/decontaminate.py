@@ -3,7 +3,8 @@
 A seed is the hash of the words that a fixed mask selects in a window; positions it ignores may differ.
 Seeds of all benchmark items and of all documents are joined, each join names a diagonal (place in the
 document less place in the item), and the words along the diagonal are compared, so substitutions are
-tolerated: a run counts when at least 80 % of its words match.
+tolerated: a run counts when at least 80 % of its words match, and of all such runs the one with the most
+matches decides.
 
 Documents are read once. A bit table of fixed size, made of all benchmark seeds, lets a task skip nearly
 all places before anything is shuffled; what passes is joined exactly. Documents with such a place, and
@@ -153,15 +154,24 @@ _SHIFTS = tuple(np.uint64(s) for s in (0, 20, 40))
 def best_run(doc: np.ndarray, item: np.ndarray, diagonal: int) -> tuple[int, int, int]:
     """Start in the document, length and matches of the best run along a diagonal.
 
-    A match scores 1 - DENSITY and a mismatch -DENSITY; the run with the largest sum is dense enough.
+    A match scores 1 - DENSITY and a mismatch -DENSITY, so a run is dense enough if its sum isn't negative.
+    Of these the run with the most matches counts; ties go to the shortest, then to the first. The widest run
+    to an end starts at the first prefix whose sum isn't larger, which is a new low of all sums so far.
     """
     lo, hi = max(0, diagonal), min(len(doc), diagonal + len(item))
-    same = doc[lo:hi] == item[lo - diagonal : hi - diagonal]
+    same = np.asarray(doc[lo:hi] == item[lo - diagonal : hi - diagonal], bool)
+    at = np.flatnonzero(same)
+    if len(at) == 0:
+        return lo, 0, 0
     total = np.concatenate([[0], np.cumsum(np.where(same, 10 - round(10 * DENSITY), -round(10 * DENSITY)))])
     low = np.minimum.accumulate(total)
-    stop = int(np.argmax(total - low))
-    start = int(np.argmax(total[: stop + 1] == low[stop]))
-    return lo + start, stop - start, int(same[start:stop].sum())
+    stop = at + 1
+    start = np.searchsorted(-low, -total[stop])
+    first = np.searchsorted(at, start)  # mismatches at the start are left out
+    matches = np.arange(1, len(at) + 1) - first
+    start = at[first]
+    k = np.lexsort((start, stop - start, -matches))[0]
+    return lo + int(start[k]), int(stop[k] - start[k]), int(matches[k])
 
 
 def _compare(batches: Iterator[pa.RecordBatch]):

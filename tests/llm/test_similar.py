@@ -192,6 +192,42 @@ def test_overlaps_against_every_diagonal(spark):
     assert {r.doc_id for r in found} == {100, 101, 103, 104}
 
 
+def every_run(same):
+    """(matches, -length, -start) of the best of all runs of which four in five match."""
+    found = [(0, 0, 0)]
+    for i in range(len(same)):
+        for j in range(i + 1, len(same) + 1):
+            m = sum(same[i:j])
+            if m and 5 * m >= 4 * (j - i):
+                found.append((m, i - j, -i))
+    return max(found)
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.sampled_from([True, True, True, False]), max_size=40), st.integers(-3, 3))
+def test_best_run_against_all_starts_and_ends(same, shift):
+    item = np.arange(len(same), dtype=np.uint64)
+    doc = np.where(np.array(same, bool), item, item + np.uint64(1000))
+    doc = np.concatenate([np.full(shift, 999, np.uint64), doc]) if shift > 0 else doc[-shift:]
+    start, n, matches = decontaminate.best_run(doc, item, shift)
+    want = every_run(same[max(-shift, 0) :])
+    assert (matches, -n) == want[:2] and (not matches or start - max(shift, 0) == -want[2])
+
+
+def test_substitutions_anywhere_in_a_passage(spark):
+    """Four in five words match, though the cleanest stretch alone has fewer than 12."""
+    items = [(1, prose(300, 15)), (2, prose(301, 25)), (3, prose(302, 20))]
+    docs = []
+    for item, places in [(0, [3]), (0, [11]), (0, [3, 9]), (1, [4, 9, 14, 19, 24]), (2, [2, 9, 12, 17])]:
+        words = items[item][1].split()
+        for k in places:
+            words[k] = f"other{k}"
+        docs.append((100 * (item + 1) + len(docs), prose(8, 20) + " " + " ".join(words) + " " + prose(9, 20)))
+    found = decontaminate.overlaps(table(spark, docs), bench(spark, [(i, t, "x") for i, t in items])).collect()
+    assert {(r.doc_id, r.item_id) for r in found} == {(i, i // 100) for i, _ in docs}
+    assert all(5 * r.n_matches >= 4 * r.n_words and r.n_matches >= 12 for r in found)
+
+
 def test_unseen_documents_stay(spark):
     items = bench(spark, [(1, prose(300, 20), "x")])
     docs = table(spark, [*edge_texts(), (100, "a b " + prose(300, 20))])
