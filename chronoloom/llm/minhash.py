@@ -67,14 +67,13 @@ def weights(table: np.ndarray, n_docs: int, hashes: np.ndarray, counts: np.ndarr
     return (1 + np.log(counts)) * idf_of(table, n_docs, hashes)
 
 
-def _count_shingles(batches: Iterator[pa.RecordBatch], hot: dict[str, int]):
-    """The table of document frequencies of one partition, in parts. A hot class of copies counts once."""
+def _count_shingles(batches: Iterator[pa.RecordBatch]):
+    """The table of document frequencies of one partition, in parts."""
     table = np.zeros(2 * CELLS)
     for batch in slices(batches, "text"):
-        hashes, owner, _ = _shingles(batch.column("text"))
-        share = np.array([1 / hot.get(d, 1) for d in batch.column("digest").to_pylist()])
+        hashes, _, _ = _shingles(batch.column("text"))
         for cells in _cells(hashes):
-            table += np.bincount(cells, share[owner], 2 * CELLS)
+            table += np.bincount(cells, minlength=2 * CELLS)
     if table.any():
         parts = [pa.compress(p.tobytes(), "zstd", asbytes=True) for p in table.reshape(PARTS, -1)]
         yield pa.RecordBatch.from_arrays([pa.array(range(PARTS), pa.int32()), pa.array(parts, pa.binary())], ["part", "cells"])
@@ -88,9 +87,13 @@ def _add_parts(frame: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame({"part": frame["part"].iloc[:1], "cells": [total.astype(np.float32).tobytes()]})
 
 
-def document_frequencies(texts: DataFrame, hot: dict[str, int]) -> np.ndarray:
-    """Document frequencies of all shingles of the columns digest and text. The table has a fixed size."""
-    parts = texts.select("digest", "text").mapInArrow(lambda it: _count_shingles(it, hot), "part int, cells binary")
+def document_frequencies(texts: DataFrame) -> np.ndarray:
+    """Document frequencies of all shingles of the columns digest and text. The table has a fixed size.
+
+    Copies of a text count once, however many there are: tasks keep one before the texts are shuffled.
+    """
+    once = texts.select("digest", "text").dropDuplicates(["digest"]).select("text")
+    parts = once.mapInArrow(_count_shingles, "part int, cells binary")
     table = np.zeros((PARTS, 2 * CELLS // PARTS), np.float32)
     for row in parts.groupBy("part").applyInPandas(_add_parts, "part int, cells binary").collect():
         table[row.part] = np.frombuffer(row.cells, np.float32)
@@ -238,10 +241,9 @@ def near_duplicates(
     classes = stages.write(classes, "classes")
     n_rows, n_docs = classes.agg(F.sum("n"), F.count("*")).first()
     n_rows = n_rows or 0
-    hot = {r.digest: r.n for r in classes.where(F.col("n") > max(1, n_rows / HOT)).collect()}
+    kept = frozenset(r.digest for r in classes.where(F.col("n") > max(1, n_rows / HOT)).collect())
 
-    frequencies = spark.sparkContext.broadcast(document_frequencies(usable, hot))
-    kept = frozenset(hot)
+    frequencies = spark.sparkContext.broadcast(document_frequencies(usable))
     bands = usable.mapInArrow(
         lambda it: _bands(it, frequencies.value, n_docs, kept), "digest string, doc_id bigint, keys array<bigint>"
     )

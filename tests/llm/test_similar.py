@@ -71,6 +71,21 @@ def test_near_duplicates_against_all_pairs(spark):
     assert none.count() == 0 and none.columns == ["doc_id", "class_id"]
 
 
+def variants(n, words=81, own=3):
+    """Texts that differ in the same few words: similarity is equal for all pairs."""
+    base = prose(77, words).split()
+    return [" ".join([*base[:40], *(f"v{k}w{j}" for j in range(own)), *base[40 + own :]]) for k in range(n)]
+
+
+def test_copies_count_once_in_frequencies(spark):
+    """Variants of a page with three copies each, too few to be hot; weighed as if there were no copies."""
+    docs = [(1000 * c + k, t) for c in range(3) for k, t in enumerate(variants(60))]
+    docs += [(10_000 + k, prose(5000 + k, 8)) for k in range(600)]
+    got = minhash.near_duplicates(table(spark, docs)).collect()
+    assert Counter((r.doc_id, r.class_id) for r in got) == brute_classes(docs)
+    assert {r.class_id for r in got if r.doc_id < 10_000} == {0}
+
+
 def test_a_large_group_of_alike_texts(spark):
     """One bucket with many components: copies whose links don't go through the smallest."""
     rng, base = random.Random(5), prose(9, 120).split()
