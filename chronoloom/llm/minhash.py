@@ -8,6 +8,11 @@ few dozen texts any two that are alike would make their shingles common). Consis
 ``BANDS * ROWS`` seeds the element that two sets share with the probability of their weighted Jaccard
 similarity; equal bands make candidates, and the exact similarity of the full texts decides.
 
+The larger a group of near copies is, the less its shared shingles weigh against the words that differ. With
+``plain``, texts are linked too when their similarity without idf reaches the limit, so that the size of the
+group doesn't matter. A text with a shingle of idf below 1 has bands by these weights besides; for all others
+they are the same.
+
 Buckets may hold thousands of texts. Each text is first compared with the smallest of its bucket. Only
 where a bucket still has several components are the texts outside its largest one compared with all others
 of the bucket, block by block inside tasks, through an index of their shingles: no link between components
@@ -134,7 +139,20 @@ def sample(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray, seeds: in
 _HALVES = (np.uint64(0), np.uint64(32))
 
 
-def _bands(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, hot: frozenset):
+def _keys(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The bands of each set, one row per set."""
+    keys = np.empty((len(starts), BANDS), np.uint64)
+    for i, j in _chunks(starts, len(hashes)):
+        lo, hi = starts[i], starts[j] if j < len(starts) else len(hashes)
+        drawn = sample(hashes[lo:hi], weight[lo:hi], starts[i:j] - lo, BANDS * ROWS)
+        band = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
+        for r in range(ROWS):
+            band = mix(band + drawn[:, r::ROWS])
+        keys[i:j] = band
+    return keys
+
+
+def _bands(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, hot: frozenset, plain: bool):
     """(digest, doc_id, keys): the bands of every text; of a hot class, of one row per partition."""
     seen: set[str] = set()
     for batch in slices(batches, "text"):
@@ -149,23 +167,27 @@ def _bands(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, ho
         if len(hashes) == 0:
             continue
         starts = np.flatnonzero(np.concatenate([[True], owner[1:] != owner[:-1]]))
-        keys = np.empty((len(starts), BANDS), np.uint64)
         weight = weights(table, n_docs, hashes, counts)
-        edges = _chunks(starts, len(hashes))
-        for i, j in edges:
-            lo, hi = starts[i], starts[j] if j < len(starts) else len(hashes)
-            drawn = sample(hashes[lo:hi], weight[lo:hi], starts[i:j] - lo, BANDS * ROWS)
-            band = np.zeros((j - i, BANDS), np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64)
-            for r in range(ROWS):
-                band = mix(band + drawn[:, r::ROWS])
-            keys[i:j] = band
+        keys = _keys(hashes, weight, starts)
+        n_keys = np.full(len(starts), BANDS)
+        if plain:
+            bare = 1 + np.log(counts)
+            common = np.logical_or.reduceat(weight != bare, starts)
+            if common.any():
+                sizes = np.diff(np.append(starts, len(hashes)))
+                of = np.repeat(common, sizes)
+                more = _keys(hashes[of], bare[of], np.cumsum(sizes[common]) - sizes[common])
+                place = np.concatenate([np.arange(len(starts)), np.flatnonzero(common)])
+                keys = np.concatenate([keys, more])[np.argsort(place, kind="stable")]
+                n_keys[common] += BANDS
         at = pa.array(owner[starts])
         yield pa.RecordBatch.from_arrays(
             [
                 batch.column("digest").take(at),
                 batch.column("doc_id").take(at),
                 pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(starts) + 1) * BANDS, pa.int32()), pa.array(keys.reshape(-1).view(np.int64))
+                    pa.array(np.concatenate([[0], np.cumsum(n_keys)]), pa.int32()),
+                    pa.array(keys.reshape(-1).view(np.int64)),
                 ),
             ],
             ["digest", "doc_id", "keys"],
@@ -182,8 +204,14 @@ def _chunks(starts: np.ndarray, n: int, size: int = 1 << 15) -> list[tuple[int,
 # -- exact similarity -------------------------------------------------------------------------------
 
 
-def _similar(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, least: float):
-    """(a, b) of the pairs whose texts have at least this weighted Jaccard similarity."""
+def _measures(table: np.ndarray, n_docs: int, hashes: np.ndarray, counts: np.ndarray, plain: bool) -> list[np.ndarray]:
+    """The weights by which two texts may be alike."""
+    weight = weights(table, n_docs, hashes, counts)
+    return [weight, 1 + np.log(counts)] if plain else [weight]
+
+
+def _similar(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, least: float, plain: bool):
+    """(a, b) of the pairs whose texts have at least this weighted Jaccard similarity, with or (plain) without idf."""
     for batch in batches:
         a, b = batch.column("a").to_numpy(), batch.column("b").to_numpy()
         texts: dict[int, str] = {}
@@ -193,25 +221,28 @@ def _similar(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int,
                     texts[i] = batch.column(name)[k].as_py()
         nodes = list(texts)
         hashes, owner, counts = _shingles(pa.array([texts[i] for i in nodes], pa.string()))
-        weight = weights(table, n_docs, hashes, counts)
+        measures = _measures(table, n_docs, hashes, counts, plain)
         cuts = np.searchsorted(owner, np.arange(len(nodes) + 1))
         at = {i: (cuts[k], cuts[k + 1]) for k, i in enumerate(nodes)}
         good = []
         for x, y in zip(a.tolist(), b.tolist(), strict=True):
             (p, q), (u, v) = at[x], at[y]
             _, i, j = np.intersect1d(hashes[p:q], hashes[u:v], assume_unique=True, return_indices=True)
-            shared = np.minimum(weight[p:q][i], weight[u:v][j]).sum()
-            union = weight[p:q].sum() + weight[u:v].sum() - shared
-            good.append(bool(union > 0 and shared >= (least - 1e-9) * union))
+            alike = False
+            for weight in measures:
+                shared = np.minimum(weight[p:q][i], weight[u:v][j]).sum()
+                union = weight[p:q].sum() + weight[u:v].sum() - shared
+                alike = alike or bool(union > 0 and shared >= (least - 1e-9) * union)
+            good.append(alike)
         mask = pa.array(good, pa.bool_())
         yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], ["a", "b"]).filter(mask)
 
 
-def _verify(pairs: DataFrame, texts: DataFrame, spark_table, n_docs: int, least: float) -> DataFrame:
+def _verify(pairs: DataFrame, texts: DataFrame, spark_table, n_docs: int, least: float, plain: bool) -> DataFrame:
     one = texts.select(F.col("node").alias("a"), F.col("text").alias("text_a"))
     two = texts.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b")
-    return both.mapInArrow(lambda it: _similar(_small(it), spark_table.value, n_docs, least), "a bigint, b bigint")
+    return both.mapInArrow(lambda it: _similar(_small(it), spark_table.value, n_docs, least, plain), "a bigint, b bigint")
 
 
 def _small(batches: Iterator[pa.RecordBatch]):
@@ -223,11 +254,16 @@ def _small(batches: Iterator[pa.RecordBatch]):
 
 
 def near_duplicates(
-    docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text"
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    plain: bool = False,
 ) -> DataFrame:
     """One row per row of ``docs``: doc_id, class_id, the smallest doc_id of the near-duplicates it is among.
 
-    Classes are the connected components of the links between texts of at least this similarity. Exact
+    Classes are the connected components of the links between texts of at least this similarity; with
+    ``plain``, also of those that have it without idf, as copies in a group of any size do. Exact
     copies of a text are in one class, texts without a word too; a row with a null text or a null id is a
     class of its own (class_id = doc_id). Rows of one id are in one class. Texts of fewer than five words
     are one shingle. An empty table gives an empty result. Other columns aren't read.
@@ -245,12 +281,12 @@ def near_duplicates(
 
     frequencies = spark.sparkContext.broadcast(document_frequencies(usable))
     bands = usable.mapInArrow(
-        lambda it: _bands(it, frequencies.value, n_docs, kept), "digest string, doc_id bigint, keys array<bigint>"
+        lambda it: _bands(it, frequencies.value, n_docs, kept, plain), "digest string, doc_id bigint, keys array<bigint>"
     )
     bands = stages.write(bands, "bands")
     texts_of = bands.groupBy("digest").agg(F.any_value("keys").alias("keys"))
     keyed = texts_of.join(classes.select("digest", "node"), "digest")
-    keyed = stages.write(keyed.select("node", "digest", F.explode("keys").alias("key")), "keyed")
+    keyed = stages.write(keyed.select("node", "digest", F.explode(F.array_distinct("keys")).alias("key")), "keyed")
     buckets = keyed.groupBy("key").agg(F.min("node").alias("pivot"), F.max("node").alias("last"))
     buckets = stages.write(buckets.where("pivot <> last").select("key", "pivot"), "buckets")
     candidates = stages.write(keyed.join(buckets, "key").select("key", "pivot", "node", "digest"), "candidates")
@@ -263,10 +299,10 @@ def near_duplicates(
 
     stars = candidates.where("pivot <> node").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
     stars = stages.write(stars, "pairs")
-    links = stages.write(_verify(stars, texts, frequencies, n_docs, similarity), "verified")
+    links = stages.write(_verify(stars, texts, frequencies, n_docs, similarity, plain), "verified")
     found = components(links, stages)
 
-    more = stages.write(_cross_links(candidates, found, texts, frequencies, n_docs, similarity), "crossed")
+    more = stages.write(_cross_links(candidates, found, texts, frequencies, n_docs, similarity, plain), "crossed")
     if not more.isEmpty():
         found = components(links.union(more), stages)
     stages.drop(bands, keyed, buckets, candidates, texts)
@@ -279,7 +315,9 @@ def near_duplicates(
     return out.select("doc_id", F.coalesce("class_id", "doc_id").alias("class_id"))
 
 
-def _cross_links(candidates: DataFrame, found: DataFrame, texts: DataFrame, table, n_docs: int, least: float) -> DataFrame:
+def _cross_links(
+    candidates: DataFrame, found: DataFrame, texts: DataFrame, table, n_docs: int, least: float, plain: bool = False
+) -> DataFrame:
     """Links (a, b) between components that meet in a bucket.
 
     Of each such bucket, the texts outside the largest component ("strays") are compared with all texts.
@@ -303,45 +341,55 @@ def _cross_links(candidates: DataFrame, found: DataFrame, texts: DataFrame, tabl
     dealt = rows.select("key", "node", "label", "text", F.explode(places).alias("at"))
     groups = dealt.select("key", "at.block", "at.chunk", "at.stray", "node", "label", "text").groupBy("key", "block", "chunk")
     return groups.applyInPandas(
-        lambda frame: _compare_blocks(frame, table.value, n_docs, least), "a bigint, b bigint"
+        lambda frame: _compare_blocks(frame, table.value, n_docs, least, plain), "a bigint, b bigint"
     ).distinct()
 
 
-def _compare_blocks(frame: pd.DataFrame, table: np.ndarray, n_docs: int, least: float) -> pd.DataFrame:
+def _compare_blocks(frame: pd.DataFrame, table: np.ndarray, n_docs: int, least: float, plain: bool) -> pd.DataFrame:
     """Links between the strays and the members of one group that are in different components."""
     links: list[tuple[int, int]] = []
     strays = frame[frame["stray"]].drop_duplicates("node")
     members = frame[~frame["stray"]].drop_duplicates("node")
     if len(strays) and len(members):
         hashes, owner, counts = _shingles(pa.array(strays["text"], pa.string()))
-        weight = weights(table, n_docs, hashes, counts)
-        total = np.bincount(owner, weight, len(strays))
+        measures = _measures(table, n_docs, hashes, counts, plain)
+        totals = [np.bincount(owner, weight, len(strays)) for weight in measures]
         order = np.argsort(hashes, kind="stable")
         kinds, first = np.unique(hashes[order], return_index=True)
-        owner, weight, stops = owner[order], weight[order], np.append(first[1:], len(order))
+        owner, measures, stops = owner[order], [weight[order] for weight in measures], np.append(first[1:], len(order))
         nodes, labels = strays["node"].to_numpy(), strays["label"].to_numpy()
         m_hash, m_owner, m_counts = _shingles(pa.array(members["text"], pa.string()))
-        m_weight = weights(table, n_docs, m_hash, m_counts)
+        m_measures = _measures(table, n_docs, m_hash, m_counts, plain)
         cuts = np.searchsorted(m_owner, np.arange(len(members) + 1))
         for k, (node, label) in enumerate(zip(members["node"].tolist(), members["label"].tolist(), strict=True)):
-            h, w = m_hash[cuts[k] : cuts[k + 1]], m_weight[cuts[k] : cuts[k + 1]]
+            h = m_hash[cuts[k] : cuts[k + 1]]
             at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
             shared = kinds[at] == h
             n = (stops - first)[at[shared]]
             begin = np.repeat(first[at[shared]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            common = np.bincount(owner[begin], np.minimum(weight[begin], np.repeat(w[shared], n)), len(strays))
-            good = (common >= (least - 1e-9) * (total + w.sum() - common)) & (labels != label)
+            own, good = owner[begin], np.zeros(len(strays), bool)
+            for weight, total, m_weight in zip(measures, totals, m_measures, strict=True):
+                w = m_weight[cuts[k] : cuts[k + 1]]
+                common = np.bincount(own, np.minimum(weight[begin], np.repeat(w[shared], n)), len(strays))
+                good |= common >= (least - 1e-9) * (total + w.sum() - common)
+            good &= labels != label
             links += [(min(node, x), max(node, x)) for x in nodes[good].tolist()]
     return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
 
 
-def keep_one(docs: DataFrame, similarity: float = SIMILARITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(
+    docs: DataFrame,
+    similarity: float = SIMILARITY,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    plain: bool = False,
+) -> DataFrame:
     """The rows of ``docs``, with all columns, of which one per class stays: that with the smallest id.
 
     Rows without an id or a text all stay; of repeated rows with the kept id one stays.
     """
     ident, text = column(id_col), column(text_col)
-    classes = near_duplicates(docs, similarity, id_col, text_col)
+    classes = near_duplicates(docs, similarity, id_col, text_col, plain)
     kept = classes.where("doc_id = class_id").select(F.col("doc_id").alias("_kept")).distinct()
     kept = Stages(docs.sparkSession, "kept").write(kept, "kept")
     whole = docs.where(ident.isNotNull() & text.isNotNull())

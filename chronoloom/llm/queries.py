@@ -46,7 +46,7 @@ def word_tokenizer() -> str:
 
 @query()
 def op1_near_duplicates(spark, sf_dir):
-    return near_duplicates(table(spark, sf_dir, "documents"))
+    return near_duplicates(table(spark, sf_dir, "documents"), plain=True)
 
 
 @query(sql.SHARDS)

@@ -8,9 +8,11 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+import corpus_pipeline
 from chronoloom.llm import decontaminate, licenses, minhash
 from chronoloom.llm.common import Stages
 from chronoloom.llm.components import components
+from chronoloom.llm.queries import QUERIES
 
 from .data import edge, edge_texts, empty, prose, table
 
@@ -86,6 +88,37 @@ def test_copies_count_once_in_frequencies(spark):
     assert {r.class_id for r in got if r.doc_id < 10_000} == {0}
 
 
+def plain_classes(texts, least=0.8):
+    """Components of all pairs with the least five-word Jaccard similarity, each shingle weighing 1 + ln tf."""
+    sets = [{s: 1 + np.log(c) for s, c in shingles(t).items()} for t in texts]
+    label = list(range(len(texts)))
+    for b in range(len(texts)):
+        for a in range(b):
+            shared = sum(min(w, sets[b][s]) for s, w in sets[a].items() if s in sets[b])
+            if shared >= (least - 1e-9) * (sum(sets[a].values()) + sum(sets[b].values()) - shared):
+                label = [label[a] if x == label[b] else x for x in label]
+    return [min(k for k, x in enumerate(label) if x == y) for y in label]
+
+
+def test_near_copies_in_a_third_of_all_texts(spark, tmp_path):
+    """The query finds them as in a small group; without idf all pairs are alike, with it none is."""
+    rng, base = random.Random(8), prose(78, 200).split()
+    texts = variants(60)
+    for _ in range(30):  # another group, of which only some are alike
+        words = list(base)
+        for k in rng.sample(range(200), rng.randrange(8)):
+            words[k] = f"w{rng.random()}"
+        texts.append(" ".join(words))
+    texts += [prose(6000 + k, 8) for k in range(110)]
+    table(spark, list(enumerate(texts))).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r.class_id for r in QUERIES["op1_near_duplicates"](spark, str(tmp_path)).collect()}
+    want = plain_classes(texts)
+    assert want[:60] == [0] * 60
+    assert sum(got[k] != want[k] for k in range(len(texts))) <= 1  # by the chance that a link isn't in any bucket
+    kept = {r.doc_id for r in corpus_pipeline.single(spark, spark.read.parquet(f"{tmp_path}/documents.parquet"), "").collect()}
+    assert kept == {got[k] for k in got}
+
+
 def test_a_large_group_of_alike_texts(spark):
     """One bucket with many components: copies whose links don't go through the smallest."""
     rng, base = random.Random(5), prose(9, 120).split()
