@@ -1,9 +1,9 @@
 """License scans by patience alignment.
 
-A template is aligned with the densest stretch of a text: words that occur once in both are anchors, the
+A template is aligned with every stretch of a text that may cover it, and the best place counts: words that occur once in both are anchors, the
 longest increasing run of anchors is kept, and the gaps between them are aligned in the same way, down to
 a plain longest common subsequence where no word is unique. Coverage is the share of the template's words
-that the alignment matches.
+that the alignment matches; words that name license and version must be among them.
 
 Texts that can't reach the coverage are passed over by an exact bound, the words that text and template
 have in common counted with repetition, for all texts and templates of a slice at once.
@@ -12,7 +12,7 @@ have in common counted with repetition, for all texts and templates of a slice a
 from __future__ import annotations
 
 from bisect import bisect_left
-from collections import Counter
+from collections import Counter, deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -59,13 +59,29 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
 
+#: Words that name license and version, all of which must match.
+NAMING = {
+    "Apache-2.0": "apache 2.0",
+    "Apache-2.0-header": "apache 2.0",
+    "MIT": "mit",
+    "GPL-3.0": "gnu general public 3",
+    "GPL-header": "gnu general public",
+    "MPL-2.0": "mozilla 2.0",
+    "CC-BY-NC-4.0": "cc by-nc 4.0",
+    "CC-BY-4.0": "creative commons attribution 4.0",
+}
+
 
 def plain(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}“”„«»")
 
 
+def split(texts: pa.Array) -> pa.ListArray:
+    return pc.utf8_split_whitespace(pc.fill_null(texts, ""))
+
+
 def words_of(text: str) -> list[str]:
-    return [w for w in map(plain, text.split()) if w]
+    return [w for w in map(plain, split(pa.array([text], pa.string()))[0].as_py()) if w]
 
 
 def align(a: list, b: list) -> list[tuple[int, int]]:
@@ -135,35 +151,51 @@ def _common(a: list, i: int, j: int, b: list, p: int, q: int) -> list[tuple[int,
     return out
 
 
-def scan_words(words: list[str], template: list[str]) -> tuple[int, int, int]:
-    """Start, end and matched words of a template's best place in a text.
+def scan_words(words: list[str], template: list[str], least: float = 1, exact: frozenset = frozenset()) -> tuple[int, int, int]:
+    """Start, end and matched words of a template's best place in a text; of equal places the first.
 
-    The place is the stretch, half as long again as the template, that has most of its words, each
-    counted as often as the template has it at most; ties go to the first.
+    A stretch is half as long again as the template. Every stretch is aligned that has at least ``least`` of
+    the template's words, each counted as often as the template has it at most, and all words of ``exact``.
+    Of stretches that hold the same of these words one is aligned, so that each word is followed once.
+    An alignment that leaves out a word of ``exact`` doesn't count.
     """
     size = len(template) + len(template) // 2 + 2
     need, have = Counter(template), Counter()
-    score, best, at = 0, -1, 0
+    must = [k for k, w in enumerate(template) if w in exact]
+    score, best = 0, (0, 0, 0)
+    seen: set[tuple[int, ...]] = set()
+    inside: deque[int] = deque()
     for k, w in enumerate(words):
         if w in need:
             have[w] += 1
             score += have[w] <= need[w]
+            inside.append(k)
         if k >= size and (old := words[k - size]) in need:
             score -= have[old] <= need[old]
             have[old] -= 1
-        if score > best:
-            best, at = score, max(0, k - size + 1)
-    stretch = words[at : at + size]
-    pairs = align(stretch, template)
-    if not pairs:
-        return 0, 0, 0
-    return at + pairs[0][0], at + pairs[-1][0] + 1, len(pairs)
+            inside.popleft()
+        # the stretch ends in a word of the template; one that ends later holds no more
+        if w not in need or score < max(least, best[2] + 1) or any(have[x] < need[x] for x in exact):
+            continue
+        places = list(inside)
+        key = tuple(words[x] for x in places)
+        if key in seen:
+            continue
+        seen.add(key)
+        pairs = align(list(key), template)
+        matched = {y for _, y in pairs}
+        if len(pairs) > best[2] and all(y in matched for y in must):
+            best = places[pairs[0][0]], places[pairs[-1][0]] + 1, len(pairs)
+            if best[2] == len(template):
+                break
+    return best
 
 
-def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage: float):
+def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage: float, naming: dict[str, str]):
     wanted = {name: words_of(text) for name, text in templates.items()}
     wanted = {name: words for name, words in wanted.items() if words}
     names = list(wanted)
+    exact = {name: frozenset(words_of(naming.get(name, ""))) & frozenset(wanted[name]) for name in names}
     known = {w: k for k, w in enumerate(sorted({w for words in wanted.values() for w in words}))}
     need = np.zeros((len(names), max(len(known), 1)), np.int64)
     for t, name in enumerate(names):
@@ -172,7 +204,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage
     least = coverage * need.sum(1)
     for batch in slices(batches, "text"):
         texts = batch.column("text")
-        lists = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
+        lists = split(texts)
         flat = lists.flatten().dictionary_encode()
         codes = [known.get(plain(w), -1) for w in flat.dictionary.to_numpy(zero_copy_only=False).tolist()]
         code = np.array(codes, np.int64)[flat.indices.to_numpy(zero_copy_only=False)] if codes else np.zeros(0, np.int64)
@@ -184,7 +216,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage
         for t, name in enumerate(names):
             shared = np.bincount(at, np.minimum(counts, need[t][word]), batch.num_rows)
             for d in np.flatnonzero(shared >= least[t]).tolist():
-                start, end, matched = scan_words(words_of(texts[d].as_py()), wanted[name])
+                start, end, matched = scan_words(words_of(texts[d].as_py()), wanted[name], least[t], exact[name])
                 if matched >= least[t]:
                     rows.append((d, name, matched / len(wanted[name]), start, end, matched))
         rows.sort()
@@ -201,16 +233,17 @@ def scan_licenses(
     coverage: float = COVERAGE,
     id_col: str = "doc_id",
     text_col: str = "text",
+    naming: dict[str, str] = NAMING,
 ) -> DataFrame:
     """One row per row of ``docs`` and template that it covers: doc_id, license, coverage, start_word,
     end_word, n_matched (places count words with a character other than punctuation).
 
     ``templates`` is a small dictionary of names and texts, sent with the job; templates without words are
-    passed over. Null and empty texts match none; null ids and repeated rows are scanned like others.
+    passed over. ``naming`` has, by name, those of a template's words that must all match. Null and empty texts match none; null ids and repeated rows are scanned like others.
     Whole texts are scanned; the best place of each template is given. Other columns aren't read.
     """
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     return narrow.mapInArrow(
-        lambda it: _scan(it, templates, coverage),
+        lambda it: _scan(it, templates, coverage, naming),
         "doc_id bigint, license string, coverage double, start_word bigint, end_word bigint, n_matched bigint",
     )

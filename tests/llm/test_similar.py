@@ -323,6 +323,20 @@ def test_license_scan(spark):
     assert licenses.scan_licenses(table(spark, docs), {"none": " ... "}).count() == 0
 
 
+def test_license_notice_after_a_stretch_of_its_words(spark):
+    docs = [
+        (1, "the MIT license was released under a board vote " + prose(1, 30) + " Released under the MIT License"),
+        (2, "Released under the BSD License"),
+        (3, "Licensed under CC BY-SA 4.0"),
+        (4, "This work is licensed under the GNU General Public License, version 2"),
+        (5, "Released\u00a0under\u2003the MIT License"),
+        (6, "This work is licensed under the GNU General Public License, version 3"),
+    ]
+    rows = licenses.scan_licenses(table(spark, docs)).collect()
+    assert {(r.doc_id, r.license, r.coverage) for r in rows} == {(1, "MIT", 1.0), (5, "MIT", 1.0), (6, "GPL-3.0", 1.0)}
+    assert [(r.start_word, r.end_word) for r in rows if r.doc_id == 1] == [(39, 44)]
+
+
 def test_license_bound_loses_nothing(spark):
     """Without the bound, every text and template aligned."""
     docs = [(k, prose(k, 15) + " " + " ".join(t.split()[: 3 + 4 * k])) for k, t in enumerate(licenses.TEMPLATES.values())]
