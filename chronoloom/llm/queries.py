@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from . import sql
 from .common import Stages, remove
 from .decontaminate import overlaps
+from .embeddings import vector_links
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
@@ -104,3 +105,8 @@ def op9_repair_token_files(spark, sf_dir):
 def op10_spaced_seed_decontamination(spark, sf_dir):
     found = overlaps(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", "item_id", "doc_start", "item_start", "n_words", "n_matches")
+
+
+@query(sql.VECTORS)
+def op11_pca_tiled_vectors(spark, sf_dir):
+    return vector_links(table(spark, sf_dir, "embeddings"), threshold=0.93)

@@ -100,3 +100,21 @@ SELECT page_id, payload_bytes, payload_digest,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN 'revisit' ELSE 'response' END AS record_type,
        CASE WHEN payload_bytes >= 100 AND first <> page_id THEN first END AS refers_to
 FROM firsts"""
+
+VECTORS = """
+WITH RECURSIVE usable AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+normal AS (SELECT vec_id, label, v, sqrt(list_dot_product(v, v)) AS norm FROM usable),
+links AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM normal a JOIN normal b ON a.label = b.label AND a.vec_id <> b.vec_id
+  WHERE list_dot_product(a.v, b.v) / (a.norm * b.norm) >= 0.93),
+reached AS (
+  SELECT vec_id AS a, vec_id AS b FROM embeddings
+  UNION
+  SELECT reached.a, links.b FROM reached JOIN links ON links.a = reached.b),
+smallest AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
+counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
+SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN smallest ON smallest.a = vec_id LEFT JOIN counted ON counted.a = vec_id"""
