@@ -10,6 +10,7 @@ from . import sql
 from .common import Stages, remove
 from .decontaminate import overlaps
 from .embeddings import vector_links
+from .lexical import search
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
@@ -110,3 +111,8 @@ def op10_spaced_seed_decontamination(spark, sf_dir):
 @query(sql.VECTORS)
 def op11_pca_tiled_vectors(spark, sf_dir):
     return vector_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
+
+
+@query(sql.SEARCH)
+def op13_bit_sliced_search(spark, sf_dir):
+    return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

@@ -118,3 +118,24 @@ smallest AS (SELECT a, min(b) AS component_id FROM reached GROUP BY a),
 counted AS (SELECT a, count(*) AS n_links FROM links GROUP BY a)
 SELECT vec_id, CAST(coalesce(n_links, 0) AS BIGINT) AS n_links, component_id, vec_id = component_id AS kept
 FROM embeddings JOIN smallest ON smallest.a = vec_id LEFT JOIN counted ON counted.a = vec_id"""
+
+_UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+_TERMS = rf"regexp_extract_all(translate({{}}, {_UPPER}), '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+')"
+
+SEARCH = f"""
+WITH docs AS (SELECT row_number() OVER () AS r, doc_id, {_TERMS.format("coalesce(text, '')")} AS terms FROM documents),
+items AS (SELECT row_number() OVER () AS q, * FROM (SELECT DISTINCT item_id, text FROM benchmark)),
+wanted AS (SELECT DISTINCT q, item_id, unnest({_TERMS.format("coalesce(text, '')")}) AS term FROM items),
+totals AS (SELECT CAST(count(*) AS HUGEINT) AS n_docs, CAST(sum(len(terms)) AS HUGEINT) AS n_terms FROM docs WHERE len(terms) > 0),
+held AS (
+  SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(terms) AS term FROM docs)
+  WHERE term IN (SELECT term FROM wanted) GROUP BY r, term),
+weights AS (
+  SELECT term, CAST(floor(1000 * ln(CAST(2 * n_docs + 2 AS DOUBLE) / CAST(2 * count(*) + 1 AS DOUBLE))) AS BIGINT) AS w
+  FROM held, totals GROUP BY term, n_docs),
+lengths AS (SELECT r, doc_id, CAST(10 + (90 * len(terms) * n_docs) // n_terms AS BIGINT) AS m FROM docs, totals WHERE len(terms) > 0),
+scored AS (
+  SELECT q, item_id, r, doc_id, CAST(sum(w * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS BIGINT) AS score
+  FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY q, item_id, r, doc_id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0)
+SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
