@@ -14,6 +14,7 @@ from .lexical import search
 from .licenses import scan_licenses
 from .minhash import near_duplicates
 from .packing import pack
+from .prefix_trie import prefix_trie
 from .quality import judge
 from .sharding import interleave_shards
 from .token_counts import count_tokens
@@ -113,6 +114,11 @@ def op11_pca_tiled_vectors(spark, sf_dir):
     return vector_links(table(spark, sf_dir, "embeddings"), threshold=0.93)
 
 
+@query(sql.TRIE)
+def op12_prefix_trie(spark, sf_dir):
+    return prefix_trie(table(spark, sf_dir, "conversations"))
+
+
 @query(sql.SEARCH)
 def op13_bit_sliced_search(spark, sf_dir):
     return search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), k=10)

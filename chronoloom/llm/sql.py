@@ -139,3 +139,34 @@ scored AS (
   FROM wanted JOIN held USING (term) JOIN weights USING (term) JOIN lengths USING (r) GROUP BY q, item_id, r, doc_id),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id ASC NULLS LAST) AS rank FROM scored WHERE score > 0)
 SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 10"""
+
+# A node is the list of digests that leads to it. The checksum of the id is that of sharding's SQL.
+TRIE = f"""
+WITH RECURSIVE {_CRC},
+turns AS (
+  SELECT conv_id, turn, strlen(coalesce(text, '')) AS size,
+         md5(CAST(strlen(coalesce(role, '')) AS VARCHAR) || ':' || coalesce(role, '') || coalesce(text, '')) AS digest
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, list({{'d': digest, 's': size}} ORDER BY turn ASC NULLS FIRST, digest) AS seq FROM turns GROUP BY conv_id),
+cut AS (SELECT conv_id, seq, {_crc32("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM own, crc_table),
+rebuilt AS (
+  SELECT cut.conv_id, list_concat(coalesce(base.seq[1:h], []), cut.seq[h + 1:]) AS seq
+  FROM cut LEFT JOIN own base ON base.conv_id = cut.conv_id - cut.conv_id % 5),
+steps AS (SELECT conv_id, unnest(range(0, len(seq) + 1)) AS depth, seq FROM rebuilt),
+member AS (
+  SELECT conv_id, depth, len(seq) AS n, list_transform(seq[1:depth], lambda x: x.d) AS path,
+         list_transform(seq[1:depth - 1], lambda x: x.d) AS up, CASE WHEN depth > 0 THEN seq[depth].s ELSE 0 END AS size
+  FROM steps),
+node AS (
+  SELECT path, any_value(CASE WHEN depth > 0 THEN up END) AS up, any_value(depth) AS depth, min(conv_id) AS conv_id,
+         count(*) AS n_convs, (count(*) - 1) * any_value(size) AS own_saved,
+         sha256(coalesce(string_agg(CASE WHEN n = depth THEN CAST(conv_id AS VARCHAR) END, ',' ORDER BY conv_id), '')) AS ends_sha256
+  FROM member GROUP BY path),
+counted AS (SELECT up AS path, count(*) AS n_children FROM node WHERE up IS NOT NULL GROUP BY up),
+facts AS (SELECT node.*, coalesce(n_children, 0) AS n_children FROM node LEFT JOIN counted USING (path)),
+within AS (SELECT path[1:top] AS path, own_saved, n_children FROM (SELECT *, unnest(range(0, depth + 1)) AS top FROM facts)),
+sums AS (SELECT path, sum(own_saved) AS saved_tokens, count(*) FILTER (WHERE n_children = 0) AS n_leaves FROM within GROUP BY path)
+SELECT f.conv_id, CAST(f.depth AS BIGINT) AS depth, p.conv_id AS parent_conv_id, f.n_convs, CAST(f.n_children AS BIGINT) AS n_children,
+       CAST(n_leaves AS BIGINT) AS n_leaves, CAST(saved_tokens AS BIGINT) AS saved_tokens, f.ends_sha256
+FROM facts f JOIN sums USING (path) LEFT JOIN node p ON p.path = f.up"""
