@@ -6,7 +6,7 @@ from pyspark import cloudpickle
 
 from .frame import Meta, Nested, TemporalFrame, nested
 from .functions.aggregates import highest, lowest, mean, n_distinct, n_rows, total
-from .functions.bodies import Accumulator, Part, aggregate, on_list, opaque
+from .functions.bodies import Accumulator, Part, aggregate, fold, on_list, opaque
 from .functions.calendar import (
     Interval,
     Period,

@@ -9,7 +9,9 @@ the answer rebuilt per row from the block totals before it. The other forms are:
   or of a row of them, takes a second argument ``over`` and wraps each:
   ``lambda c, over: over(F.max(c)) - over(F.min(c))``;
 * ``on_list(fn)``: the window as an ordered array column in, any column expression out;
-* ``opaque(fn)``: a Python function of numpy arrays, sent over Arrow.
+* ``opaque(fn)``: a Python function of numpy arrays, sent over Arrow;
+* ``fold(init, update, merge, finish)``: a Python aggregate that scales like an ``Accumulator``. ``update`` takes
+  a state and numpy slices of rows in order, ``merge`` the states of two neighbouring runs of rows.
 """
 
 from __future__ import annotations
@@ -74,6 +76,17 @@ class Opaque:
     returns: str = "double"
 
 
+@dataclass(frozen=True)
+class Fold:
+    """``update`` may change the state it is given; ``merge`` and ``finish`` leave theirs as they are."""
+
+    init: Callable[[], object]
+    update: Callable[..., object]
+    merge: Callable[[object, object], object]
+    finish: Callable[[object], object]
+    returns: str = "double"
+
+
 def aggregate(fn: Callable[..., Column]) -> Aggregate:
     return Aggregate(fn)
 
@@ -86,6 +99,16 @@ def opaque(fn: Callable[..., object], returns: str = "double") -> Opaque:
     return Opaque(fn, returns)
 
 
+def fold(
+    init: Callable[[], object],
+    update: Callable[..., object],
+    merge: Callable[[object, object], object],
+    finish: Callable[[object], object] = lambda state: state,
+    returns: str = "double",
+) -> Fold:
+    return Fold(init, update, merge, finish, returns)
+
+
 def _known(cols: list[Column]) -> Column:
     known = cols[0].isNotNull()
     for c in cols[1:]:
@@ -153,7 +176,7 @@ NAMED: dict[str, Accumulator] = {
     "cor": _of_moments(M.TWO, M.correlation),
 }
 
-Body = Accumulator | Aggregate | OnList | Opaque
+Body = Accumulator | Aggregate | OnList | Opaque | Fold
 
 
 def resolve(fn: object) -> Body:
@@ -164,7 +187,7 @@ def resolve(fn: object) -> Body:
         if fn not in NAMED:
             raise ValueError(f"unknown window function {fn!r}; known: {', '.join(sorted(NAMED))}")
         return NAMED[fn]
-    if isinstance(fn, (Accumulator, Aggregate, OnList, Opaque)):
+    if isinstance(fn, (Accumulator, Aggregate, OnList, Opaque, Fold)):
         return fn
     if callable(fn):
         return Aggregate(fn)

@@ -24,8 +24,9 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 from ..functions import moments as M
-from ..functions.bodies import COMBINE, MOMENTS, Accumulator, Aggregate, Body, OnList, Opaque, resolve
+from ..functions.bodies import COMBINE, MOMENTS, Accumulator, Aggregate, Body, Fold, OnList, Opaque, resolve
 from ..functions.calendar import Interval, Period
+from . import folds
 from . import layout as L
 from .relational import spread_join
 
@@ -135,9 +136,15 @@ def apply_windows(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "Temp
 def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
     kept = [c for c in tf.df.columns if c not in calls]
     done = []
+    folded = {n: c for n, c in calls.items() if folds.is_fold(c)}
     for df, by, order in L.reachable(tf, max(c.size for c in calls.values())):
         for name, call in calls.items():
-            df = _slide_column(df, by, order, name, call)
+            if name not in folded:
+                df = _slide_column(df, by, order, name, call)
+        if folded:
+            df = folds.slide_answers(df, by, [L.P if L.COPY in by else L.O], folded)
+            for name, call in folded.items():
+                df = _typed(df, name, call.out_type)
         done.append(L.own(df).select(*kept, *calls))
     return tf.with_(reduce(DataFrame.unionByName, done), costly=L.mode_of(tf) != "short" or tf.meta.costly)
 
@@ -220,20 +227,18 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
     parts: dict[str, tuple[Column, str]] = {"__seen": (F.lit(1).cast("bigint"), "sum")}
     finish: dict[str, Column] = {}
     whole: dict[str, WindowCall] = {}
+    walked = {n: c for n, c in calls.items() if folds.is_fold(c) or folds.is_opaque(c)}
     for i, (name, call) in enumerate(calls.items()):
         body = call.body
         if isinstance(body, Aggregate):
             whole[name] = call
             continue
-        if isinstance(body, (OnList, Opaque)):
+        if name in walked:
+            continue
+        if isinstance(body, OnList):
             row = F.struct(F.col(L.O).alias("__o"), *[c.alias(n) for c, n in zip(call.inputs, call.columns)])
             parts[f"__{i}_list"] = (F.array(row), "concat")
-            windows = _pluck(F.col(f"__{i}_list"), call.columns)
-            if isinstance(body, Opaque):
-                ready = windows if call.partial else F.when(F.col("__seen") >= call.size, windows)
-                finish[name] = _list_udf(body, call.columns)(ready)
-            else:
-                finish[name] = body.fn(windows)
+            finish[name] = body.fn(_pluck(F.col(f"__{i}_list"), call.columns))
             continue
         for p, part in body.parts.items():
             parts[f"__{i}_{p}"] = (part.value(call.inputs, F.col(L.O)), part.combine)
@@ -242,14 +247,21 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
             parts[f"__{i}_known"] = (F.when(_known(call.inputs), 1).otherwise(0).cast("bigint"), "sum")
             value = F.when(F.col(f"__{i}_known") == F.col("__seen"), value)
         finish[name] = value
-    df = L.running(placed, parts)
+    df = L.running(placed, parts) if len(walked) < len(calls) else placed.df
+    for test, walk in ((folds.is_fold, folds.stretch_answers), (folds.is_opaque, folds.opaque_stretch)):
+        chosen = {n: c for n, c in calls.items() if test(c)}
+        if chosen:
+            df = walk(dataclasses.replace(placed, df=df), chosen)
     if whole:
-        # An arbitrary aggregate can't be carried from block to block: its series is followed in one task.
+        # A Spark aggregate can't be carried from block to block: its series is followed in one task. A fold can.
         spec = Window.partitionBy(*placed.key).orderBy(placed.order).rowsBetween(Window.unboundedPreceding, 0)
         finish |= {name: call.body.value(call.inputs, lambda a: a.over(spec)) for name, call in whole.items()}
     for name, call in calls.items():
+        if name in walked:
+            df = _typed(df, name, call.out_type)
+            continue
         value = finish[name]
-        if not call.partial and not isinstance(call.body, Opaque):
+        if not call.partial:
             value = F.when(F.col("__seen") >= call.size, value)
         df = _typed(df.withColumn(name, value), name, call.out_type)
     kept = [c for c in tf.df.columns if c not in calls]
@@ -287,9 +299,15 @@ def tiles(tf: "TemporalFrame", **calls: WindowCall) -> "TemporalFrame":
     m = tf.meta
     placed = L.positions(tf)
     df = placed.df.withColumn("tile", L.floordiv(F.col(L.P), n) + 1)
-    out = df.groupBy(*m.key, "tile").agg(
-        F.min(m.index).alias(m.index), *[_tile_value(df, call).alias(name) for name, call in calls.items()]
-    )
+    folded = {name: call for name, call in calls.items() if folds.is_fold(call)}
+    plain = {name: call for name, call in calls.items() if name not in folded}
+    by = [*m.key, "tile"]
+    out = df.groupBy(*by).agg(F.min(m.index).alias(m.index), *[_tile_value(df, call).alias(name) for name, call in plain.items()])
+    if folded:
+        states = folds.group_states(df, by, [L.O], folded).withColumnsRenamed({c: f"__r_{c}" for c in by})
+        out = out.join(states, [out[c].eqNullSafe(states[f"__r_{c}"]) for c in by])
+        answers = {name: folds.finished(F.array(F.col(folds.STATE)), folded, name) for name in folded}
+        out = out.withColumns(answers).select(*by, m.index, *calls)
     for name, call in calls.items():
         if isinstance(call.body, Opaque):
             out = out.withColumn(name, _list_udf(call.body, call.columns)(F.col(name)))
@@ -336,58 +354,147 @@ def slide_period(
     tf: "TemporalFrame", period: Period, name: str, size: int, partial: bool, **calls: WindowCall
 ) -> "TemporalFrame":
     """Slide over ``size`` calendar periods, however many rows each holds, and hand the answer back to
-    every row of the last period.
+    every row of the last period. Periods without rows aren't counted.
 
-    The answer is taken over all rows of the periods, so a mean is weighted by rows. Each period is
-    first reduced to its parts; no window ever holds the rows themselves.
+    The answer is taken over all rows of the periods, so a mean is weighted by rows. Named functions,
+    Accumulators and folds first reduce each period to its parts or state, and no window holds the rows. For
+    any other body each row is sent to the ``size`` windows it is in and the window is one group: a lambda
+    is a partial-aggregated group-by, ``opaque`` and ``on_list`` get the rows of the window in order.
     """
-    from ..frame import TemporalFrame
-
     m = tf.meta
-    if any(not isinstance(c.body, Accumulator) for c in calls.values()):
-        raise TypeError("slide_period computes named functions or Accumulators")
-    data = tf.df.withColumn(name, period.column()).withColumn(L.O, tf.axis.ordinal(F.col(m.index)))
     if any(c.size != 1 or c.partial for c in calls.values()):
         raise ValueError("slide_period has its own size and partial: leave them out of the calls")
+    data = tf.df.withColumn(name, period.column()).withColumn(L.O, tf.axis.ordinal(F.col(m.index)))
+    by = [*m.key, name]
+    kinds = {
+        _period_parts: {n: c for n, c in calls.items() if isinstance(c.body, Accumulator)},
+        _period_states: {n: c for n, c in calls.items() if isinstance(c.body, Fold)},
+        _period_rows: {n: c for n, c in calls.items() if not isinstance(c.body, (Accumulator, Fold))},
+    }
+    back = None
+    for run, chosen in kinds.items():
+        if not chosen:
+            continue
+        found = run(tf, data, period, name, size, partial, chosen).select(*by, *chosen)
+        if back is None:
+            back = found
+        else:
+            found = found.withColumnsRenamed({c: f"__f_{c}" for c in by})
+            back = back.join(found, [back[c].eqNullSafe(found[f"__f_{c}"]) for c in by], "left").select(*back.columns, *chosen)
+    for label, call in calls.items():
+        back = _typed(back, label, call.out_type)
+    names = {k: f"__r_{k}" for k in by}
+    back = back.select(*[F.col(k).alias(r) for k, r in names.items()], *calls)
+    rows = data.drop(L.O)
+    kept = [c for c in rows.columns if c not in calls]
+    rows = rows.select(*kept)
+    if m.key:
+        same = [rows[k].eqNullSafe(back[r]) for k, r in names.items()]
+        joined = rows.join(back, same, "inner")
+    else:  # a period may hold a large part of the table
+        joined = spread_join(rows, back, names, [m.index])
+    return tf.with_(joined.select(*kept, *calls))
+
+
+def _of_periods(tf: "TemporalFrame", per: DataFrame, period: Period, name: str) -> "TemporalFrame":
+    """A table with one row per series and period, as a temporal table whose index is the period."""
+    from ..frame import TemporalFrame
+
+    meta = dataclasses.replace(
+        tf.meta, index=name, nesting=(), interval=Interval(0, period.unit), groups=(), index_by=None, dense=False, shared_span=False
+    )
+    return TemporalFrame(per, meta)
+
+
+def _period_parts(tf, data: DataFrame, period: Period, name: str, size: int, partial: bool, calls) -> DataFrame:
+    """Accumulators: parts of each period, combined over the window."""
     parts, values = {}, {}
-    for i, (label, call) in enumerate(calls.items()):
+    for i, call in enumerate(calls.values()):
         for p, part in call.body.parts.items():
             values[f"__{i}_{p}"] = part.value(call.inputs, F.col(L.O))
             parts[f"__{i}_{p}"] = part.combine
         values[f"__{i}_known"] = F.when(_known(call.inputs), 1).otherwise(0).cast("bigint")
         values[f"__{i}_all"] = F.lit(1).cast("bigint")
         parts |= {f"__{i}_known": "sum", f"__{i}_all": "sum"}
-    per = data.withColumns(values).groupBy(*m.key, name).agg(*[L._merge(v, c).alias(v) for v, c in parts.items()])
-    frame = TemporalFrame(
-        per,
-        dataclasses.replace(
-            m, index=name, nesting=(), interval=Interval(0, period.unit), groups=(), index_by=None, dense=False,
-            shared_span=False,
-        ),
-    )
+    per = data.withColumns(values).groupBy(*tf.meta.key, name).agg(*[L._merge(v, c).alias(v) for v, c in parts.items()])
 
     def slid(combine: str) -> Body:
         if combine in MOMENTS:
             return OnList(lambda groups: M.folded(groups, MOMENTS[combine]))
         return Aggregate(COMBINE[combine])
 
+    frame = _of_periods(tf, per, period, name)
     merged = frame.mutate(**{v: WindowCall("slide", (v,), slid(c), size, partial=partial) for v, c in parts.items()}).df
     for i, (label, call) in enumerate(calls.items()):
         value = call.body.finish({p: F.col(f"__{i}_{p}") for p in call.body.parts})
         if call.body.strict and not call.na_rm:
             value = F.when(F.col(f"__{i}_known") == F.col(f"__{i}_all"), value)
-        merged = _typed(merged.withColumn(label, value), label, call.out_type)
-    names = {k: f"__r_{k}" for k in (*m.key, name)}
-    back = merged.select(*[F.col(k).alias(r) for k, r in names.items()], *calls)
-    rows = data.drop(L.O)
-    kept = [c for c in rows.columns if c not in calls]
-    rows = rows.select(*kept)
-    if m.key:
-        same = [rows[k].eqNullSafe(back[r]) for k, r in names.items()]
-        joined = rows.join(back, same, "inner")
-    else:  # a period may hold a large part of the table
-        joined = spread_join(rows, back, names, [m.index])
-    return tf.with_(joined.select(*kept, *calls))
+        merged = merged.withColumn(label, value)
+    return merged
+
+
+def _period_states(tf, data: DataFrame, period: Period, name: str, size: int, partial: bool, calls) -> DataFrame:
+    """Folds: a state for each period, or for each block of one where a series is hot, merged in order."""
+    placed = L.place(tf)
+    df, by = placed.df.withColumn(name, period.column()), [*tf.meta.key, name]
+    if placed.blocked:
+        states = folds.group_states(df, [*by, L.C], [L.O], calls)
+        states = folds.merged_states(states, by, [L.C], calls)
+    else:
+        states = folds.group_states(df, by, [L.O], calls)
+    window = WindowCall("slide", (folds.STATE,), OnList(), size, partial=partial)
+    out = _of_periods(tf, states, period, name).mutate(__states=window).df
+    return out.withColumns({label: folds.finished(F.col("__states"), calls, label) for label in calls})
+
+
+def _period_rows(tf, data: DataFrame, period: Period, name: str, size: int, partial: bool, calls) -> DataFrame:
+    """Any other body: rows meet in every window that they are in.
+
+    Which periods a window has is found on the small table of periods; only then rows are sent there, dealt
+    over parts of each period, since one may hold a third of the table.
+    """
+    key = list(tf.meta.key)
+    periods = _of_periods(tf, data.select(*key, name).distinct(), period, name)
+    ends = periods.mutate(__in=WindowCall("slide", (name,), OnList(), size, partial=partial)).df
+    link = ends.select(*[F.col(k).alias(f"__l_{k}") for k in key], F.col(name).alias("__end"), F.explode("__in").alias("__l_in"))
+    inputs = list(dict.fromkeys(c for call in calls.values() for c in call.columns if c not in key))
+    rows = data.select(*key, F.col(name).alias("__in"), L.O, *[F.col(c).alias(f"__v_{c}") for c in inputs])
+    sent = spread_join(rows, link, {k: f"__l_{k}" for k in key} | {"__in": "__l_in"}, [L.O])
+    value = lambda call: [F.col(c) if c in key else F.col(f"__v_{c}") for c in call.columns]
+    windows = {n: c for n, c in calls.items() if not isinstance(c.body, Opaque)}
+    aggregates = []
+    for label, call in windows.items():
+        if isinstance(call.body, OnList):
+            held = F.struct(F.col(L.O), *[v.alias(c) for v, c in zip(value(call), call.columns)])
+            aggregates.append(call.body.fn(_pluck(F.array_sort(F.collect_list(held)), call.columns)).alias(label))
+        else:
+            aggregates.append(call.body.value(value(call), lambda a: a).alias(label))
+    out = ends.select(*key, name)
+    if aggregates:
+        found = sent.groupBy(*key, "__end").agg(*aggregates)
+        out = _attached(out, found, key, name, list(windows))
+    opaque = {n: c for n, c in calls.items() if n not in windows}
+    if opaque:
+        whole = {n: dataclasses.replace(c, columns=tuple(c if c in key else f"__v_{c}" for c in c.columns), body=_whole(c.body)) for n, c in opaque.items()}
+        states = folds.group_states(sent, [*key, "__end"], [L.O], whole)
+        states = states.withColumns({n: folds.finished(F.array(F.col(folds.STATE)), whole, n) for n in whole})
+        out = _attached(out, states, key, name, list(opaque))
+    return out
+
+
+def _whole(body: Opaque) -> Fold:
+    """An opaque function as a fold: the pieces of the window, put together when it is called."""
+    join = lambda pieces: [np.concatenate(c) for c in zip(*pieces, strict=True)]
+    return Fold(
+        list, lambda s, *x: [*s, list(x)], lambda a, b: [*a, *b], lambda s, fn=body.fn: fn(*join(s)), body.returns
+    )
+
+
+def _attached(out: DataFrame, found: DataFrame, key: list[str], name: str, columns: list[str]) -> DataFrame:
+    """Answers by key and last period, joined to the periods; one without a full window has none."""
+    found = found.select(*[F.col(k).alias(f"__a_{k}") for k in key], F.col("__end").alias("__a_end"), *columns)
+    same = [out[k].eqNullSafe(found[f"__a_{k}"]) for k in key] + [out[name].eqNullSafe(found["__a_end"])]
+    return out.join(found, same, "left").select(*out.columns, *columns)
 
 
 # -- the family of names ------------------------------------------------------------------------

@@ -422,3 +422,84 @@ def events_hot_series(spark, sf_dir):
     stretch = cl.FAMILY["stretch"]
     tf = tf.mutate(n=stretch("value", "length"), s=stretch("value", "sum"))
     return tf.df.select("event_id", "event_type", "m", "n", F.round("s", 4).alias("s"))
+
+
+# -- windows of months with any body, and folds --------------------------------------------------------
+
+
+def _drop_merge(a, b):
+    return (max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2], a[0] - b[1]))
+
+
+def _drop_update(state, v):
+    for x in v.tolist():
+        state = _drop_merge(state, (x, x, 0.0))
+    return state
+
+
+INF = float("inf")
+#: The largest fall from an earlier value to a later one; the order of rows counts.
+DROP = cl.fold(lambda: (-INF, INF, 0.0), _drop_update, _drop_merge, lambda s: float(s[2]))
+#: Highest less lowest value.
+WIDTH = cl.fold(
+    lambda: (-INF, INF), lambda s, v: (max(s[0], v.max()), min(s[1], v.min())),
+    lambda a, b: (max(a[0], b[0]), min(a[1], b[1])), lambda s: float(s[0] - s[1]),
+)
+
+TWO_MONTHS = f"""WITH {DAILY},
+    m AS (SELECT *, date_trunc('month', date)::DATE AS yrmth,
+                 dense_rank() OVER (PARTITION BY channel, category, service ORDER BY date_trunc('month', date)) AS nr FROM daily),
+    two AS (SELECT a.channel, a.category, a.service, a.yrmth, a.nr,
+                   CAST(max(b.value) - min(b.value) AS {{type}}) AS width, CAST(count(DISTINCT b.volume) AS BIGINT) AS kinds
+            FROM (SELECT DISTINCT channel, category, service, yrmth, nr FROM m) a
+            JOIN m b ON a.channel = b.channel AND a.category = b.category AND a.service = b.service AND b.nr IN (a.nr, a.nr - 1)
+            WHERE a.nr >= 2 GROUP BY 1, 2, 3, 4, 5)
+    SELECT {day('m.date', 'date')}, channel, category, service, value, CAST(m.yrmth AS VARCHAR) AS yrmth, {{columns}}
+    FROM m LEFT JOIN two USING (channel, category, service, nr)"""
+
+
+def _two_months(spark, sf_dir, **calls):
+    tf = star.enquiries(spark, sf_dir).slide_period(cl.yearmonth("date"), "yrmth", size=2, **calls)
+    return tf.df.select("date", "channel", "category", "service", "value", "yrmth", *calls)
+
+
+@query(TWO_MONTHS.format(type="BIGINT", columns="two.width, two.kinds"))
+def slide_month2_lambda(spark, sf_dir):
+    slide = cl.FAMILY["slide"]
+    width = slide("value", lambda v, over: over(F.max(v)) - over(F.min(v)))
+    return _two_months(spark, sf_dir, width=width, kinds=slide("volume", lambda v: F.count_distinct(v)))
+
+
+@query(TWO_MONTHS.format(type="DOUBLE", columns="two.width"))
+def slide_month2_opaque(spark, sf_dir):
+    return _two_months(spark, sf_dir, width=cl.FAMILY["slide_dbl"]("value", RANGE))
+
+
+@query(TWO_MONTHS.format(type="DOUBLE", columns="two.width"))
+def slide_month2_fold(spark, sf_dir):
+    return _two_months(spark, sf_dir, width=cl.FAMILY["slide_dbl"]("value", WIDTH))
+
+
+@query(
+    f"""WITH t AS (SELECT event_id, event_type, ts, value, max(value) OVER ({TYPE} ROWS UNBOUNDED PRECEDING) - value AS below FROM events)
+    SELECT event_id, event_type, round(max(below) OVER ({TYPE} ROWS UNBOUNDED PRECEDING), 6) AS fall,
+      CASE WHEN row_number() OVER ({TYPE}) >= 300
+        THEN round(max(value) OVER ({TYPE} ROWS 299 PRECEDING) - min(value) OVER ({TYPE} ROWS 299 PRECEDING), 6) END AS width FROM t"""
+)
+def events_folds(spark, sf_dir):
+    """Few, large series in blocks: the state before each block is carried into it."""
+    events = star.table(spark, sf_dir, "events").select("ts", "event_type", "event_id", "value")
+    layout = cl.Layout(hot_rows=1000, block=256)
+    tf = cl.as_temporal(events, "ts", ["event_type"], interval=None, validate=False, layout=layout)
+    tf = tf.mutate(width=cl.FAMILY["slide_dbl"]("value", WIDTH, size=300))
+    tf = tf.mutate(fall=cl.FAMILY["stretch_dbl"]("value", DROP))
+    return tf.df.select("event_id", "event_type", F.round("fall", 6).alias("fall"), F.round("width", 6).alias("width"))
+
+
+@query(
+    f"""WITH {DAILY}, t AS (SELECT *, (row_number() OVER ({SERIES}) - 1) // 9 + 1 AS tile FROM daily),
+    u AS (SELECT *, max(value) OVER (PARTITION BY channel, category, service, tile ORDER BY date) - value AS below FROM t)
+    SELECT channel, category, service, tile, min(date)::VARCHAR AS date, CAST(max(below) AS DOUBLE) AS fall FROM u GROUP BY 1, 2, 3, 4"""
+)
+def tile_fold(spark, sf_dir):
+    return star.enquiries(spark, sf_dir).tiles(fall=cl.FAMILY["tile_dbl"]("value", DROP, size=9)).df

@@ -30,6 +30,25 @@ def collected(df, *order):
     return sorted(tuple(show(v) for v in r) for r in df.select(*sorted(df.columns)).collect())
 
 
+def merge_falls(a, b):
+    return (max(a[0], b[0]), min(a[1], b[1]), max(a[2], b[2], a[0] - b[1]))
+
+
+def update_falls(state, v):
+    for x in v.tolist():
+        state = merge_falls(state, (x, x, 0.0))
+    return state
+
+
+INF = float("inf")
+FALL = cl.fold(lambda: (-INF, INF, 0.0), update_falls, merge_falls, lambda s: s[2])
+
+
+def fall(values):
+    """The largest fall from an earlier value to a later one, by all pairs."""
+    return max([0.0, *[a - b for i, a in enumerate(values) for b in values[i:]]])
+
+
 def everything(df, key, **options):
     """All ordered operations over one table, under one placement."""
     tf = cl.as_temporal(df, "t", key, interval=options.pop("interval", None), validate=False, **options)
@@ -42,6 +61,7 @@ def everything(df, key, **options):
         v=fam["slide_dbl"]("y", "sd", size=6),
         c=fam["slide2_dbl"]("x", "y", "cor", size=8, na_rm=True),
         o=fam["slide2_dbl"]("y", "x", cl.opaque(lambda a, b: float(a[-1] - a[0])), size=4),
+        f=fam["slide_dbl"]("y", FALL, size=5),
     )
     stretched = tf.mutate(
         s=fam["stretch"]("x", "sum", na_rm=True),
@@ -55,12 +75,14 @@ def everything(df, key, **options):
         c=fam["stretch2_dbl"]("x", "y", "cor", na_rm=True),
         g=fam["stretch2_dbl"]("x", "y", "cov", na_rm=True),
         o=fam["stretch_dbl"]("y", cl.opaque(lambda a: float(a.max() - a.min())), init=2),
+        d=fam["stretch_dbl"]("y", FALL, init=3),
     )
     tiled = tf.tiles(
         a=fam["tile_int"]("x", "sum", size=7, na_rm=True),
         b=fam["tile"]("x", size=7),
         c=fam["tile2_dbl"]("x", "y", "cor", size=7),
         d=fam["ptile_dbl"](["x", "y"], cl.opaque(lambda a, b: float(b.sum())), size=7),
+        f=fam["tile_dbl"]("y", FALL, size=7),
     )
     dense = minute.fill_na(x=0, max_ratio=None)
     return [
@@ -74,6 +96,10 @@ def everything(df, key, **options):
         minute.count_gaps().select(*key, "from", "to", "n"),
         minute.count_gaps(full=True).select(*key, "from", "to", "n"),
         tf.slide_period(cl.day("t"), "d", 2, z=fam["slide_dbl"]("y", "mean"), q=fam["slide"]("x", "sum", na_rm=True)).df,
+        tf.slide_period(
+            cl.day("t"), "d", 2, z=fam["slide_dbl"]("y", FALL), g=fam["slide"]("y", lambda v, over: over(F.max(v)) - over(F.min(v))),
+            o=fam["slide_dbl"]("y", cl.opaque(lambda v: float(v[0] - v[-1]))), l=fam["slide"]("x"), n=fam["slide"]("y", "length"),
+        ).df,
         cl.slider(tf, 6),
         cl.tiler(tf, 6),
         cl.stretcher(tf, 6),
@@ -302,3 +328,58 @@ def test_period_slide_is_weighted_by_rows(spark):
 def test_mutate_reads_an_earlier_window(small):
     tf = small.mutate(a=fam["slide"]("y", "sum", size=2), b=fam["slide"]("a", "sum", size=2, na_rm=True), c=F.col("b") * 2)
     assert [r.c for r in tf.df.where("k = 'a'").orderBy("t").collect()] == [None, 2.0, 8.0, 16.0, 24.0]
+
+
+def test_folds_against_every_pair(spark):
+    """Slide, stretch, tile and two days, blocks or not, an input that is replaced, null keys and null results."""
+    df = series(spark, 5, 3, 50)
+    rows = {}
+    for r in sorted(df.collect(), key=lambda r: r["t"]):
+        rows.setdefault(r["k"], []).append((r["t"], r["y"]))
+    want = {"slide": {}, "stretch": {}, "two": {}}
+    for k, held in rows.items():
+        ys = [y for _, y in held]
+        days = sorted({t.date() for t, _ in held})
+        for i, (t, _) in enumerate(held):
+            want["slide"][k, t] = fall(ys[max(0, i - 3) : i + 1])
+            want["stretch"][k, t] = fall(ys[: i + 1]) if i >= 1 else None
+            at = days.index(t.date())
+            want["two"][k, t] = fall([y for u, y in held if u.date() in days[at - 1 : at + 1]]) if at else None
+    for options in ({"max_rows": 1000}, {"layout": TINY}):
+        tf = cl.as_temporal(df, "t", ["k"], interval=None, validate=False, **options)
+        slid = tf.mutate(y=fam["slide_dbl"]("y", FALL, size=4, partial=True)).df.collect()
+        assert {(r.k, r.t): round(r.y, 9) for r in slid} == {at: round(v, 9) for at, v in want["slide"].items()}
+        full = tf.mutate(z=fam["stretch_dbl"]("y", FALL, init=2)).slide_period(cl.day("t"), "d", 2, w=fam["slide_dbl"]("y", FALL)).df
+        for r in full.collect():
+            for got, name in ((r.z, "stretch"), (r.w, "two")):
+                assert got == want[name][r.k, r.t] or abs(got - want[name][r.k, r.t]) < 1e-9
+    none = tf.filter(F.lit(False)).mutate(z=fam["stretch_dbl"]("y", FALL)).df
+    assert none.count() == 0
+    with pytest.raises(TypeError, match="promises int"):
+        tf.mutate(z=fam["stretch_int"]("y", FALL))
+
+
+def test_a_wide_fold_costs_as_many_merges_as_a_narrow_one():
+    from chronoloom.operators.folds import _Queue
+
+    def merges(size):
+        seen = []
+        body = cl.fold(int, lambda s, v: s + v, lambda a, b: seen.append(1) or a + b)
+        queue, out = _Queue(body, size), []
+        for x in range(20_000):
+            queue.push(x)
+            out.append(queue.answer())
+        assert out[:3] == [0, 1, 3] and out[-1] == sum(range(20_000 - size, 20_000))
+        return len(seen)
+
+    assert merges(5_000) <= 1.1 * merges(50)
+
+
+def test_a_fold_of_a_hot_series_has_no_window_over_it(spark):
+    rows = spark.range(400).selectExpr("'a' AS k", "timestamp_ntz'2020-01-01' + make_interval(0,0,0,0,0,0,id) AS t", "id * 1.0D AS y")
+    tf = cl.as_temporal(rows, "t", ["k"], interval=None, validate=False, layout=TINY)
+    plan = tf.mutate(z=fam["stretch_dbl"]("y", FALL)).df._jdf.queryExecution().executedPlan().toString()
+    assert "Window " not in plan and plan.count("MapInArrow") >= 3
+    opaque = tf.mutate(z=fam["stretch_dbl"]("y", cl.opaque(lambda v: float(v.sum())))).df
+    assert "collect_list" not in opaque._jdf.queryExecution().executedPlan().toString()
+    assert sorted(r.z for r in opaque.collect()) == [k * (k + 1) / 2 for k in range(400)]
