@@ -10,7 +10,8 @@ one task. Three placements, chosen from facts known while the plan is built:
 ``long``
     No key, so the table is one series. Rows are cut into *blocks* of consecutive ordinals. A block is as
     wide as ``block`` rows are on average, by the count and span of the series, so there are about
-    rows / block of them however sparse the index is. A burst makes its block longer.
+    rows / block of them however sparse the index is. Where rows come in bursts, so that such a block would
+    hold several times its part, blocks are cut at quantiles of the ordinals instead: see ``_block``.
 ``mixed``
     A key with a fine-grained index, where one key may hold a third of the table. Keys above
     ``hot_rows`` are found by a partial-aggregated count. The limit rises with tables of over 4 * 10^12 rows, so that no
@@ -49,6 +50,12 @@ O, C, HOT, MARK, P, NEXT, PREV, WIDTH = "__o", "__c", "__hot", "__mark", "__p",
 # No more keys than this can each hold more than their part of a table.
 HOT_KEYS = 1_000_000
 
+# Quantiles found of a series, in groups of this many for the search, and how far off their ranks may be.
+CUTS, GROUP, ACCURACY = 1024, 32, 16 * 1024
+
+# Quantiles are kept for keys above this part of all rows: in others no burst is a large part of the work.
+CUT_KEYS = 1 << 14
+
 
 @dataclass(frozen=True)
 class Layout:
@@ -97,20 +104,71 @@ def _width(n: Column, lo: Column, hi: Column, block: int) -> Column:
     return F.coalesce(floordiv(hi - lo, blocks) + 1, F.lit(1).cast("bigint"))
 
 
+def _quantiles() -> Column:
+    return F.percentile_approx(O, [k / CUTS for k in range(1, CUTS)], ACCURACY)
+
+
+def _bursts(cuts: Column, n: Column, width: Column, block: int) -> Column:
+    """Whether a block of equal width holds about three times its part of the rows: so many cuts fall into it."""
+    apart = (floordiv(F.lit(3 * block * CUTS).cast("bigint"), F.greatest(n, F.lit(1).cast("bigint"))) + 2).cast("int")
+    starts = F.sequence(F.lit(0), F.greatest(F.size(cuts) - apart - 1, F.lit(0)))
+    one = lambda i: floordiv(F.get(cuts, i + apart), width) == floordiv(F.get(cuts, i), width)
+    return F.coalesce((F.size(cuts) > apart) & F.exists(starts, one), F.lit(False))
+
+
+def _block(facts: Column, block: int) -> Column:
+    """The block of a row of a series with the given facts: n, lo, hi, width and, if rows come in bursts, cuts.
+
+    Without cuts blocks are equally wide. With cuts the row's place among them is found, in groups first. A
+    series of few blocks has several cuts to a block; in one of many, the span between two cuts is divided
+    further by width. A block then has about its part of the rows, or at most a ``CUTS``-th of the series.
+    """
+    at, cuts, one = F.col(O), facts["cuts"], F.lit(1).cast("bigint")
+    coarse = F.size(F.filter(cuts, lambda c, i: (F.pmod(i, F.lit(GROUP)) == GROUP - 1) & (c <= at)))
+    first = F.slice(cuts, coarse * GROUP + 1, GROUP)
+    place = coarse * GROUP + F.size(F.filter(first, lambda c: c <= at))
+    blocks = F.greatest(floordiv(facts["n"], block), one)
+    lo = F.coalesce(F.get(cuts, place - 1), facts["lo"])
+    hi = F.coalesce(F.get(cuts, place), facts["hi"] + 1)
+    parts = F.greatest(floordiv(blocks, CUTS), one)
+    step = floordiv(F.greatest(hi - lo - 1, F.lit(0).cast("bigint")), parts) + 1
+    within = F.least(floordiv(at - lo, step), parts - 1)
+    few = floordiv(place.cast("bigint") * F.least(blocks, F.lit(CUTS).cast("bigint")), F.lit(CUTS).cast("bigint"))
+    many = place.cast("bigint") * parts + within
+    return F.when(cuts.isNull(), floordiv(at, facts["width"])).when(blocks < CUTS, few).otherwise(many)
+
+
+FACTS = "__facts"
+
+
+def _facts(n: Column, lo: Column, hi: Column, cuts: Column, block: int) -> Column:
+    width = _width(n, lo, hi, block)
+    kept = F.when(_bursts(cuts, n, width, block), cuts)
+    return F.struct(n.alias("n"), lo.alias("lo"), hi.alias("hi"), width.alias("width"), kept.alias("cuts"))
+
+
 def mark_hot(df: DataFrame, key: tuple[str, ...], hot_rows: int, block: int) -> DataFrame:
     """Flag the rows of keys with more than ``hot_rows`` rows, or more than n / HOT_KEYS if that is larger,
-    and give them the width of their blocks.
+    and give them the facts by which their blocks are cut.
 
-    Fewer than ``HOT_KEYS`` keys can pass, whatever the table holds; that bounds the broadcast.
+    Fewer than ``HOT_KEYS`` keys can pass, whatever the table holds, and fewer than ``CUT_KEYS`` have
+    quantiles; that bounds the broadcasts. Quantiles take a second look at the ordinals of those keys alone,
+    and none where there is no such key.
     """
     names = {k: f"__h{i}" for i, k in enumerate(key)}
     counts = df.groupBy(*key).agg(F.count(F.lit(1)).alias("__n"), F.min(O).alias("__lo"), F.max(O).alias("__hi"))
-    part = F.call_function("div", F.sum("__n"), F.lit(HOT_KEYS).cast("bigint"))
-    limit = counts.agg(F.greatest(F.lit(hot_rows).cast("bigint"), part)).scalar()
-    hot = counts.where(F.col("__n") > limit).select(
-        *[F.col(k).alias(h) for k, h in names.items()], F.lit(True).alias(HOT),
-        _width(F.col("__n"), F.col("__lo"), F.col("__hi"), block).alias(WIDTH),
-    )
+    part = lambda k: F.call_function("div", F.sum("__n"), F.lit(k).cast("bigint"))
+    floor = F.lit(hot_rows).cast("bigint")
+    limits = counts.agg(F.struct(F.greatest(floor, part(HOT_KEYS)).alias("hot"), F.greatest(floor, part(CUT_KEYS)).alias("cut"))).scalar()
+    hot = counts.where(F.col("__n") > limits["hot"]).withColumnsRenamed(names)
+    large = hot.where(F.col("__n") > F.greatest(limits["cut"], F.lit(3 * block).cast("bigint"))).select(*names.values())
+    held = df.join(F.broadcast(large), [df[k].eqNullSafe(large[h]) for k, h in names.items()], "inner")
+    cuts = held.groupBy(*names.values()).agg(_quantiles().alias("__cuts")).withColumnsRenamed({h: f"{h}c" for h in names.values()})
+    hot = hot.join(F.broadcast(cuts), [hot[h].eqNullSafe(cuts[f"{h}c"]) for h in names.values()], "left")
+    hot = hot.select(
+        *names.values(), F.lit(True).alias(HOT),
+        _facts(F.col("__n"), F.col("__lo"), F.col("__hi"), F.col("__cuts"), block).alias(FACTS),
+    )
     same = [df[k].eqNullSafe(hot[h]) for k, h in names.items()]
     joined = df.join(F.broadcast(hot), same, "left").drop(*names.values())
     return joined.withColumn(HOT, F.coalesce(F.col(HOT), F.lit(False)))
@@ -126,16 +184,16 @@ def place(tf: "TemporalFrame") -> Placed:
         return Placed(df, meta.key, meta.index, False, meta.layout)
     if mode == "mixed":
         df = mark_hot(df, meta.key, meta.layout.hot_rows, meta.layout.block)
-        block = F.when(F.col(HOT), floordiv(F.col(O), F.col(WIDTH))).otherwise(F.lit(0).cast("bigint"))
+        block = F.when(F.col(HOT), _block(F.col(FACTS), meta.layout.block)).otherwise(F.lit(0).cast("bigint"))
     elif meta.dense and meta.interval is not None and meta.interval.n:
         df = df.withColumn(HOT, F.lit(True)).withColumn(WIDTH, F.lit(meta.layout.block * axis.step(meta.interval)))
         block = floordiv(F.col(O), F.col(WIDTH).cast("bigint"))
     else:
-        ends = df.agg(F.count(F.lit(1)).alias("n"), F.min(O).alias("lo"), F.max(O).alias("hi"))
-        width = ends.select(_width(F.col("n"), F.col("lo"), F.col("hi"), meta.layout.block)).scalar()
-        df = df.withColumn(HOT, F.lit(True)).withColumn(WIDTH, width)
-        block = floordiv(F.col(O), F.col(WIDTH))
-    return Placed(df.withColumn(C, block).drop(WIDTH), meta.key, meta.index, True, meta.layout)
+        ends = df.agg(F.count(F.lit(1)).alias("n"), F.min(O).alias("lo"), F.max(O).alias("hi"), _quantiles().alias("cuts"))
+        facts = ends.select(_facts(F.col("n"), F.col("lo"), F.col("hi"), F.col("cuts"), meta.layout.block)).scalar()
+        df = df.withColumn(HOT, F.lit(True)).withColumn(FACTS, facts)
+        block = _block(F.col(FACTS), meta.layout.block)
+    return Placed(df.withColumn(C, block).drop(WIDTH, FACTS), meta.key, meta.index, True, meta.layout)
 
 
 def _merge(name: str, combine: str) -> Column:

@@ -308,6 +308,31 @@ def test_blocks_follow_rows_not_ordinals(spark):
         assert 20 <= blocks <= 80
 
 
+@pytest.mark.parametrize("key", [[], ["k"]])
+def test_a_burst_is_cut_into_blocks(spark, key):
+    """A third of all rows within one second of two years, another tenth within a minute: no block is long."""
+    from chronoloom.operators import layout as L
+
+    at = "timestamp_ntz'2020-01-01' + make_interval(0, 0, 0, 0, 0, 0, {})"
+    rows = spark.range(6000).selectExpr(
+        "'a' AS k", f"CASE WHEN id % 3 = 0 THEN {at.format('31000000 + id / 6000.0')} WHEN id % 10 = 1 THEN "
+        f"{at.format('2000000 + id / 100.0')} ELSE {at.format('id * 10000.0')} END AS t", "cast(id % 97 AS double) AS x",
+    )
+    if key:
+        few = spark.range(90).selectExpr("concat('b', id % 3) AS k", f"{at.format('id * 3.0')} AS t", "1.0D AS x")
+        rows = rows.union(few)
+    plain = cl.as_temporal(rows, "t", ["k"], interval=None, validate=False, max_rows=10_000)
+    tf = cl.as_temporal(rows, "t", key, interval=None, validate=False, layout=cl.Layout(hot_rows=1000, block=100))
+    placed = L.place(tf)
+    sizes = sorted(r["count"] for r in placed.df.where(L.HOT).groupBy(L.C).count().collect())
+    assert 50 <= len(sizes) <= 70 and sizes[-1] <= 2 * sizes[len(sizes) // 2]
+    window = dict(s=fam["stretch"]("x", "sum"), m=fam["slide_dbl"]("x", "mean", size=30))
+    assert collected(tf.mutate(**window).df) == collected(plain.mutate(**window).df)
+    one = cl.as_temporal(rows.where("k = 'a'"), "t", key, interval=None, validate=False, layout=cl.Layout(hot_rows=1000, block=1))
+    sizes = sorted(r["count"] for r in L.place(one).df.groupBy(L.C).count().collect())
+    assert sizes[-1] <= 6000 / L.CUTS * 2
+
+
 def test_custom_accumulator(small):
     span = cl.Accumulator(
         {"hi": cl.Part(lambda c, o: c[0], "max"), "lo": cl.Part(lambda c, o: c[0], "min")}, lambda p: p["hi"] - p["lo"]
