@@ -6,9 +6,9 @@ one task. Three placements, chosen from facts known while the plan is built:
 ``short``
     A DATE or calendar-period index: (key, index) is unique, so a series cannot hold more rows than
     there are calendar days in years 1..9999 (3.65 million, in practice thousands). One shuffle on the
-    key, plain window.
+    key, plain window. A table without a key is one such series.
 ``long``
-    No key, so the table is one series. Rows are cut into *blocks* of consecutive ordinals. A block is as
+    No key and a finer index, so the table is one series without a bound. Rows are cut into *blocks* of consecutive ordinals. A block is as
     wide as ``block`` rows are on average, by the count and span of the series, so there are about
     rows / block of them however sparse the index is. Where rows come in bursts, so that such a block would
     hold several times its part, blocks are cut at quantiles of the ordinals instead: see ``_block``.
@@ -90,12 +90,11 @@ class Placed:
 
 def mode_of(tf: "TemporalFrame") -> str:
     meta = tf.meta
-    if not meta.key:
-        return "long"
+    cut = "mixed" if meta.key else "long"
     if meta.max_rows is not None:
-        return "short" if meta.max_rows <= meta.layout.hot_rows else "mixed"
+        return "short" if meta.max_rows <= meta.layout.hot_rows else cut
     axis = tf.axis
-    return "short" if axis.kind == "date" or axis.unit in ("year", "quarter", "month") else "mixed"
+    return "short" if axis.kind == "date" or axis.unit in ("year", "quarter", "month") else cut
 
 
 def _width(n: Column, lo: Column, hi: Column, block: int) -> Column:
@@ -105,7 +104,9 @@ def _width(n: Column, lo: Column, hi: Column, block: int) -> Column:
 
 
 def _quantiles() -> Column:
-    return F.percentile_approx(O, [k / CUTS for k in range(1, CUTS)], ACCURACY)
+    """The list is one literal: a thousand of them would take longer to send to the JVM than to use."""
+    parts = ",".join(str(k / CUTS) for k in range(1, CUTS))
+    return F.expr(f"percentile_approx({O}, cast(split('{parts}', ',') AS array<double>), {ACCURACY})")
 
 
 def _bursts(cuts: Column, n: Column, width: Column, block: int) -> Column:

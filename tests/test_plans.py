@@ -44,7 +44,8 @@ def test_summary_is_partially_aggregated_and_pruned(spark):
 
 def test_long_series_has_no_unpartitioned_data_window(spark, tmp_path):
     tf = daily_table(spark, tmp_path)
-    one = cl.as_temporal(tf.df.groupBy("date").agg(F.sum("volume").alias("v")), "date", interval=star.DAY, validate=False)
+    fine = tf.df.groupBy(F.col("date").cast("timestamp_ntz").alias("at")).agg(F.sum("volume").alias("v"))
+    one = cl.as_temporal(fine, "at", interval=None, validate=False)
     for out in (
         one.mutate(m=fam["slide"]("v", "mean", size=7)).df,
         one.mutate(m=fam["stretch"]("v", "mean")).df,
@@ -55,10 +56,20 @@ def test_long_series_has_no_unpartitioned_data_window(spark, tmp_path):
         # span of the table, one row per task.
         for m in re.finditer(r"Exchange SinglePartition", p):
             below = p[m.end() : m.end() + 400]
-            assert "HashAggregate(keys=[__c" in below or "HashAggregate(keys=[], functions=[partial_" in below
+            assert "HashAggregate(keys=[__c" in below or "Aggregate(keys=[], functions=[partial_" in below
         assert "hashpartitioning(__c" in p or "hashpartitioning(__copy" in p
 
 
+def test_a_table_by_date_without_a_key_is_read_once(spark, tmp_path):
+    """It has no more rows than there are days, so there are no blocks, no second pass and no subquery."""
+    tf = daily_table(spark, tmp_path)
+    days = tf.df.groupBy("date").agg(F.sum("volume").alias("v"))
+    one = cl.as_temporal(days, "date", interval=star.DAY, validate=False)
+    p = plan(one.mutate(m=fam["slide"]("v", "mean", size=7)).df)
+    assert "ubquery" not in p and "__c" not in p
+    assert len(re.findall(r"Scan parquet", p)) == len(re.findall(r"Scan parquet", plan(days)))
+
+
 def test_hot_keys_are_found_without_collecting_rows(spark):
     p = plan(star.event_series(spark, SF).mutate(m=fam["slide"]("value", "mean", size=4)).df)
     assert "partial_count" in p and "BroadcastExchange" in p and "CartesianProduct" not in p
