@@ -43,6 +43,8 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUN
     ``ends`` marks the last id of each document. A round counts all pairs exactly and takes the most
     frequent, its share of the symbols left. Where chosen pairs overlap, the left one is replaced.
     """
+    if terminals > SYMBOLS:
+        raise ValueError(f"symbols have 16 bits; the tokenizer has {terminals} ids")
     s, ends = ids.astype(np.uint32), ends.copy()
     rules = np.zeros((0, 2), np.uint32)
     table = np.zeros(_TABLE, np.uint16)

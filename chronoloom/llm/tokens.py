@@ -14,7 +14,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces kept per worker, some 200 bytes each; a full cache starts anew.
+#: Words and pieces kept per worker, some 200 bytes each, in two generations of half as many: when the young
+#: one is full it becomes the old one, from which what is used again moves back. Frequent words always stay.
 CACHED_WORDS, CACHED_PIECES = 200_000, 400_000
 
 #: How the word tokenizer cuts a lower-cased word of the characters of ``_PLAIN``. Words with
@@ -38,6 +39,7 @@ class WordEncoder:
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
         self.words: dict[str, bytes] = {}
+        self.old_words: dict[str, bytes] = {}
         self.pieces: dict[str, bytes] = {"\n": b""}
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
@@ -85,11 +87,15 @@ class WordEncoder:
         out = list(map(self.words.get, words))
         missing = [w for w, ids in zip(words, out, strict=True) if ids is None]
         if missing:
-            if len(self.words) > CACHED_WORDS:
-                self.words = {}
-            learnt = self._learn_words(missing)
-            self.words.update(zip(missing, learnt, strict=True))
-            rest = iter(learnt)
+            if len(self.words) > CACHED_WORDS // 2:
+                self.old_words, self.words = self.words, {}
+            again = list(map(self.old_words.get, missing))
+            fresh = [w for w, ids in zip(missing, again, strict=True) if ids is None]
+            if fresh:
+                rest = iter(self._learn_words(fresh))
+                again = [next(rest) if ids is None else ids for ids in again]
+            self.words.update(zip(missing, again, strict=True))
+            rest = iter(again)
             out = [next(rest) if ids is None else ids for ids in out]
         return out
 
