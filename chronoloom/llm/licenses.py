@@ -3,7 +3,7 @@
 A template is aligned with every stretch of a text that may cover it, and the best place counts: words that occur once in both are anchors, the
 longest increasing run of anchors is kept, and the gaps between them are aligned in the same way, down to
 a plain longest common subsequence where no word is unique. Coverage is the share of the template's words
-that the alignment matches; words that name license and version must be among them.
+that the alignment matches; the phrases that name license and version must be among them, unbroken.
 
 Texts that can't reach the coverage are passed over by an exact bound, the words that text and template
 have in common counted with repetition, for all texts and templates of a slice at once.
@@ -14,6 +14,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections import Counter, deque
 from collections.abc import Iterator
+from operator import sub
 
 import numpy as np
 import pyarrow as pa
@@ -59,16 +60,17 @@ TEMPLATES = {
     "CC-BY-4.0": "This work is licensed under a Creative Commons Attribution 4.0 International License",
 }
 
-#: Words that name license and version, all of which must match.
+#: Phrases that name license and version. All must match, word after word and with no other word between:
+#: "GNU Lesser General Public License" isn't the "GNU General Public License".
 NAMING = {
-    "Apache-2.0": "apache 2.0",
-    "Apache-2.0-header": "apache 2.0",
-    "MIT": "mit",
-    "GPL-3.0": "gnu general public 3",
-    "GPL-header": "gnu general public",
-    "MPL-2.0": "mozilla 2.0",
-    "CC-BY-NC-4.0": "cc by-nc 4.0",
-    "CC-BY-4.0": "creative commons attribution 4.0",
+    "Apache-2.0": ("Apache License", "2.0"),
+    "Apache-2.0-header": ("Apache License", "2.0"),
+    "MIT": ("MIT License",),
+    "GPL-3.0": ("GNU General Public License", "version 3"),
+    "GPL-header": ("GNU General Public License",),
+    "MPL-2.0": ("Mozilla Public License", "2.0"),
+    "CC-BY-NC-4.0": ("CC BY-NC 4.0",),
+    "CC-BY-4.0": ("Creative Commons Attribution 4.0",),
 }
 
 
@@ -151,13 +153,28 @@ def _common(a: list, i: int, j: int, b: list, p: int, q: int) -> list[tuple[int,
     return out
 
 
-def scan_words(words: list[str], template: list[str], least: float = 1, exact: frozenset = frozenset()) -> tuple[int, int, int]:
+def phrases_in(template: list[str], phrases: str | tuple[str, ...]) -> list[tuple[int, int]]:
+    """Where each phrase is in a template: first word and number of words. A plain string names single words."""
+    found = []
+    for phrase in (tuple(phrases.split()) if isinstance(phrases, str) else phrases):
+        run = words_of(phrase)
+        at = [k for k in range(len(template) - len(run) + 1) if template[k : k + len(run)] == run]
+        if run and not at and not isinstance(phrases, str):
+            raise ValueError(f"{phrase!r} is no phrase of its template")
+        found += [(at[0], len(run))] if run and at else []
+    return found
+
+
+def scan_words(
+    words: list[str], template: list[str], least: float = 1, exact: frozenset = frozenset(), runs: tuple = ()
+) -> tuple[int, int, int]:
     """Start, end and matched words of a template's best place in a text; of equal places the first.
 
     A stretch is half as long again as the template. Every stretch is aligned that has at least ``least`` of
     the template's words, each counted as often as the template has it at most, and all words of ``exact``.
     Of stretches that hold the same of these words one is aligned, so that each word is followed once.
-    An alignment that leaves out a word of ``exact`` doesn't count.
+    An alignment that leaves out a word of ``exact`` doesn't count, nor one that breaks one of the ``runs``
+    (first word and length in the template).
     """
     size = len(template) + len(template) // 2 + 2
     need, have = Counter(template), Counter()
@@ -179,12 +196,15 @@ def scan_words(words: list[str], template: list[str], least: float = 1, exact: f
             continue
         places = list(inside)
         key = tuple(words[x] for x in places)
-        if key in seen:
+        # where runs count, so does which of the words are neighbours
+        known = (key, tuple(map(sub, places[1:], places[:-1]))) if runs else key
+        if known in seen:
             continue
-        seen.add(key)
+        seen.add(known)
         pairs = align(list(key), template)
-        matched = {y for _, y in pairs}
-        if len(pairs) > best[2] and all(y in matched for y in must):
+        matched = {y: places[x] for x, y in pairs}
+        whole = all(matched.get(y + j, -1) == matched.get(y, -2) + j for y, n in runs for j in range(n))
+        if len(pairs) > best[2] and whole and all(y in matched for y in must):
             best = places[pairs[0][0]], places[pairs[-1][0]] + 1, len(pairs)
             if best[2] == len(template):
                 break
@@ -195,7 +215,8 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage
     wanted = {name: words_of(text) for name, text in templates.items()}
     wanted = {name: words for name, words in wanted.items() if words}
     names = list(wanted)
-    exact = {name: frozenset(words_of(naming.get(name, ""))) & frozenset(wanted[name]) for name in names}
+    runs = {name: tuple(phrases_in(wanted[name], naming.get(name, ""))) for name in names}
+    exact = {name: frozenset(w for y, n in runs[name] for w in wanted[name][y : y + n]) for name in names}
     known = {w: k for k, w in enumerate(sorted({w for words in wanted.values() for w in words}))}
     need = np.zeros((len(names), max(len(known), 1)), np.int64)
     for t, name in enumerate(names):
@@ -216,7 +237,7 @@ def _scan(batches: Iterator[pa.RecordBatch], templates: dict[str, str], coverage
         for t, name in enumerate(names):
             shared = np.bincount(at, np.minimum(counts, need[t][word]), batch.num_rows)
             for d in np.flatnonzero(shared >= least[t]).tolist():
-                start, end, matched = scan_words(words_of(texts[d].as_py()), wanted[name], least[t], exact[name])
+                start, end, matched = scan_words(words_of(texts[d].as_py()), wanted[name], least[t], exact[name], runs[name])
                 if matched >= least[t]:
                     rows.append((d, name, matched / len(wanted[name]), start, end, matched))
         rows.sort()
@@ -233,13 +254,14 @@ def scan_licenses(
     coverage: float = COVERAGE,
     id_col: str = "doc_id",
     text_col: str = "text",
-    naming: dict[str, str] = NAMING,
+    naming: dict[str, str | tuple[str, ...]] = NAMING,
 ) -> DataFrame:
     """One row per row of ``docs`` and template that it covers: doc_id, license, coverage, start_word,
     end_word, n_matched (places count words with a character other than punctuation).
 
     ``templates`` is a small dictionary of names and texts, sent with the job; templates without words are
-    passed over. ``naming`` has, by name, those of a template's words that must all match. Null and empty texts match none; null ids and repeated rows are scanned like others.
+    passed over. ``naming`` has, by name, the phrases of a template that must match unbroken, or a string of
+    single words that must. Null and empty texts match none; null ids and repeated rows are scanned like others.
     Whole texts are scanned; the best place of each template is given. Other columns aren't read.
     """
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))

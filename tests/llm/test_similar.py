@@ -5,6 +5,7 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -360,3 +361,27 @@ def test_word_windows_stay_within_their_text():
     assert h.tolist() == [5, 7, 5] and o.tolist() == [0, 0, 1] and n.tolist() == [2, 1, 1]
 
 
+
+NOTICES = {
+    "This work is licensed under the GNU General Public License, version 3": {"GPL-3.0"},
+    "This work is licensed under the GNU Affero General Public License, version 3": set(),
+    "This work is licensed under the GNU Lesser General Public License, version 3": set(),
+    "This work is licensed under a Creative Commons Attribution 4.0 International License": {"CC-BY-4.0"},
+    "This work is licensed under a Creative Commons Attribution ShareAlike 4.0 International License": set(),
+    "This work is licensed under a Creative Commons Attribution Non Commercial 4.0 International License": set(),
+    "Released under the BSD License": set(),
+    "Released under the MIT License": {"MIT"},
+    # a broken phrase first, the notice itself after it
+    "licensed under the GNU Lesser General Public License, version 3. This work is licensed under the GNU General Public "
+    "License, version 3": {"GPL-3.0"},
+}
+
+
+def test_other_words_within_a_name_are_another_license(spark):
+    docs = [(k, f"{prose(k, 40)} {text} {prose(50 + k, 40)}") for k, text in enumerate(NOTICES)]
+    found = {k: set() for k in range(len(docs))}
+    for r in licenses.scan_licenses(table(spark, docs)).collect():
+        found[r.doc_id].add(r.license)
+    assert [found[k] for k in range(len(docs))] == list(NOTICES.values())
+    with pytest.raises(ValueError):
+        licenses.phrases_in(["the", "mit", "license"], ("license mit",))
