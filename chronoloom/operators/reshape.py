@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from . import layout as L
 from .levels import LevelOrder
-from .relational import spread_join
+from .relational import global_positions, spread_join
 
 if TYPE_CHECKING:
     from ..frame import TemporalFrame
@@ -24,17 +24,43 @@ def gather(df: DataFrame, columns: list[str], names_to: str, values_to: str) ->
     return df.unpivot(ids, columns, names_to, values_to)
 
 
+#: Levels that may become columns without being named.
+LEVELS = 5_000
+
+
+def spread_pages(df: DataFrame, ids: list[str], column: str, value: str, page_levels: int = 1_000) -> DataFrame:
+    """Long to wide for any number of levels: ids, page and a map from level to value, a page of levels a row.
+
+    Levels are numbered in their order (nulls last) without leaving Spark, page 0 has the first
+    ``page_levels`` of them, and a row is there for each page that its ids have a value in. As in ``spread``
+    the largest of several values of a cell counts; a null level is the key ``<NA>``, and a value that is null
+    makes no cell. Keys are text. A level may hold a third of all rows: the join of its number is dealt.
+    """
+    level, number = "__level", "__number"
+    levels = global_positions(df.select(F.col(column).alias(level)).distinct(), [F.asc_nulls_last(level)], number)
+    rows = df.where(F.col(value).isNotNull()).select(*ids, F.col(column).alias("__at"), F.col(value).alias("__value"))
+    numbered = spread_join(rows, levels, {"__at": level}, [*ids, "__value"])
+    key = F.coalesce(F.col("__at").cast("string"), F.lit(NO_LEVEL))
+    numbered = numbered.withColumns({"page": L.floordiv(F.col(number), page_levels), "__key": key})
+    cells = numbered.groupBy(*ids, "page", "__key").agg(F.max("__value").alias("__value"))
+    entries = F.sort_array(F.collect_list(F.struct("__key", "__value")))
+    return cells.groupBy(*ids, "page").agg(F.map_from_entries(entries).alias("cells"))
+
+
 def spread(
     df: DataFrame, ids: list[str], column: str, value: str, levels: list[object] | None = None, fill: object = None
 ) -> DataFrame:
     """Long to wide in one shuffle: one conditional aggregate per level.
 
     Without ``levels`` the distinct values are looked up first (a job): as many as there are become
-    columns, so give the levels of a column of many values. Rows without a level go to the column
+    columns, and more than ``LEVELS`` are refused: see ``spread_pages``. Rows without a level go to the column
     ``<NA>``, which is there if any are found or ``levels`` has None. Given levels are the only columns.
     """
     if levels is None:
-        levels = [r[0] for r in df.select(column).distinct().orderBy(F.asc_nulls_last(column)).collect()]
+        found = df.select(column).distinct().limit(LEVELS + 1)  # no more than these reach the driver
+        levels = [r[0] for r in found.orderBy(F.asc_nulls_last(column)).collect()]
+        if len(levels) > LEVELS:
+            raise ValueError(f"{column} has more than {LEVELS} levels: name those wanted, or use spread_pages")
     same = lambda v: F.col(column).isNull() if v is None else F.col(column) == F.lit(v)
     cells = [F.max(F.when(same(v), F.col(value))) for v in levels]
     if fill is not None:

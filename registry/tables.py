@@ -312,6 +312,20 @@ def spread_fill(spark, sf_dir):
     return per_year.spread("channel", "annual_volume", SEGMENTS, fill=0).df
 
 
+@query(
+    """WITH levels AS (SELECT o_custkey, (row_number() OVER (ORDER BY o_custkey) - 1) // 64 AS page FROM (SELECT DISTINCT o_custkey FROM orders)),
+    cells AS (SELECT o_orderpriority AS priority, page, o_custkey, max(o_orderkey) AS last FROM orders JOIN levels USING (o_custkey) GROUP BY 1, 2, 3)
+    SELECT priority, CAST(page AS BIGINT) AS page, CAST(count(*) AS INTEGER) AS n_cells,
+           string_agg(o_custkey::VARCHAR || '=' || last::VARCHAR, ' ' ORDER BY o_custkey::VARCHAR) AS cells FROM cells GROUP BY 1, 2"""
+)
+def spread_pages(spark, sf_dir):
+    """A column for every customer would be too many: pages of 64 of them."""
+    orders = star.table(spark, sf_dir, "orders").withColumnRenamed("o_orderpriority", "priority")
+    wide = cl.spread_pages(orders, ["priority"], "o_custkey", "o_orderkey", page_levels=64)
+    shown = F.transform(F.map_entries("cells"), lambda e: F.concat_ws("=", e["key"], e["value"].cast("string")))
+    return wide.select("priority", "page", F.size("cells").alias("n_cells"), F.array_join(shown, " ").alias("cells"))
+
+
 @query(
     f"""WITH {DAILY}
     SELECT channel, category, service, CAST(date_trunc('month', date) AS DATE)::VARCHAR AS yrmth,

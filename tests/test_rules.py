@@ -364,3 +364,19 @@ def test_open_ties_are_settled_alike(spark, monkeypatch):
     few = sorted(relational.top_k(df, "x", 20, []).collect())
     monkeypatch.setattr(relational, "LIMIT_ROWS", 5)
     assert sorted(relational.top_k(df, "x", 20, []).collect()) == few
+
+
+def test_many_levels_stay_distributed(spark, monkeypatch):
+    from chronoloom.operators import reshape
+
+    rows = spark.createDataFrame(
+        [("a", "x", 1), ("a", "y", 2), ("a", "x", 3), ("b", None, 4), ("b", "z", None), ("b", "x", 5), (None, "w", 6)], "i string, k string, v int"
+    )
+    got = {(r.i, r.page): r.cells for r in reshape.spread_pages(rows, ["i"], "k", "v", page_levels=2).collect()}
+    assert got == {("a", 0): {"x": 3}, ("a", 1): {"y": 2}, ("b", 0): {"x": 5}, ("b", 2): {"<NA>": 4}, (None, 0): {"w": 6}}
+    assert reshape.spread_pages(rows.where("false"), ["i"], "k", "v").count() == 0
+    monkeypatch.setattr(reshape, "LEVELS", 4)
+    with pytest.raises(ValueError, match="more than 4 levels"):
+        reshape.spread(rows, ["i"], "k", "v")
+    monkeypatch.setattr(reshape, "LEVELS", 5)
+    assert set(reshape.spread(rows, ["i"], "k", "v").columns) == {"i", "w", "x", "y", "z", "<NA>"}
