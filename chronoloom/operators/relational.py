@@ -20,30 +20,101 @@ HOW = {"inner": "inner", "left": "left", "right": "right", "full": "full", "semi
 LIMIT_ROWS = 2_000
 
 
-def join(left: DataFrame, right: DataFrame, on: list[str], how: str, na_matches: str = "na") -> DataFrame:
+# Rows of one join key that a task takes; a key with more is dealt over several tasks.
+PART_ROWS = 1 << 20
+
+
+def join(
+    left: DataFrame,
+    right: DataFrame,
+    on: list[str],
+    how: str,
+    na_matches: str = "na",
+    deal: bool | None = None,
+    part_rows: int = PART_ROWS,
+    rows_by: tuple[list[str] | None, list[str] | None] = (None, None),
+) -> DataFrame:
     """Equi-join by name. A null key matches a null key unless ``na_matches="never"``.
 
     The key columns appear once, from whichever side has them. Other columns that both sides have get
     the suffixes ``_x`` and ``_y``.
+
+    ``deal``: spread the rows of keys above ``part_rows`` rows over several tasks. Spark splits such keys by
+    itself in inner joins and on the outer side of one-sided joins, never in full ones, so full joins are
+    dealt unless told otherwise. Dealing counts the keys first, so both sides are read twice. ``rows_by``
+    names columns that tell the rows of a side apart; by default all do, and equal rows stay together.
     """
     if how not in HOW:
         raise ValueError(f"unknown join {how!r}")
+    deal = how == "full" if deal is None else deal
     clash = (set(left.columns) & set(right.columns)) - set(on)
     if how in ("semi", "anti"):
         right, clash = right.select(*on), set()
+        right = right.distinct() if deal else right
+        rows_by = (rows_by[0], None)
+    by = [[f"{c}{end}" if c in clash else c for c in b] if b else None for b, end in zip(rows_by, ("_x", "_y"))]
     left = left.withColumnsRenamed({c: f"{c}_x" for c in clash})
-    right = right.withColumnsRenamed({c: f"{c}_y" for c in clash} | {c: f"__r_{c}" for c in on})
+    right = right.withColumnsRenamed({c: f"{c}_y" for c in clash})
+    columns = left.columns
+    if deal:
+        hot = _hot_keys(left, right, on, na_matches, part_rows)
+        left, right = _dealt(left, hot, on, "l", by[0]), _dealt(right, hot, on, "r", by[1])
+    right = right.withColumnsRenamed({c: f"__r_{c}" for c in on})
     match = lambda c: left[c] == right[f"__r_{c}"] if na_matches == "never" else left[c].eqNullSafe(right[f"__r_{c}"])
-    joined = left.join(right, [match(c) for c in on], HOW[how])
+    cell = [left[f"__l{i}"] == right[f"__r{i}"] for i in ("l", "r")] if deal else []
+    joined = left.join(right, [*[match(c) for c in on], *cell], HOW[how])
+    if deal and how not in ("semi", "anti"):
+        # A hot key of both sides has partners in some cell, so a row of it without one in its own cell is spurious.
+        lost = (F.col("__rl").isNull() & F.col("__lmet")) | (F.col("__ll").isNull() & F.col("__rmet"))
+        joined = joined.where(~F.coalesce(lost, F.lit(False)))
     if how in ("semi", "anti"):
-        return joined
-    rest = [c for c in right.columns if not c.startswith("__r_")]
+        return joined.select(*columns)
+    rest = [c for c in right.columns if c not in {*[f"__r_{c}" for c in on], "__rl", "__rr", "__rmet"}]
     # A null left key can only mean "no left row" or a null that matched a null: coalesce is safe.
     keyed = {c: F.coalesce(F.col(c), F.col(f"__r_{c}")).alias(c) for c in on}
-    keep = [keyed.get(c, F.col(c)) if how in ("right", "full") else F.col(c) for c in left.columns]
+    keep = [keyed.get(c, F.col(c)) if how in ("right", "full") else F.col(c) for c in columns]
     return joined.select(*keep, *rest)
 
 
+def _hot_keys(left: DataFrame, right: DataFrame, on: list[str], na_matches: str, part_rows: int) -> DataFrame:
+    """Keys with more than ``part_rows`` rows on a side: in how many parts each side is dealt, and whether
+    both sides have the key.
+
+    The limit rises with tables of over 10^12 rows, so that fewer than ``L.HOT_KEYS`` keys of a side pass and
+    the list is safe to broadcast.
+    """
+    names = [f"__h{i}" for i in range(len(on))]
+    one, none = F.lit(1).cast("bigint"), F.lit(0).cast("bigint")
+    side = lambda df, l, r: df.select(*[F.col(c).alias(h) for c, h in zip(on, names)], l.alias("l"), r.alias("r"))
+    both = side(left, one, none).unionByName(side(right, none, one))
+    counts = both.groupBy(*names).agg(F.sum("l").alias("l"), F.sum("r").alias("r"))
+    floor = F.lit(part_rows).cast("bigint")
+    most = F.call_function("div", F.sum(F.greatest("l", "r")), F.lit(L.HOT_KEYS).cast("bigint"))
+    limit = counts.agg(F.greatest(floor, most).alias("limit")).scalar()
+    hot = counts.where(F.greatest("l", "r") > limit)
+    met = (F.col("l") > 0) & (F.col("r") > 0)
+    if na_matches == "never":
+        met = met & reduce(lambda a, b: a & b, [F.col(h).isNotNull() for h in names])
+    parts = lambda c: F.greatest(F.ceil(F.col(c) / limit), F.lit(1)).cast("int")
+    return hot.select(*names, parts("l").alias("__parts_l"), parts("r").alias("__parts_r"), met.alias("__met"))
+
+
+def _dealt(df: DataFrame, hot: DataFrame, on: list[str], side: str, by: list[str] | None) -> DataFrame:
+    """Rows with their cell in the grid of parts of both sides; a row is repeated for every part of the other.
+
+    A key that isn't hot has one cell. The part is a hash of the row, so a task that runs again deals alike.
+    """
+    other = "r" if side == "l" else "l"
+    same = [df[c].eqNullSafe(hot[f"__h{i}"]) for i, c in enumerate(on)]
+    joined = df.join(F.broadcast(hot), same, "left")
+    own = F.pmod(F.xxhash64(*by) if by else _hashed(df), F.coalesce(hot[f"__parts_{side}"], F.lit(1))).cast("int")
+    copies = F.when(hot["__met"], hot[f"__parts_{other}"]).otherwise(F.lit(1))
+    met = F.coalesce(hot["__met"], F.lit(False)).alias(f"__{side}met")
+    out = joined.select(*[df[c] for c in df.columns], own.alias(f"__{side}{side}"), copies.alias("__copies"), met)
+    cell = F.explode(F.sequence(F.lit(0), F.col("__copies") - 1)).alias(f"__{side}{other}")
+    return out.select("*", cell).drop("__copies")
+
+
 def temporal_join(
     tf: "TemporalFrame",
     other: "TemporalFrame | DataFrame",
@@ -51,12 +122,22 @@ def temporal_join(
     how: str = "inner",
     na_matches: str = "na",
     validate: bool = True,
+    deal: bool | None = None,
+    part_rows: int = PART_ROWS,
 ) -> "TemporalFrame":
-    """Join that keeps the left description; refuses a result where key and index repeat (a job)."""
+    """Join that keeps the left description; refuses a result where key and index repeat (a job).
+
+    Full joins are dealt (see ``join``) unless key and index of the left table are in ``on``: such rows have a
+    key each, and a right table that repeated one would be refused.
+    """
     from .declare import duplicates
 
     right = other if isinstance(other, DataFrame) else other.df
-    df = join(tf.df, right, on, how, na_matches)
+    own = [*tf.meta.key, tf.meta.index]
+    theirs = None if isinstance(other, DataFrame) else [*other.meta.key, other.meta.index]
+    if deal is None and set(own) <= set(on) and validate:
+        deal = False
+    df = join(tf.df, right, on, how, na_matches, deal, part_rows, (own, theirs))
     kept = how == "left"
     bound = None if how in ("right", "full") else tf.meta.max_rows
     out = tf.with_(df, dense=tf.meta.dense and kept, shared_span=tf.meta.shared_span and kept, max_rows=bound)

@@ -386,6 +386,38 @@ for _how, _not in (("semi", ""), ("anti", "NOT")):
         return getattr(left, f"{how}_join")(right, ["date"]).df
 
 
+_EVENTS = "e AS (SELECT CASE WHEN event_type <> 'view' THEN user_id END AS user_id, event_id, value FROM events)"
+
+
+@query(
+    f"""WITH {_EVENTS},
+    c AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS user_id, CAST(count(*) AS BIGINT) AS customers FROM customer GROUP BY 1)
+    SELECT coalesce(e.user_id, c.user_id) AS user_id, event_id, value, customers
+    FROM e FULL JOIN c ON e.user_id IS NOT DISTINCT FROM c.user_id"""
+)
+def joins_full_hot(spark, sf_dir):
+    """Events without a user are a hot null key, and the other table has a row for them; both have keys of their own."""
+    user = F.when(F.col("event_type") != "view", F.col("user_id")).alias("user_id")
+    events = star.table(spark, sf_dir, "events").select(user, "event_id", "value")
+    known = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")).alias("user_id")
+    customers = star.table(spark, sf_dir, "customer").groupBy(known).agg(F.count(F.lit(1)).alias("customers"))
+    return cl.join(events, customers, ["user_id"], "full", part_rows=500, rows_by=(["event_id"], None))
+
+
+@query(
+    f"""WITH {_EVENTS},
+    c AS (SELECT CASE WHEN c_mktsegment <> 'BUILDING' THEN c_custkey END AS user_id, c_custkey FROM customer)
+    SELECT coalesce(e.user_id, c.user_id) AS user_id, event_id, value, c_custkey FROM e FULL JOIN c ON e.user_id = c.user_id"""
+)
+def joins_full_never(spark, sf_dir):
+    """Null keys of both sides match nothing: they are dealt and not repeated."""
+    user = F.when(F.col("event_type") != "view", F.col("user_id")).alias("user_id")
+    events = star.table(spark, sf_dir, "events").select(user, "event_id", "value")
+    known = F.when(F.col("c_mktsegment") != "BUILDING", F.col("c_custkey")).alias("user_id")
+    customers = star.table(spark, sf_dir, "customer").select(known, "c_custkey")
+    return cl.join(events, customers, ["user_id"], "full", "never", part_rows=100, rows_by=(["event_id"], ["c_custkey"]))
+
+
 NULLED = f"""{DAILY},
 a AS (SELECT date, nullif(channel, 'BUILDING') AS channel, CAST(sum(volume) AS BIGINT) AS volume FROM daily GROUP BY 1, 2),
 b AS (SELECT nullif(c_mktsegment, 'BUILDING') AS channel, CAST(count(*) AS BIGINT) AS customers FROM customer GROUP BY 1)"""

@@ -1,6 +1,7 @@
 """One small table per rule: nulls, membership, gaps, edges, ties, level order."""
 
 import datetime as dt
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -162,6 +163,46 @@ def test_joins_match_nulls(spark):
     assert rows(join(a, a, ["k"], "semi"), "a") == [("x", 1), (None, 2), ("z", 3)]
 
 
+def skewed(spark, name, seed, n, only):
+    """A third of the rows under the hot key, a third without a key, the rest over small keys."""
+    rng = random.Random(seed)
+    keys = [rng.choice(["hot", None, f"{only if rng.random() < 0.3 else 'k'}{rng.randrange(9)}"]) for _ in range(n)]
+    return spark.createDataFrame([(k, i % 2, i) for i, k in enumerate(keys)], f"k string, j int, {name} int")
+
+
+@pytest.mark.parametrize(
+    "how, na_matches",
+    [("inner", "na"), ("left", "never"), ("right", "na"), ("full", "na"), ("full", "never"), ("semi", "na"), ("anti", "never")],
+)
+def test_dealt_joins_equal_plain_ones(spark, how, na_matches):
+    a, b, none = skewed(spark, "a", 1, 120, "l"), skewed(spark, "b", 2, 90, "r"), skewed(spark, "b", 3, 0, "r")
+    few = b.where(F.coalesce(F.col("k"), F.lit("k")) != "hot")  # the hot key is on one side only
+    for left, right, on in ((a, b, ["k", "j"]), (a, few, ["k"]), (few, a, ["k"]), (a, none, ["k"])):
+        expected = join(left, right, on, how, na_matches, deal=False)
+        dealt = join(left, right, on, how, na_matches, deal=True, part_rows=7)
+        assert dealt.columns == expected.columns
+        assert sorted(map(str, dealt.collect())) == sorted(map(str, expected.collect()))
+
+
+def test_dealt_full_join_has_no_large_task(spark, tmp_path):
+    """A key of a third of all rows, and a null key of another third, in the tasks of the join."""
+    spark.range(30_000).select(F.when(F.col("id") % 3 > 0, F.when(F.col("id") % 3 > 1, F.lit(-1)).otherwise(F.col("id"))).alias("k"), "id").write.parquet(str(tmp_path / "a"))
+    a = spark.read.parquet(str(tmp_path / "a"))
+    b = spark.range(-1, 3_000).select(F.col("id").alias("k"), F.lit("b").alias("y"))
+    kept = {s: spark.conf.get(s) for s in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    try:
+        for s, v in zip(kept, ("-1", "false")):
+            spark.conf.set(s, v)
+        for na_matches in ("na", "never"):
+            joined = join(a, b, ["k"], "full", na_matches, part_rows=500)
+            sizes = [r["count"] for r in joined.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+            plain = join(a, b, ["k"], "full", na_matches, deal=False)
+            assert sum(sizes) == plain.count() and max(sizes) <= 3 * sorted(sizes)[len(sizes) // 2]
+    finally:
+        for s, v in kept.items():
+            spark.conf.set(s, v)
+
+
 def test_join_refuses_repeated_keys(gaps, spark):
     two = spark.createDataFrame([("a", 1), ("a", 2)], "k string, y int")
     with pytest.raises(ValueError, match="no longer"):
