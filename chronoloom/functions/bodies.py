@@ -8,6 +8,7 @@ the answer rebuilt per row from the block totals before it. The other forms are:
 * ``aggregate(fn)`` or a bare lambda: columns in, one Spark aggregate out. A lambda of several aggregates,
   or of a row of them, takes a second argument ``over`` and wraps each:
   ``lambda c, over: over(F.max(c)) - over(F.min(c))``;
+* ``"n_distinct"``: distinct values, which Spark cannot count over a window;
 * ``on_list(fn)``: the window as an ordered array column in, any column expression out;
 * ``opaque(fn)``: a Python function of numpy arrays, sent over Arrow;
 * ``fold(init, update, merge, finish)``: a Python aggregate that scales like an ``Accumulator``. ``update`` takes
@@ -65,6 +66,13 @@ class Aggregate:
         return over(self.fn(*cols))
 
 
+@dataclass(frozen=True)
+class Distinct(Aggregate):
+    """Number of distinct values or rows of values, exact; a null is a value."""
+
+    fn: Callable[..., Column] = field(default=lambda *cols: F.count_distinct(F.struct(*cols)))
+
+
 @dataclass(frozen=True)
 class OnList:
     fn: Callable[[Column], Column] = field(default=lambda a: a)
@@ -176,6 +184,8 @@ NAMED: dict[str, Accumulator] = {
     "cor": _of_moments(M.TWO, M.correlation),
 }
 
+BY_NAME: dict[str, "Body"] = {**NAMED, "n_distinct": Distinct()}
+
 Body = Accumulator | Aggregate | OnList | Opaque | Fold
 
 
@@ -184,9 +194,9 @@ def resolve(fn: object) -> Body:
     if fn is None or fn == "list":
         return OnList()
     if isinstance(fn, str):
-        if fn not in NAMED:
-            raise ValueError(f"unknown window function {fn!r}; known: {', '.join(sorted(NAMED))}")
-        return NAMED[fn]
+        if fn not in BY_NAME:
+            raise ValueError(f"unknown window function {fn!r}; known: {', '.join(sorted(BY_NAME))}")
+        return BY_NAME[fn]
     if isinstance(fn, (Accumulator, Aggregate, OnList, Opaque, Fold)):
         return fn
     if callable(fn):

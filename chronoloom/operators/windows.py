@@ -26,7 +26,7 @@ from pyspark.sql.pandas.types import to_arrow_type
 from ..functions import moments as M
 from ..functions.bodies import COMBINE, MOMENTS, Accumulator, Aggregate, Body, Fold, OnList, Opaque, resolve
 from ..functions.calendar import Interval, Period
-from . import folds
+from . import distinct, folds
 from . import layout as L
 from .relational import spread_join
 
@@ -123,6 +123,17 @@ def _list_udf(body: Opaque, names: tuple[str, ...]):
 
 def apply_windows(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFrame":
     kind = next(iter(calls.values())).kind
+    counted = {n: c for n, c in calls.items() if distinct.is_distinct(c)}
+    if counted and kind != "tile":
+        rest = {n: c for n, c in calls.items() if n not in counted}
+        kept = [c for c in tf.df.columns if c not in calls]
+        held = {n: f"__counted{i}" for i, n in enumerate(counted)}  # a call may replace a column that another reads
+        out = distinct.distinct_counts(tf, {held[n]: c for n, c in counted.items()})
+        out = apply_windows(out, rest) if rest else out
+        df = out.df.select(*kept, *[F.col(held.get(n, n)).alias(n) for n in calls])
+        for name, call in counted.items():
+            df = _typed(df, name, call.out_type)
+        return out.with_(df.select(*kept, *calls))
     if kind == "slide":
         return _slide(tf, calls)
     if kind == "stretch":

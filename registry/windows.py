@@ -503,3 +503,48 @@ def events_folds(spark, sf_dir):
 )
 def tile_fold(spark, sf_dir):
     return star.enquiries(spark, sf_dir).tiles(fall=cl.FAMILY["tile_dbl"]("value", DROP, size=9)).df
+
+
+# -- distinct counts ------------------------------------------------------------------------------
+
+
+@query(
+    f"""WITH {DAILY}
+    SELECT {day('date')}, channel, category, service,
+           CASE WHEN row_number() OVER k >= 30 THEN CAST(count(DISTINCT volume) OVER w AS INTEGER) END AS kinds,
+           CAST(count(DISTINCT volume) OVER a AS BIGINT) AS so_far
+    FROM daily WINDOW k AS ({SERIES}), w AS ({SERIES} ROWS 29 PRECEDING), a AS ({SERIES} ROWS UNBOUNDED PRECEDING)"""
+)
+def slide_distinct(spark, sf_dir):
+    out = star.enquiries(spark, sf_dir).transmute(
+        kinds=cl.FAMILY["slide_int"]("volume", "n_distinct", size=30), so_far=cl.FAMILY["stretch"]("volume", "n_distinct")
+    )
+    return out.df.select("date", "channel", "category", "service", "kinds", "so_far")
+
+
+@query(
+    f"""SELECT event_id, event_type, CAST(count(DISTINCT user_id) OVER ({TYPE} ROWS 299 PRECEDING) AS BIGINT) AS users,
+      CAST(count(DISTINCT user_id) OVER ({TYPE} ROWS UNBOUNDED PRECEDING) AS BIGINT) AS users_so_far FROM events"""
+)
+def events_distinct(spark, sf_dir):
+    """Few, large series in blocks; a value in a series is a series of its own."""
+    events = star.table(spark, sf_dir, "events").select("ts", "event_type", "event_id", "user_id")
+    layout = cl.Layout(hot_rows=1000, block=256)
+    tf = cl.as_temporal(events, "ts", ["event_type"], interval=None, validate=False, layout=layout)
+    tf = tf.mutate(users=cl.FAMILY["slide"]("user_id", "n_distinct", size=300, partial=True))
+    tf = tf.mutate(users_so_far=cl.FAMILY["stretch"]("user_id", "n_distinct"))
+    return tf.df.select("event_id", "event_type", "users", "users_so_far")
+
+
+@query(
+    f"""WITH {DAILY}, t AS (SELECT *, (row_number() OVER ({SERIES}) - 1) // 9 + 1 AS tile FROM daily)
+    SELECT channel, category, service, tile, min(date)::VARCHAR AS date, CAST(count(DISTINCT volume) AS INTEGER) AS kinds
+    FROM t GROUP BY 1, 2, 3, 4"""
+)
+def tile_distinct(spark, sf_dir):
+    return star.enquiries(spark, sf_dir).tiles(kinds=cl.FAMILY["tile_int"]("volume", "n_distinct", size=9)).df
+
+
+@query(TWO_MONTHS.format(type="BIGINT", columns="two.kinds"))
+def slide_month2_distinct(spark, sf_dir):
+    return _two_months(spark, sf_dir, kinds=cl.FAMILY["slide"]("volume", "n_distinct"))

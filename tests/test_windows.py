@@ -408,3 +408,51 @@ def test_a_fold_of_a_hot_series_has_no_window_over_it(spark):
     opaque = tf.mutate(z=fam["stretch_dbl"]("y", cl.opaque(lambda v: float(v.sum())))).df
     assert "collect_list" not in opaque._jdf.queryExecution().executedPlan().toString()
     assert sorted(r.z for r in opaque.collect()) == [k * (k + 1) / 2 for k in range(400)]
+
+
+def counted(values, size):
+    """Distinct values of each window, by looking at it."""
+    return [len(set(values[max(0, i - size + 1) : i + 1])) for i in range(len(values))]
+
+
+@pytest.mark.parametrize("layout", [cl.Layout(), cl.Layout(hot_rows=20, block=7)])
+@pytest.mark.parametrize("keyed", [True, False])
+def test_distinct_counts_equal_sets(spark, layout, keyed):
+    rng = random.Random(4)
+    start = dt.datetime(2020, 1, 1)
+    rows = [
+        (start + dt.timedelta(seconds=t * 3), k, rng.choice([None, "a", "a", "a", *"bcdefg"]), rng.randrange(2))
+        for k, n in (("p", 150), (None, 60), ("q", 1)) for t in range(n)
+    ]
+    df = spark.createDataFrame(rows, "ts timestamp_ntz, k string, x string, y int")
+    if not keyed:
+        df, rows = df.where("k = 'p'"), [r for r in rows if r[1] == "p"]
+    tf = cl.as_temporal(df, "ts", ["k"] if keyed else [], interval=None, validate=False, layout=layout)
+    slide, slide2, stretch = (cl.FAMILY[n] for n in ("slide", "slide2_int", "stretch"))
+    out = tf.mutate(
+        five=slide("x", "n_distinct", size=5, partial=True), wide=slide("x", "n_distinct", size=40),
+        pair=slide2("x", "y", "n_distinct", size=5, partial=True), y=slide("y", "sum", size=5, partial=True),
+    )
+    out = out.mutate(all=stretch("x", "n_distinct", init=3))
+    found = {}
+    for r in out.df.orderBy("ts").collect():
+        found.setdefault(r["k"], []).append(r)
+    for k, got in found.items():
+        own = [r for r in rows if r[1] == k]
+        x, pairs = [r[2] for r in own], [r[2:] for r in own]
+        assert [r["five"] for r in got] == counted(x, 5)
+        assert [r["wide"] for r in got] == [n if i >= 39 else None for i, n in enumerate(counted(x, 40))]
+        assert [r["pair"] for r in got] == counted(pairs, 5)
+        assert [r["all"] for r in got] == [n if i >= 2 else None for i, n in enumerate(counted(x, len(x)))]
+        assert [r["y"] for r in got] == [sum(p[1] for p in pairs[max(0, i - 4) : i + 1]) for i in range(len(got))]
+    assert sum(map(len, found.values())) == len(rows)
+
+
+def test_distinct_count_in_place_and_of_an_empty_table(spark):
+    df = spark.createDataFrame([(dt.date(2020, 1, d), d % 2) for d in range(1, 8)], "day date, x int")
+    slide = cl.FAMILY["slide"]
+    for rows, expected in ((df, [(1, 0), (2, 1), (2, 2), (2, 1), (2, 2), (2, 1), (2, 2)]), (df.where("x > 5"), [])):
+        tf = cl.as_temporal(rows, "day", interval=cl.Interval(1, "day"), validate=False)
+        out = tf.mutate(s=slide("x", "sum", size=3, partial=True), x=slide("x", "n_distinct", size=3, partial=True)).df
+        assert [r["x"] for r in out.orderBy("day").collect()] == [a for a, _ in expected]
+    assert out.columns == ["day", "s", "x"]
