@@ -23,7 +23,7 @@ from .operators.gaps import fill_size
 from .operators.layout import Layout
 from .operators.levels import LevelOrder, lump_drop, lump_keep, present_levels
 from .operators.relational import bind_rows, desc, join, top_k
-from .operators.reshape import gather, hierarchy, nest, spread, spread_pages, unnest
+from .operators.reshape import branches, gather, hierarchy, hierarchy_of, nest, spread, spread_pages, unnest
 from .operators.summarise import share
 from .operators.windows import FAMILY, WindowCall, slider, stretcher, tiler
 from .sources.storage import lower_names, read_csv_files, read_table, scratch_path, write_table

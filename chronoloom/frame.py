@@ -19,8 +19,11 @@ class Nested:
     parent: str
 
 
-def nested(child: str, parent: str) -> Nested:
-    return Nested(child, parent)
+def nested(child: str, parent: str, *outer: str) -> Nested | tuple[Nested, ...]:
+    """From the innermost column outwards: ``nested("city", "state", "country")`` is a key of three levels."""
+    path = (child, parent, *outer)
+    chain = tuple(Nested(c, p) for c, p in zip(path, path[1:]))
+    return chain if outer else chain[0]
 
 
 @dataclass(frozen=True)
@@ -55,8 +58,11 @@ class Meta:
     def key_label(self) -> str:
         inside = {n.child: n.parent for n in self.nesting}
         parents = set(inside.values())
-        shown = [f"{k} | {inside[k]}" if k in inside else k for k in self.key if k not in parents]
-        return ", ".join(shown)
+
+        def path(column: str) -> list[str]:
+            return [column, *path(inside[column])] if column in inside else [column]
+
+        return ", ".join(" | ".join(path(k)) for k in self.key if k not in parents)
 
     @property
     def group_label(self) -> str:
@@ -64,13 +70,24 @@ class Meta:
         return f"{label} @ {self.index_by[0]}".strip() if self.index_by else label
 
 
-def split_key(key: list[str | Nested]) -> tuple[tuple[str, ...], tuple[Nested, ...]]:
+def split_key(key: list[str | Nested | tuple[Nested, ...]]) -> tuple[tuple[str, ...], tuple[Nested, ...]]:
     columns: list[str] = []
+    nesting: list[Nested] = []
     for k in key:
-        for name in (k.child, k.parent) if isinstance(k, Nested) else (k,):
-            if name not in columns:
-                columns.append(name)
-    return tuple(columns), tuple(k for k in key if isinstance(k, Nested))
+        if isinstance(k, str):
+            columns.append(k)
+            continue
+        links = (k,) if isinstance(k, Nested) else k
+        nesting += links
+        columns += [c for n in links for c in (n.child, n.parent)]
+    inside = {n.child: n.parent for n in nesting}
+    for start in inside:
+        at, steps = start, 0
+        while at in inside and steps <= len(inside):
+            at, steps = inside[at], steps + 1
+        if at in inside:
+            raise ValueError(f"{start} is nested in itself")
+    return tuple(dict.fromkeys(columns)), tuple(nesting)
 
 
 class TemporalFrame:

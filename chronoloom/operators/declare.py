@@ -17,7 +17,7 @@ from . import layout as L
 def as_temporal(
     df: DataFrame,
     index: str | Period,
-    key: list[str | Nested] | None = None,
+    key: list[str | Nested | tuple[Nested, ...]] | None = None,
     interval: Interval | str | None = "auto",
     validate: bool = True,
     max_rows: int | None = None,
@@ -68,17 +68,17 @@ def duplicates(tf: TemporalFrame) -> DataFrame:
 
 
 def broken_nesting(tf: TemporalFrame) -> DataFrame:
-    """Children of a nested key that occur under several parents: level, child, n_parents."""
-    found: DataFrame | None = None
-    for n in tf.meta.nesting:
-        # Distinct pairs first: the shuffle carries pairs, not rows.
-        pairs = tf.df.select(F.col(n.child).cast("string").alias("child"), F.col(n.parent).alias("__p")).distinct()
-        bad = pairs.groupBy("child").agg(F.count(F.lit(1)).alias("n_parents")).where(F.col("n_parents") > 1)
-        bad = bad.select(F.lit(n.child).alias("level"), "child", "n_parents")
-        found = bad if found is None else found.unionByName(bad)
-    if found is None:
+    """Children of a nested key that occur under several parents: level, child, n_parents.
+
+    All levels are looked at in one pass: distinct combinations first, then distinct pairs of them.
+    """
+    if not tf.meta.nesting:
         raise ValueError("the key has no nested columns")
-    return found
+    used = dict.fromkeys(c for n in tf.meta.nesting for c in (n.child, n.parent))
+    text = lambda c: F.col(c).cast("string")
+    links = [F.struct(F.lit(n.child).alias("level"), text(n.child).alias("child"), text(n.parent).alias("__p")) for n in tf.meta.nesting]
+    pairs = tf.df.select(*used).distinct().select(F.inline(F.array(*links))).distinct()
+    return pairs.groupBy("level", "child").agg(F.count(F.lit(1)).alias("n_parents")).where(F.col("n_parents") > 1)
 
 
 def _gcd(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -97,25 +97,42 @@ def unnest(df: DataFrame, name: str = "data") -> DataFrame:
     return df.select(*[c for c in df.columns if c != name], F.inline(name))
 
 
-def hierarchy(
-    df: DataFrame, parent: str, child: str, root: str, order: LevelOrder | None = None
-) -> DataFrame:
-    """The nested key as one JSON document ``{name, children: [{name, children: [{name}]}]}``.
+def hierarchy(df: DataFrame, parent: str, child: str, root: str, order: LevelOrder | None = None) -> DataFrame:
+    """The nested key as one JSON document ``{name, children: [{name, children: [{name}]}]}``."""
+    return hierarchy_of(df, [parent, child], root, order)
+
+
+def hierarchy_of(df: DataFrame, path: list[str], root: str, order: LevelOrder | None = None) -> DataFrame:
+    """A tree of any depth, ``path`` from the outermost level inwards, as one JSON document.
 
-    Only distinct pairs reach the last two aggregations.
+    Only distinct paths are aggregated, level by level from the leaves: a node's children are put in order where
+    the node is made. The document is one value; ``branches`` has a row for each of its nodes instead.
     """
     order = order or LevelOrder()
-    rank = lambda c: F.struct(*_ranks(order, c))
-    pairs = df.select(F.col(parent).alias("parent"), F.col(child).alias("child")).distinct()
-    leaf = F.struct(rank("child").alias("r"), F.struct(F.col("child").alias("name")).alias("node"))
-    leaves = F.transform(F.array_sort(F.collect_list(leaf)), lambda x: x["node"])
-    nodes = pairs.groupBy("parent").agg(leaves.alias("children"))
-    branch = F.struct(
-        rank("parent").alias("r"), F.struct(F.col("parent").alias("name"), F.col("children")).alias("node")
+    levels = [f"l{i}" for i in range(len(path))]
+    nodes = df.select(*[F.col(c).alias(name) for c, name in zip(path, levels)]).distinct()
+    for depth in reversed(range(len(path))):
+        name = levels[depth]
+        inner = [F.col("children")] if "children" in nodes.columns else []
+        node = F.struct(F.struct(*_ranks(order, name)).alias("r"), F.struct(F.col(name).alias("name"), *inner).alias("node"))
+        below = F.transform(F.array_sort(F.collect_list(node)), lambda x: x["node"])
+        nodes = nodes.groupBy(*levels[:depth]).agg(below.alias("children"))
+    return nodes.select(F.to_json(F.struct(F.lit(root).alias("name"), "children")).alias("document"))
+
+
+def branches(df: DataFrame, path: list[str]) -> DataFrame:
+    """The same tree as a table, one row per node below the root: depth, path (texts from the outermost level),
+    n_children and n_leaves. One pass and no value that grows with the tree, so any number of nodes will do."""
+    full = F.array(*[F.col(c).cast("string") for c in path])
+    paths = df.select(full.alias("__full")).distinct()
+    at = F.explode(F.sequence(F.lit(1), F.lit(len(path)))).alias("depth")
+    nodes = paths.select("__full", at).select(
+        "depth", F.slice("__full", F.lit(1), F.col("depth")).alias("path"), F.slice("__full", F.col("depth") + 1, 1).alias("__next")
     )
-    branches = F.transform(F.array_sort(F.collect_list(branch)), lambda x: x["node"])
-    tree = nodes.agg(branches.alias("children"))
-    return tree.select(F.to_json(F.struct(F.lit(root).alias("name"), "children")).alias("document"))
+    # First by child, so that a node with many leaves is counted in parts.
+    children = nodes.groupBy("depth", "path", "__next").agg(F.count(F.lit(1)).alias("__n"))
+    some = F.count(F.when(F.size("__next") > 0, 1)).alias("n_children")
+    return children.groupBy("depth", "path").agg(some, F.sum("__n").alias("n_leaves"))
 
 
 def _ranks(order: LevelOrder, column: str) -> list:

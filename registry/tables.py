@@ -379,6 +379,37 @@ def hierarchy_json(spark, sf_dir):
     return cl.hierarchy(star.daily(spark, sf_dir), "category", "service", "World", order)
 
 
+@query(
+    f"""WITH {DAILY}, paths AS (SELECT DISTINCT category, service, channel FROM daily),
+    low AS (SELECT category, service, string_agg('{{"name":"' || channel || '"}}', ',' ORDER BY channel) AS leaves FROM paths GROUP BY 1, 2),
+    nodes AS (SELECT category, string_agg('{{"name":"' || service || '","children":[' || leaves || ']}}', ',' ORDER BY service) AS leaves
+              FROM low GROUP BY category)
+    SELECT {TREE} AS document FROM nodes"""
+)
+def hierarchy_deep(spark, sf_dir):
+    order = cl.LevelOrder(last=("ASIA",))
+    return cl.hierarchy_of(star.daily(spark, sf_dir), ["category", "service", "channel"], "World", order)
+
+
+@query(
+    """WITH t AS (SELECT r_name, n_name, c_mktsegment, c_custkey::VARCHAR AS c
+                  FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey),
+    nodes AS (
+      SELECT 1 AS depth, r_name AS path, count(DISTINCT n_name) AS n_children, count(DISTINCT c) AS n_leaves FROM t GROUP BY r_name
+      UNION ALL SELECT 2, r_name || '/' || n_name, count(DISTINCT c_mktsegment), count(DISTINCT c) FROM t GROUP BY r_name, n_name
+      UNION ALL SELECT 3, r_name || '/' || n_name || '/' || c_mktsegment, count(DISTINCT c), count(DISTINCT c) FROM t GROUP BY r_name, n_name, c_mktsegment
+      UNION ALL SELECT 4, r_name || '/' || n_name || '/' || c_mktsegment || '/' || c, 0, 1 FROM t)
+    SELECT depth, path, n_children, n_leaves FROM nodes"""
+)
+def hierarchy_branches(spark, sf_dir):
+    """Four levels, the last with a node for every customer."""
+    customers = star.table(spark, sf_dir, "customer").select("c_custkey", "c_nationkey", "c_mktsegment")
+    where = star.places(spark, sf_dir)
+    rows = customers.join(where, customers["c_nationkey"] == where["n_nationkey"], "inner")
+    found = cl.branches(rows, ["category", "service", "c_mktsegment", "c_custkey"])
+    return found.select("depth", F.array_join("path", "/").alias("path"), "n_children", "n_leaves")
+
+
 # -- scalar functions -----------------------------------------------------------------------------
 
 

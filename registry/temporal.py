@@ -75,6 +75,32 @@ def nesting_check(spark, sf_dir):
     return cl.broken_nesting(tf)
 
 
+@query(
+    f"""WITH {ORDERS}, pairs AS (
+      SELECT DISTINCT 'o_orderkey' AS level, o_orderkey::VARCHAR AS child, o_custkey::VARCHAR AS parent FROM orders_by_customer
+      UNION SELECT 'o_custkey', o_custkey::VARCHAR, c_mktsegment FROM orders_by_customer
+      UNION SELECT 'c_mktsegment', c_mktsegment, o_orderpriority FROM orders_by_customer)
+    SELECT level, child, count(*) AS n_parents FROM pairs GROUP BY level, child HAVING count(*) > 1"""
+)
+def nesting_deep(spark, sf_dir):
+    """Four levels in one declaration; the outermost isn't one."""
+    key = [cl.nested("o_orderkey", "o_custkey", "c_mktsegment", "o_orderpriority")]
+    return cl.broken_nesting(cl.as_temporal(star.orders_by_customer(spark, sf_dir), "date", key, interval=None, validate=False))
+
+
+@query(
+    f"""WITH {ORDERS}
+    SELECT count(*) AS n_rows, CAST(6 AS INTEGER) AS n_cols, '!' AS "interval", 'o_orderkey | o_custkey | c_nationkey, c_mktsegment' AS key,
+      count(DISTINCT (o_orderkey, o_custkey, c_nationkey, c_mktsegment)) AS n_keys, '' AS groups, CAST(0 AS BIGINT) AS n_groups
+    FROM orders_by_customer"""
+)
+def describe_deep(spark, sf_dir):
+    """Three nested levels crossed with another column."""
+    orders = star.orders_by_customer(spark, sf_dir).select("date", "o_orderkey", "o_custkey", "c_nationkey", "c_mktsegment", "cents")
+    key = [cl.nested("o_orderkey", "o_custkey", "c_nationkey"), "c_mktsegment"]
+    return cl.as_temporal(orders, "date", key, interval=None, validate=False).describe()
+
+
 @query(
     f"""WITH RECURSIVE {DAILY},
     steps AS (SELECT DISTINCT date - lag(date) OVER (PARTITION BY service, category, channel ORDER BY daily.date) AS d FROM daily),

@@ -421,3 +421,34 @@ def test_many_levels_stay_distributed(spark, monkeypatch):
         reshape.spread(rows, ["i"], "k", "v")
     monkeypatch.setattr(reshape, "LEVELS", 5)
     assert set(reshape.spread(rows, ["i"], "k", "v").columns) == {"i", "w", "x", "y", "z", "<NA>"}
+
+
+def test_keys_of_three_levels(spark):
+    data = [("b1", "s1", "c1", 1), ("b2", "s1", "c1", 1), ("b3", "s2", "c2", 1), (None, None, None, 2)]
+    df = spark.createDataFrame(data, "block string, street string, city string, t int")
+    tf = cl.as_temporal(df, "t", [cl.nested("block", "street", "city")], interval=None)
+    assert tf.meta.key == ("block", "street", "city") and tf.meta.key_label == "block | street | city"
+    assert tf.rename(town="city").meta.key_label == "block | street | town"
+    torn = df.unionByName(spark.createDataFrame([("b4", "s1", "c2", 1)], df.schema))
+    found = cl.as_temporal(torn, "t", [cl.nested("block", "street", "city")], interval=None, validate=False)
+    assert rows(cl.broken_nesting(found)) == [("street", "s1", 2)]
+    with pytest.raises(ValueError, match="parent"):
+        cl.as_temporal(torn, "t", [cl.nested("block", "street", "city")], interval=None)
+    with pytest.raises(ValueError, match="itself"):
+        cl.as_temporal(df, "t", [cl.nested("block", "street"), cl.nested("street", "block")], interval=None)
+
+
+def test_trees_of_any_depth(spark):
+    df = spark.createDataFrame([("x", "x", "x"), ("x", "x", "y"), ("x", "y", "x"), ("x", "x", "x"), ("a", None, "z")], "a string, b string, c string")
+    doc = cl.hierarchy_of(df, ["a", "b", "c"], "all").first()[0]
+    assert doc == (
+        '{"name":"all","children":[{"name":"a","children":[{"children":[{"name":"z"}]}]},'
+        '{"name":"x","children":[{"name":"x","children":[{"name":"x"},{"name":"y"}]},{"name":"y","children":[{"name":"x"}]}]}]}'
+    )
+    table = {(r.depth, tuple(r.path)): (r.n_children, r.n_leaves) for r in cl.branches(df, ["a", "b", "c"]).collect()}
+    assert table == {
+        (1, ("x",)): (2, 3), (1, ("a",)): (1, 1), (2, ("x", "x")): (2, 2), (2, ("x", "y")): (1, 1), (2, ("a", None)): (1, 1),
+        (3, ("x", "x", "x")): (0, 1), (3, ("x", "x", "y")): (0, 1), (3, ("x", "y", "x")): (0, 1), (3, ("a", None, "z")): (0, 1),
+    }
+    assert cl.hierarchy_of(df, ["a"], "all").first()[0] == '{"name":"all","children":[{"name":"a"},{"name":"x"}]}'
+    assert cl.branches(df.where("a = 'none'"), ["a", "b"]).count() == 0
