@@ -3,7 +3,9 @@
 A pre-token (a word with its leading blank) is segmented into vocabulary pieces of the largest total
 score. The best score of a prefix depends on the prefix alone, so pre-tokens go into a trie and each node,
 a prefix that any number of words share, is computed once: score and number of pieces. A word's count is
-that of its node. Workers keep their trie between slices, up to ``NODES`` nodes.
+that of its node. Workers keep their trie between slices, up to ``NODES`` nodes. A pre-token of more than
+``LONG`` characters shares little and would fill the trie: its scores are computed alike, but only those that a
+further piece can start from are kept.
 """
 
 from __future__ import annotations
@@ -19,6 +21,7 @@ from pyspark.sql import DataFrame
 from .common import column, slices
 
 NODES = 1_000_000
+LONG = 512
 BLANK = "▁"  # fixed value: how the vocabulary writes the blank before a word
 
 
@@ -63,6 +66,8 @@ class Trie:
 
     def add(self, token: str) -> int:
         """The number of pieces of a pre-token; only prefixes not in the trie are computed."""
+        if len(token) > LONG:
+            return self._long(token)
         if len(self.score) > self.limit:
             self._clear()
         path, node = [0], 0
@@ -95,6 +100,27 @@ class Trie:
         return node
 
 
+    def _long(self, token: str) -> int:
+        """The same scores in a window as wide as the longest piece."""
+        scores, width = self.vocabulary.scores, self.vocabulary.longest + 1
+        score, count = [0.0] * width, [0] * width  # of the prefix of k characters, at k % width
+        for end, character in enumerate(token, 1):
+            best, pieces = -math.inf, 0
+            for start in range(max(0, end - width + 1), end):
+                gain = scores.get(token[start:end])
+                if gain is not None:
+                    total, n = score[start % width] + gain, count[start % width] + 1
+                    if total > best or (total == best and n < pieces):
+                        best, pieces = total, n
+            if character not in scores:
+                gain, n = self.vocabulary.unknown(character)
+                before = (end - 1) % width
+                if score[before] + gain > best:
+                    best, pieces = score[before] + gain, count[before] + n
+            score[end % width], count[end % width] = best, pieces
+        return count[len(token) % width]
+
+
 _TRIES: dict[str, Trie] = {}
 
 
