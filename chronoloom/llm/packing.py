@@ -4,9 +4,10 @@ A document's ids are cut into pieces of the capacity; only the last piece is sho
 where the sum over all residual gaps of the squared number of open sequences with that gap becomes
 smallest; a new sequence is opened only when the piece fits nowhere. Pieces are placed from long to short.
 
-Pieces are dealt out evenly to blocks of about ``BLOCK`` pieces and each block is packed by itself, so
-memory and time per task are bounded at any input size; a block leaves about one sequence unfilled in a
-thousand. Only lengths and checksums are shuffled, not ids.
+A piece of the full capacity is a sequence by itself, whatever the rule says, and gets its number in the scan.
+The rest, one piece of a document at most, is dealt out evenly to blocks of about ``BLOCK`` pieces and each block
+is packed by itself, so memory and time per task are bounded at any input size; a block leaves about one
+sequence unfilled in a thousand. Only lengths and checksums are shuffled, not ids.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, slices
+from .common import Stages, column, slices
 from .tokens import encoder
 
 BLOCK = 5_000  # pieces
@@ -58,9 +59,10 @@ def sum_of_squares(sizes: np.ndarray, capacity: int) -> tuple[np.ndarray, np.nda
 
 
 def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, blocks: int, with_ids: bool):
-    """One row per piece. Blocks are dealt out in turn, so equal rows and long documents spread evenly."""
+    """One row per piece: a full one with the number of its sequence, others with a block, dealt out in turn."""
     encode = encoder(path).encode
-    turn = TaskContext.get().partitionId() * 7919
+    task = TaskContext.get().partitionId()
+    turn, full = task * 7919, task << 32
     for batch in slices(batches, "text"):
         ids, starts = encode(batch.column("text"))
         keys, rows, kept = batch.column("doc_id").to_pylist(), [], []
@@ -68,20 +70,27 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, blocks:
             own = np.append(ids[a:b], np.uint32(END_ID)).astype("<u4")
             for piece, start in enumerate(range(0, len(own), capacity)):
                 part = own[start : start + capacity]
-                rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes()), turn % blocks))
-                turn += 1
+                if len(part) == capacity:
+                    full += 1
+                    place = (None, -full)
+                else:
+                    place = (turn % blocks, None)
+                    turn += 1
+                rows.append((key, piece, start, len(part), zlib.crc32(part.tobytes()), *place))
                 if with_ids:
                     kept.append(part.astype(np.int32))
-        columns = list(zip(*rows, strict=True)) or [()] * 6
+        columns = list(zip(*rows, strict=True)) or [()] * 7
         arrays = [pa.array(c, t) for c, t in zip(columns, _PIECE_TYPES, strict=True)]
         if with_ids:
             arrays.append(pa.array(kept, pa.list_(pa.int32())))
         yield pa.RecordBatch.from_arrays(arrays, [*_PIECE_NAMES, "ids"][: len(arrays)])
 
 
-_PIECE_NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "block")
-_PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
-_PIECE_SCHEMA = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint"
+_PIECE_NAMES = ("doc_id", "piece", "start", "length", "ids_crc32", "block", "sequence_id")
+_PIECE_TYPES = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64())
+_PIECE_SCHEMA = (
+    "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, block bigint, sequence_id bigint"
+)
 _PLACE_SCHEMA = (
     "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint, sequence_id bigint, offset bigint"
 )
@@ -102,13 +111,16 @@ def pack(
     rows without an id are packed like others. Ties in length keep doc_id order. An empty table gives
     none. Other columns aren't read.
 
-    ``docs`` should come from files: blocks are dealt out by a row's place in its partition, which a task
-    that is repeated after the loss of an executor must find again.
+    Pieces are written to the shared folder before they are packed, so texts are encoded once and a task that is
+    repeated after the loss of an executor finds the same blocks. Sequences of one full piece have numbers below 0.
     """
     blocks = max(1, -(-docs.count() // BLOCK))
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     schema = _PIECE_SCHEMA + (", ids array<int>" if with_ids else "")
     pieces = narrow.mapInArrow(lambda it: _pieces(it, tokenizer, capacity, blocks, with_ids), schema)
+    pieces = Stages(docs.sparkSession, "packing").write(pieces, "pieces")
+    names = [*_PIECE_NAMES[:5], "sequence_id", "offset", *(["ids"] if with_ids else [])]
+    whole = pieces.where(F.col("block").isNull()).withColumn("offset", F.lit(0).cast("long")).select(names)
 
     def place(block: pd.DataFrame) -> pd.DataFrame:
         block = block.sort_values(
@@ -119,7 +131,9 @@ def pack(
         block["offset"] = offset
         return block
 
-    return pieces.groupBy("block").applyInPandas(place, _PLACE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    short = pieces.where(F.col("block").isNotNull()).drop("sequence_id").groupBy("block")
+    packed = short.applyInPandas(place, _PLACE_SCHEMA + (", ids array<int>" if with_ids else ""))
+    return whole.unionByName(packed)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

@@ -70,6 +70,18 @@ def test_packing_is_close_to_the_lower_bound(spark):
     assert n <= 1.01 * total / 1024 + 1
 
 
+def test_full_pieces_are_sequences_in_the_scan(spark):
+    """Documents of many pieces: what meets in a block is one short piece of each at most."""
+    docs = [(k, prose(k % 7, 400 + k)) for k in range(30)] + [(None, prose(1, 400)), (3, None)]
+    rows = packing.pack(table(spark, docs).repartition(3), PATH, capacity=16).collect()
+    n, total = check_packing(rows, docs, 16)
+    full = [r for r in rows if r.length == 16]
+    assert len(full) > 500 and all(r.sequence_id < 0 and r.offset == 0 for r in full)
+    assert len({r.sequence_id for r in full}) == len(full) and n <= 1.01 * total / 16 + 3
+    short = Counter((r.doc_id, r.ids_crc32) for r in rows if r.sequence_id >= 0)
+    assert sum(short.values()) <= len(docs)
+
+
 def test_sequences_hold_the_ids(spark):
     docs = [(k, prose(k, 30)) for k in range(20)]
     packed = packing.pack(table(spark, docs), PATH, capacity=256, with_ids=True)
