@@ -4,22 +4,19 @@ Rows are shuffled by a seeded hash within their source. A row's fractional rank
 its source, between 0 and 1. Sorted by that number the sources interleave in proportion, so any run of
 the order has the mixture of the whole, and equal cuts make shards whose sizes differ by one row at most.
 
-No source is ever in one task. Both orders are cut into blocks of consecutive hashes or ranks, about
-``4 * sqrt(rows)`` blocks of ``sqrt(rows) / 4`` rows: blocks are counted, the counts are added up, and
-rows are numbered within their block. Texts aren't shuffled, only their size and checksum.
+No source is ever in one task, nor a run of rows alike in what the order goes by: both orders are sorted by
+range and numbered by the places of their partitions, and a source's first place is joined back with hot
+sources dealt. Texts aren't shuffled, only their size and checksum.
 """
 
 from __future__ import annotations
 
-import math
-
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.relational import global_positions, join
 from .common import Stages, column
 
-BITS = 40  # of the hash that choose a block
-
 
 def interleave_shards(
     docs: DataFrame,
@@ -42,7 +39,6 @@ def interleave_shards(
     spark = docs.sparkSession
     text, ident = F.coalesce(column(text_col), F.lit("")), column(id_col)
     total = docs.count()
-    blocks = 4 * math.isqrt(total) + 1
     mix = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(ident.cast("string"), F.lit("null"))))
     rows = docs.select(
         ident.alias("doc_id"),
@@ -52,37 +48,17 @@ def interleave_shards(
         F.when(column(source_col).isNull(), "null").otherwise(F.concat(F.lit("="), column(source_col))).alias("stratum"),
         F.conv(F.substring(mix, 1, 15), 16, 10).cast("long").alias("mix"),
     )
-    # The hash has 60 bits; its first 40 say which block of the source a row is in.
-    rows = rows.withColumn("block", F.shiftright(F.shiftright("mix", 60 - BITS) * blocks, BITS))
-
-    before = Window.partitionBy("stratum").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    counted = rows.groupBy("stratum", "block").agg(F.count("*").alias("n"))
-    starts = counted.select(
-        "stratum",
-        "block",
-        F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"),
-        F.sum("n").over(Window.partitionBy("stratum")).alias("n_source"),
-    )
-    ties = ["mix", "doc_id", "text_crc32", "size"]
-    own = Window.partitionBy("stratum", "block").orderBy(*ties)
-    rank = F.col("start") + F.row_number().over(own) - 1
-    ranked = rows.join(starts, ["stratum", "block"]).withColumn(
-        "fraction", (2 * rank + 1).cast("double") / (2 * F.col("n_source")).cast("double")
-    )
     stages = Stages(spark, "interleave")
-    ranked = stages.write(
-        ranked.select(
-            "doc_id", "size", "text_crc32", "source", "stratum", "mix", "fraction",
-            F.floor(F.col("fraction") * blocks).alias("block"),
-        ),
-        "ranked",
-    )
-
-    counted = ranked.groupBy("block").agg(F.count("*").alias("n"))
-    before = Window.orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    starts = counted.select("block", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = Window.partitionBy("block").orderBy("fraction", "stratum", *ties)
-    placed = ranked.join(starts, "block").withColumn("place", F.col("start") + F.row_number().over(own) - 1)
+    rows = stages.write(rows, "rows")  # a sort by range looks at its input twice
+    ties = ["mix", "doc_id", "text_crc32", "size"]
+    own = global_positions(rows, [F.col(c) for c in ("stratum", *ties)], "own")
+    sources = own.groupBy("stratum").agg(F.min("own").alias("first"), F.count("*").alias("n_source"))
+    ranked = join(own, sources, ["stratum"], "inner", deal=True, rows_by=(["own"], ["stratum"]))
+    rank = F.col("own") - F.col("first")
+    fraction = (2 * rank + 1).cast("double") / (2 * F.col("n_source")).cast("double")
+    ranked = stages.write(ranked.withColumn("fraction", fraction).drop("own", "first", "n_source"), "ranked")
+    stages.drop(rows)
+    placed = global_positions(ranked, [F.col(c) for c in ("fraction", "stratum", *ties)], "place")
     shard = F.expr(f"place * {n_shards} div {max(total, 1)}")
     first = F.expr(f"(shard * {total} + {n_shards - 1}) div {n_shards}")
     return (

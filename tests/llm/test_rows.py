@@ -1,5 +1,6 @@
 """Shards, quality rules and token counts: one row per document."""
 
+import hashlib
 import re
 import zlib
 from collections import Counter
@@ -38,6 +39,35 @@ def test_shards_have_the_mixture_of_the_whole(spark):
     assert sorted(again) == sorted(sharding.interleave_shards(docs, 9).collect())
 
 
+def brute_shards(docs, n_shards, seed="shards-1"):
+    """Where the rule puts every row, by sorting all of them."""
+    rows = []
+    for i, text, source in docs:
+        data = (text or "").encode()
+        mix = int(hashlib.md5(f"{seed}:{'null' if i is None else i}".encode()).hexdigest()[:15], 16)
+        rows.append(("null" if source is None else f"={source}", mix, i is not None, i or 0, zlib.crc32(data), len(data) + 1))
+    total, sizes, seen, ranked = len(rows), Counter(r[0] for r in rows), Counter(), []
+    for r in sorted(rows):
+        ranked.append(((2 * seen[r[0]] + 1) / (2 * sizes[r[0]]), r))
+        seen[r[0]] += 1
+    found = Counter()
+    for place, (_, r) in enumerate(sorted(ranked)):
+        shard = place * n_shards // total
+        found[r[3] if r[2] else None, r[4], shard, place - (shard * total + n_shards - 1) // n_shards] += 1
+    return found
+
+
+def test_shards_of_crowded_orders(spark):
+    """A source for every row, so that all have one fraction; a third of the rows without an id; one id many times."""
+    docs = [(None if k % 3 == 0 else 7 if k % 3 == 1 else k, f"text {k}", f"own {k}" if k % 2 else None) for k in range(600)]
+    docs += docs[:20]
+    rows = spark.createDataFrame(docs, "doc_id long, text string, source string")
+    placed = sharding.interleave_shards(rows, 7)
+    assert Counter((r.doc_id, r.text_crc32, r.shard, r.slot) for r in placed.collect()) == brute_shards(docs, 7)
+    plan = placed._jdf.queryExecution().optimizedPlan().toString()
+    assert all("__part" in line for line in plan.splitlines() if "Window " in line)  # one row per partition
+
+
 def brute_quality(text):
     text = text or ""
     words = re.findall(r"[^\x20\x09-\x0D]+", text)
@@ -107,7 +137,7 @@ def test_token_counts_against_plain_dynamic_programming(spark):
                 memo[w] = brute_pieces(vocabulary, token_counts.BLANK + w)
         return len(words), sum(memo[w] for w in words)
 
-    texts = [(i, t if i != 10 else t[:300]) for i, t in edge_texts()]
+    texts = [(i, t if i != 10 else t[:3000]) for i, t in edge_texts()]
     got = token_counts.count_tokens(table(spark, texts), path).collect()
     assert Counter((r.doc_id, r.n_words, r.n_tokens) for r in got) == Counter((i, *count(t)) for i, t in texts)
     assert token_counts.count_tokens(empty(spark), path).count() == 0
@@ -123,3 +153,14 @@ def test_trie_shares_prefixes_and_forgets_when_full():
     size = len(fresh.score)
     fresh.add("abba")
     assert len(fresh.score) == size + 1
+
+
+def test_long_words_leave_the_trie_alone():
+    vocabulary = token_counts.Vocabulary({"a": -1.0, "b": -1.2, "ab": -1.5, "abb": -4.0, "bb": -1.1, "aaaa": -2.5})
+    trie = token_counts.Trie(vocabulary)
+    for word in ("ab" * 300, "abbaaaaxé" * 70, "a" * 513, "é" * 600):
+        assert trie.add(word) == brute_pieces(vocabulary, word)
+    assert len(trie.score) == 1
+    at = "abb" * 400
+    assert trie.add(at[: token_counts.LONG]) == brute_pieces(vocabulary, at[: token_counts.LONG])
+    assert len(trie.score) == token_counts.LONG + 1
