@@ -60,18 +60,19 @@ def column(name: str):
     return F.col(f"`{name}`")
 
 
-def slices(batches: Iterator[pa.RecordBatch], text: str) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has at most ``SLICE_BYTES`` of the text column, or one row."""
+def slices(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """Cut record batches so that each has at most ``most`` bytes (``SLICE_BYTES``) of the text column, or one row."""
+    most = most or SLICE_BYTES
     for batch in batches:
         lengths = batch.column(text)
         size = lengths.nbytes
-        if size <= SLICE_BYTES or batch.num_rows == 1:
+        if size <= most or batch.num_rows == 1:
             yield batch
             continue
         at, held = 0, 0
         sizes = pa.compute.fill_null(pa.compute.binary_length(lengths), 0).to_numpy(zero_copy_only=False)
         for k, n in enumerate(sizes):
-            if k > at and held + n > SLICE_BYTES:
+            if k > at and held + n > most:
                 yield batch.slice(at, k - at)
                 at, held = k, 0
             held += int(n)

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Stages, column, slices
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 BLOCK = 5_000  # pieces
 END_ID = 1
@@ -63,7 +63,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, capacity: int, blocks:
     encode = encoder(path).encode
     task = TaskContext.get().partitionId()
     turn, full = task * 7919, task << 32
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT_BYTES):
         ids, starts = encode(batch.column("text"))
         keys, rows, kept = batch.column("doc_id").to_pylist(), [], []
         for key, a, b in zip(keys, starts[:-1].tolist(), starts[1:].tolist(), strict=True):

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import column, slices
-from .tokens import encoder
+from .tokens import TEXT_BYTES, encoder
 
 END_ID = 1
 SHARD_IDS = 2_000_000
@@ -141,7 +141,7 @@ def _encode_shards(batches: Iterator[pa.RecordBatch], path: str, shard_ids: int,
         keys, lengths, held, n_held = [], [], [], 0
         return pa.RecordBatch.from_pylist([row], _ARROW)
 
-    for batch in slices(batches, "text"):
+    for batch in slices(batches, "text", TEXT_BYTES):
         ids, starts = words.encode(batch.column("text"))
         for key, a, b in zip(
             batch.column("doc_id").to_pylist(), starts[:-1].tolist(), starts[1:].tolist(), strict=True

@@ -16,7 +16,10 @@ import pyarrow.compute as pc
 
 #: Words and pieces kept per worker, some 200 bytes each, in two generations of half as many: when the young
 #: one is full it becomes the old one, from which what is used again moves back. Frequent words always stay.
-CACHED_WORDS, CACHED_PIECES = 200_000, 400_000
+CACHED_WORDS, CACHED_PIECES = 50_000, 400_000
+
+#: Bytes of text encoded at a time: each distinct word of a slice is looked up once, so longer slices take fewer.
+TEXT_BYTES = 16 << 20
 
 #: How the word tokenizer cuts a lower-cased word of the characters of ``_PLAIN``. Words with
 #: others, whose lower case or composition may depend on neighbours, go to the library whole.
