@@ -26,6 +26,7 @@ from .operators.relational import bind_rows, desc, join, top_k
 from .operators.reshape import branches, gather, hierarchy, hierarchy_of, nest, spread, spread_pages, unnest
 from .operators.summarise import share
 from .operators.windows import FAMILY, WindowCall, slider, stretcher, tiler
+from .sources.series import StoredSeries, read_series, write_series
 from .sources.storage import lower_names, read_csv_files, read_table, scratch_path, write_table
 
 # slide, slide_dbl, slide2, pslide_chr, tile, ptile_int, stretch2_lgl, ...: the whole window family.

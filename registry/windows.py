@@ -424,6 +424,44 @@ def events_hot_series(spark, sf_dir):
     return tf.df.select("event_id", "event_type", "m", "n", F.round("s", 4).alias("s"))
 
 
+def _stored(tf, spark):
+    path = cl.scratch_path(spark, "series")
+    cl.write_series(tf, path, buckets=8)
+    return cl.read_series(spark, path)
+
+
+@query(
+    f"""SELECT event_id, event_type,
+      CASE WHEN row_number() OVER ({TYPE}) >= 20 THEN round(avg(value) OVER ({TYPE} ROWS 19 PRECEDING), 6) END AS m,
+      count(*) OVER ({TYPE} ROWS UNBOUNDED PRECEDING) AS n
+    FROM events"""
+)
+def stored_hot_series(spark, sf_dir):
+    """Series above a thousand rows are left out of the buckets; both parts get the same windows."""
+    events = star.table(spark, sf_dir, "events").select("ts", "event_type", "event_id", "value")
+    layout = cl.Layout(hot_rows=1000, block=256)
+    stored = _stored(cl.as_temporal(events, "ts", ["event_type"], interval=None, validate=False, layout=layout), spark)
+    fam = cl.FAMILY
+    tf = stored.each(lambda part: part.mutate(m=fam["slide_dbl"]("value", "mean", size=20)).mutate(n=fam["stretch"]("value", "length")))
+    return tf.df.select("event_id", "event_type", "m", "n")
+
+
+@query(
+    f"""WITH {DAILY}
+    SELECT {day('date')}, channel, category, service, volume,
+           CASE WHEN row_number() OVER k >= 7 THEN CAST(sum(volume) OVER f AS BIGINT) END AS s,
+           CAST(max(value) OVER k AS BIGINT) AS high
+    FROM daily WINDOW k AS (PARTITION BY channel, category, service ORDER BY daily.date),
+      f AS (PARTITION BY channel, category, service ORDER BY daily.date ROWS 6 PRECEDING)"""
+)
+def stored_series(spark, sf_dir):
+    """A keyed table by date, written in buckets and read again: windows without a shuffle."""
+    fam = cl.FAMILY
+    tf = _stored(star.enquiries(spark, sf_dir), spark).frame
+    tf = tf.mutate(s=fam["slide"]("volume", "sum", size=7)).mutate(high=fam["stretch"]("value", "max"))
+    return tf.df.select("date", "channel", "category", "service", "volume", "s", "high")
+
+
 # -- windows of months with any body, and folds --------------------------------------------------------
 
 
