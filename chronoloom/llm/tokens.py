@@ -1,29 +1,32 @@
-"""Token ids of whole texts by the ``tokenizers`` library, each distinct word encoded once per worker.
+"""Token ids of whole texts by the ``tokenizers`` library, each piece of a word encoded once per worker.
 
 The tokenizer drops white space and never joins across it, so the ids of a text are those of its
 blank-separated words one after the other. A slice of texts is split and its distinct words found in
-Arrow; only words not seen before go to the library.
+Arrow; those are cut into pieces, and only pieces not seen before go to the library.
 """
 
 from __future__ import annotations
 
 import os
 import re
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Words and pieces kept per worker, some 200 bytes each, in two generations of half as many: when the young
-#: one is full it becomes the old one, from which what is used again moves back. Frequent words always stay.
-CACHED_WORDS, CACHED_PIECES = 50_000, 400_000
+#: Pieces of words kept per worker, some 200 bytes each; beyond them a worker starts anew.
+CACHED_PIECES = 800_000
+
+#: Distinct words cut into pieces at a time, which bounds the lists of a long text.
+WORDS = 1 << 18
 
 #: Bytes of text encoded at a time: each distinct word of a slice is looked up once, so longer slices take fewer.
 TEXT_BYTES = 16 << 20
 
 #: How the word tokenizer cuts a lower-cased word of the characters of ``_PLAIN``. Words with
 #: others, whose lower case or composition may depend on neighbours, go to the library whole.
-_PLAIN = re.compile(r"[\x21-\x7E\xC0-\xFF]+")
+_PLAIN = r"^[\x21-\x7E\x{C0}-\x{FF}]+$"
 _PIECES = re.compile(
     r"'(?:s|t|re|ve|m|ll|d)|[a-z\xDF-\xF6\xF8-\xFF]+|[0-9]|[^\na-z0-9\xDF-\xF6\xF8-\xFF]+|\n"
 )
@@ -41,66 +44,60 @@ class WordEncoder:
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words: dict[str, bytes] = {}
-        self.old_words: dict[str, bytes] = {}
-        self.pieces: dict[str, bytes] = {"\n": b""}
+        self._forget()
+
+    def _forget(self) -> None:
+        """Know only the line end, which closes a word and has no ids."""
+        self.pieces = {"\n": 0}
+        self.table, self.lengths = np.zeros(0, "<u4"), np.zeros(1, np.int64)
 
     def _encode(self, texts: list[str]) -> list[np.ndarray]:
         done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in done]
 
-    def _learn_pieces(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[str]) -> None:
         """Ids of plain pieces, encoded many to a text; the word-end ids say where each piece ends."""
         ids = np.concatenate(self._encode([" ".join(pieces[k : k + 512]) for k in range(0, len(pieces), 512)]))
         ends = np.flatnonzero(self.ends[ids]) + 1
+        lengths = np.diff(ends, prepend=0)
         if len(ends) != len(pieces) or ends[-1] != len(ids):
-            self.pieces.update(zip(pieces, [e.tobytes() for e in self._encode(pieces)], strict=True))
-            return
-        data, stops = ids.tobytes(), (ends * 4).tolist()
-        self.pieces.update(zip(pieces, map(data.__getitem__, map(slice, [0, *stops], stops)), strict=True))
-
-    def _learn_words(self, words: list[str]) -> list[bytes]:
-        """Ids of words: plain ones by their pieces, which recur more than words do, others whole."""
-        odd = [k for k, w in enumerate(words) if not _PLAIN.fullmatch(w) or _SPECIAL in w]
-        plain = words
-        if odd:
-            whole = set(odd)
-            plain = [w for k, w in enumerate(words) if k not in whole]
-        out: list[bytes] = []
-        if plain:
-            cut = _PIECES.findall("\n".join(plain).lower() + "\n")
-            if len(self.pieces) > CACHED_PIECES:
-                self.pieces = {"\n": b""}
-            parts = list(map(self.pieces.get, cut))
-            if fresh := list(dict.fromkeys([p for p, ids in zip(cut, parts, strict=True) if ids is None])):
-                self._learn_pieces(fresh)
-                parts = list(map(self.pieces.__getitem__, cut))
-            data = b"".join(parts)
-            lengths = np.fromiter(map(len, parts), np.int64, len(parts))
-            stops = np.cumsum(lengths)[lengths == 0].tolist()  # only the ends of words have no ids
-            out = list(map(data.__getitem__, map(slice, [0, *stops], stops)))
+            alone = self._encode(pieces)
+            ids, lengths = np.concatenate(alone), np.fromiter(map(len, alone), np.int64, len(alone))
+        self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
+        self.table = np.concatenate([self.table, ids])
+        self.lengths = np.concatenate([self.lengths, lengths])
+
+    def _plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of plain words one after the other, and how many each has, by their pieces, which recur more
+        than words do."""
+        if len(self.pieces) > CACHED_PIECES:
+            self._forget()
+        cut = _PIECES.findall("\n".join(words).lower() + "\n")
+        piece = np.fromiter(map(self.pieces.get, cut, repeat(-1)), np.int64, len(cut))
+        if (unknown := piece < 0).any():
+            fresh = list(compress(cut, unknown.tolist()))
+            self._learn(list(dict.fromkeys(fresh)))
+            piece[unknown] = np.fromiter(map(self.pieces.__getitem__, fresh), np.int64, len(fresh))
+        n = self.lengths[piece]
+        stops = np.cumsum(n)[piece == 0]
+        return _gather(self.table, self.lengths, piece)[0], np.diff(stops, prepend=0)
+
+    def _words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of distinct words (no ASCII blanks within) one after the other, and how many each has. Words that
+        aren't plain are encoded whole, and their ids put in between."""
+        plain = pc.and_not(pc.match_substring_regex(words, _PLAIN), pc.match_substring(words, _SPECIAL))
+        odd = pc.invert(plain)
+        ids, lengths = np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
+        plain, odd = plain.to_numpy(zero_copy_only=False), words.filter(odd).to_pylist()
+        if plain.any():
+            ids, lengths[plain] = self._plain_words(words.filter(pa.array(plain)).to_numpy(zero_copy_only=False).tolist())
         if odd:
-            rest = iter(out)
-            encoded = iter(self._encode([words[k] for k in odd]))
-            out = [next(encoded).tobytes() if k in whole else next(rest) for k in range(len(words))]
-        return out
-
-    def ids_of_words(self, words: list[str]) -> list[bytes]:
-        """Little-endian 32-bit ids of each word (no ASCII blanks within)."""
-        out = list(map(self.words.get, words))
-        missing = [w for w, ids in zip(words, out, strict=True) if ids is None]
-        if missing:
-            if len(self.words) > CACHED_WORDS // 2:
-                self.old_words, self.words = self.words, {}
-            again = list(map(self.old_words.get, missing))
-            fresh = [w for w, ids in zip(missing, again, strict=True) if ids is None]
-            if fresh:
-                rest = iter(self._learn_words(fresh))
-                again = [next(rest) if ids is None else ids for ids in again]
-            self.words.update(zip(missing, again, strict=True))
-            rest = iter(again)
-            out = [next(rest) if ids is None else ids for ids in out]
-        return out
+            whole = self._encode(odd)
+            before = np.cumsum(lengths)[~plain]  # ids of plain words ahead of each
+            n = np.fromiter(map(len, whole), np.int64, len(whole))
+            ids = np.insert(ids, np.repeat(before, n), np.concatenate(whole))
+            lengths[~plain] = n
+        return ids, lengths
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in one array, and where each text starts in it (one more than texts).
@@ -111,21 +108,26 @@ class WordEncoder:
         if isinstance(lists, pa.ChunkedArray):
             lists = lists.combine_chunks()
         flat = lists.flatten().dictionary_encode()
-        ids = self.ids_of_words(flat.dictionary.to_numpy(zero_copy_only=False).tolist())
-        words = flat.indices.to_numpy(zero_copy_only=False)
-        table = np.frombuffer(b"".join(ids), "<u4")
-        lengths = np.fromiter(map(len, ids), np.int32, len(ids)) >> 2
-        starts = np.cumsum(lengths) - lengths
-        n = lengths[words]
-        ends = np.cumsum(n, dtype=np.int64)
-        # place of every id in the table: the start of its word, plus its place in the word
-        places = np.repeat(starts[words] - (ends - n), n)
-        places += np.arange(len(places))
-        data = table[places]
+        known = [self._words(flat.dictionary.slice(k, WORDS)) for k in range(0, len(flat.dictionary), WORDS)]
+        table = np.concatenate([np.zeros(0, "<u4"), *[ids for ids, _ in known]])
+        lengths = np.concatenate([np.zeros(0, np.int64), *[n for _, n in known]])
+        data, ends = _gather(table, lengths, flat.indices.to_numpy(zero_copy_only=False))
         cuts = lists.offsets.to_numpy() - lists.offsets[0].as_py()
         return data, np.concatenate([[0], ends])[cuts]
 
 
+def _gather(table: np.ndarray, lengths: np.ndarray, items: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of items one after the other, and where each item ends; in ``table`` items follow by number."""
+    n = lengths[items]
+    ends = np.cumsum(n)
+    total = int(ends[-1]) if len(ends) else 0
+    kind = np.int32 if max(total, len(table)) < 1 << 31 else np.int64
+    # place of every id in the table: the start of its item, plus its place in the item
+    places = np.repeat(((np.cumsum(lengths) - lengths)[items] - (ends - n)).astype(kind), n)
+    places += np.arange(total, dtype=kind)
+    return table[places], ends
+
+
 _ENCODERS: dict[str, WordEncoder] = {}
 
 
