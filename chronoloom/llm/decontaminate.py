@@ -13,7 +13,7 @@ no others, are written to the shared folder as word hashes, to be compared along
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,6 +26,20 @@ from .words import mix, word_hashes
 
 #: Fixed masks: 1 selects a word, 0 ignores it.
 MASKS = ("1110111", "110110011", "11010010011", "101100011001")
+#: Masks for short items only, with the numbers of words of these: together with ``MASKS`` they leave a seed wherever
+#: the words stand that needn't match. Of items of up to ``WHOLE`` words all must match, so their seed is the item.
+SHORT_MASKS = (
+    ("1", (1,)),
+    ("11", (2,)),
+    ("111", (3,)),
+    ("1111", (4,)),
+    ("111", (5,)),
+    ("1101", (5,)),
+    ("1111", (6, 10, 11)),
+    ("110011", (6,)),
+    ("11011", (7, 8, 10, 11)),
+)
+WHOLE = 4
 LEAST_WORDS = 12  # that must match; of shorter items 80 %
 DENSITY = 0.8
 BITS = 1 << 24  # of the table
@@ -38,21 +52,31 @@ def plain(word: str) -> str:
     return word.lower().strip(".,;:!?\"'()[]{}…«»„“”‚‘’") or word
 
 
-def seeds(words: np.ndarray, starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each mask: the seed at each place of the concatenated texts, and whether it ends in its text."""
+def masks_for(lengths: Iterable[int]) -> list[tuple[int, str, tuple[int, ...]]]:
+    """The masks that a benchmark with items of these numbers of words needs: number, mask and, of a mask for short
+    items, their numbers of words. Numbers are part of the seeds."""
+    short = set(lengths)
+    return [(m + 1, mask, ()) for m, mask in enumerate(MASKS)] + [
+        (len(MASKS) + m + 1, mask, own) for m, (mask, own) in enumerate(SHORT_MASKS) if short & set(own)
+    ]
+
+
+def seeds(words: np.ndarray, starts: np.ndarray, masks) -> Iterator[tuple[np.ndarray, np.ndarray, tuple[int, ...]]]:
+    """For each mask: the seed at each place of the concatenated texts, whether it ends in its text, and the numbers
+    of words of the items it is for (none: all)."""
     ends = np.repeat(starts[1:], np.diff(starts))
     at = np.arange(len(words))
-    for m, mask in enumerate(MASKS):
+    for number, mask, own in masks:
         n = len(words) - len(mask) + 1
         if n <= 0:
-            yield np.zeros(0, np.uint64), np.zeros(0, bool)
+            yield np.zeros(0, np.uint64), np.zeros(0, bool), own
             continue
-        out = np.full(n, m + 1, np.uint64)
+        out = np.full(n, number, np.uint64)
         for k, taken in enumerate(mask):
             if taken == "1":
                 out *= np.uint64(_GOLDEN)
                 out += words[k : k + n]
-        yield mix(out), at[:n] + len(mask) <= ends[:n]
+        yield mix(out), at[:n] + len(mask) <= ends[:n], own
 
 
 def _bits(seed: np.ndarray) -> list[np.ndarray]:
@@ -62,12 +86,16 @@ def _bits(seed: np.ndarray) -> list[np.ndarray]:
 # -- the benchmark ----------------------------------------------------------------------------------
 
 
-def _item_seeds(batches: Iterator[pa.RecordBatch]):
+def _item_seeds(batches: Iterator[pa.RecordBatch], least: int):
     for batch in slices(batches, "text"):
         words, starts = word_hashes(batch.column("text"), plain)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(starts))
-        for seed, inside in seeds(words, starts):
+        length = np.diff(starts)
+        for seed, inside, sizes in seeds(words, starts, masks_for(length.tolist())):
             at = np.flatnonzero(inside)
+            at = at[length[owner[at]] >= least]
+            if sizes:
+                at = at[np.isin(length[owner[at]], sizes)]
             own = owner[at]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(seed[at].view(np.int64)), batch.column("item_id").take(pa.array(own)), pa.array(at - starts[own])],
@@ -115,17 +143,22 @@ def bit_table(item_seeds: DataFrame) -> np.ndarray:
 # -- the documents ----------------------------------------------------------------------------------
 
 
-def _document_hits(batches: Iterator[pa.RecordBatch], table: np.ndarray):
-    """Documents with a place whose seed may be one of the benchmark's: their words and those places."""
+def _document_hits(batches: Iterator[pa.RecordBatch], table: np.ndarray, masks):
+    """Documents with a place whose seed may be one of the benchmark's: their words and those places. Of a seed that is
+    a whole item, only its first place in a document is needed."""
     row_id = TaskContext.get().partitionId() << 33
     for batch in slices(batches, "text"):
         words, starts = word_hashes(batch.column("text"), plain)
         owner = np.repeat(np.arange(batch.num_rows), np.diff(starts))
         found_at, found = [], []
-        for seed, inside in seeds(words, starts):
+        for seed, inside, sizes in seeds(words, starts, masks):
             at = np.flatnonzero(inside)
             for bits in _SHIFTS:
                 at = at[table[((seed[at] >> bits) & np.uint64(BITS - 1)).astype(np.int64)]]
+            if sizes and max(sizes) <= WHOLE:
+                order = np.lexsort((at, seed[at], owner[at]))
+                own, held = owner[at][order], seed[at][order]
+                at = at[order[np.concatenate([np.ones(min(len(at), 1), bool), (own[1:] != own[:-1]) | (held[1:] != held[:-1])])]]
             found_at.append(at)
             found.append(seed[at])
         at, seed = np.concatenate(found_at), np.concatenate(found)
@@ -195,13 +228,14 @@ def overlaps(
     text_col: str = "text",
     item_id_col: str = "item_id",
     item_text_col: str = "text",
+    least_item_words: int = 1,
 ) -> DataFrame:
     """One row per row of ``docs`` and item that it overlaps with, at the best place.
 
     Columns: doc_id, item_id, doc_start and item_start (words), n_words and n_matches of the run, digest
     (md5 of the text) and row_id (any number, one per row of ``docs``). At least ``LEAST_WORDS`` words
-    match, of shorter items four in five. Items of fewer words than the shortest mask (7) have no seed and
-    are never found. Null texts have no words; null ids are carried through. Repeated rows each give their
+    match, of shorter items four in five, rounded up: items of up to 4 words are found where all of them stand
+    together. Items of fewer than ``least_item_words`` words are left out. Null texts have no words; null ids are carried through. Repeated rows each give their
     own; ties go to the first place. Empty tables give an empty result. Other columns aren't read.
     """
     spark = docs.sparkSession
@@ -210,12 +244,15 @@ def overlaps(
     rows = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     rows = rows.withColumn("digest", F.md5("text"))
 
-    item_seeds = stages.write(items.mapInArrow(_item_seeds, "seed bigint, item_id bigint, item_place bigint"), "seeds")
     item_words = stages.write(items.mapInArrow(_item_words, "item_id bigint, item_words binary"), "items")
+    size = F.call_function("div", F.octet_length("item_words"), F.lit(8))
+    held = item_words.select(size.alias("n")).where(f"n >= {int(least_item_words)} AND n < {LEAST_WORDS}").distinct()
+    masks = masks_for(r.n for r in held.collect())  # fewer than 12 rows
+    item_seeds = stages.write(items.mapInArrow(lambda it: _item_seeds(it, least_item_words), "seed bigint, item_id bigint, item_place bigint"), "seeds")
     table = spark.sparkContext.broadcast(bit_table(item_seeds))
     hits = stages.write(
         rows.mapInArrow(
-            lambda it: _document_hits(it, table.value),
+            lambda it: _document_hits(it, table.value, masks),
             "row_id bigint, doc_id bigint, digest string, doc_words binary, seeds array<bigint>, places array<bigint>",
         ),
         "hits",
@@ -241,8 +278,13 @@ def overlaps(
     )
 
 
-def keep_unseen(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", **columns: str) -> DataFrame:
-    """The rows of ``docs``, with all their columns, whose text overlaps with no item; null texts stay."""
-    found = overlaps(docs, benchmark, text_col=text_col, **columns).select(F.col("digest").alias("_digest")).distinct()
+def keep_unseen(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", least_item_words: int = 5, **columns: str) -> DataFrame:
+    """The rows of ``docs``, with all their columns, whose text overlaps with no item; null texts stay.
+
+    Items of fewer than ``least_item_words`` words say nothing of where a text is from (``yes`` is in most), so they
+    don't drop any.
+    """
+    found = overlaps(docs, benchmark, text_col=text_col, least_item_words=least_item_words, **columns)
+    found = found.select(F.col("digest").alias("_digest")).distinct()
     found = Stages(docs.sparkSession, "seen").write(found, "seen")
     return docs.join(found, F.md5(column(text_col)) == found["_digest"], "left_anti")

@@ -2,6 +2,7 @@
 
 import random
 from collections import Counter
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -215,7 +216,7 @@ def brute_overlaps(docs, items):
                 start, n, m = decontaminate.best_run(a, b, d)
                 if m >= min(12, -(-8 * len(own) // 10)) and (best is None or (m, -n, -start) > best):
                     best = (m, -n, -start)
-            if best and len(own) >= 7:
+            if best and own:
                 out[i, item, -best[2], -best[1], best[0]] += 1
     return out
 
@@ -277,6 +278,26 @@ def test_substitutions_anywhere_in_a_passage(spark):
     assert all(5 * r.n_matches >= 4 * r.n_words and r.n_matches >= 12 for r in found)
 
 
+def test_short_items_with_every_choice_of_other_words(spark):
+    """Items of 1 to 14 words: a text for each way in which as many words differ as may; also at a text's ends."""
+    items = [(n, " ".join(prose(400 + n, 60).split()[:n])) for n in range(1, 15)]
+    docs, want = [], set()
+    for n, text in items:
+        own = text.split()
+        for k, places in enumerate(combinations(range(n), n - min(12, -(-8 * n // 10)))):
+            words = [f"other{i}" if i in places else w for i, w in enumerate(own)]
+            around = ["", "before "][k % 2], ["", " behind"][k // 2 % 2]
+            docs.append((1000 * n + k, around[0] + " ".join(words) + around[1]))
+            want.add((1000 * n + k, n))
+    docs += [(1, " ".join([items[0][1]] * 50)), (2, prose(9, 40))]
+    found = decontaminate.overlaps(table(spark, docs), bench(spark, [(i, t, "x") for i, t in items])).collect()
+    got = Counter((r.doc_id, r.item_id, r.doc_start, r.n_words, r.n_matches) for r in found)
+    assert got == brute_overlaps(docs, items)
+    assert want <= {(r.doc_id, r.item_id) for r in found}
+    few = decontaminate.overlaps(table(spark, docs), bench(spark, [(i, t, "x") for i, t in items]), least_item_words=5).collect()
+    assert {(r.doc_id, r.item_id) for r in few} == {(d, i) for d, i, *_ in got if i >= 5}
+
+
 def test_unseen_documents_stay(spark):
     items = bench(spark, [(1, prose(300, 20), "x")])
     docs = table(spark, [*edge_texts(), (100, "a b " + prose(300, 20))])
