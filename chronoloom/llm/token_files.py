@@ -65,24 +65,22 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUN
         _, first = np.unique(_slots(chosen), return_index=True)
         chosen = chosen[np.sort(first)]
         expected = np.zeros(_TABLE, np.uint32)
+        expected[0] = 1  # code 0 belongs here and code 1 doesn't: unless 0 is chosen, no pair is expected
         expected[_slots(chosen)] = chosen
         table[_slots(chosen)] = np.arange(len(chosen))
         slots = _slots(codes)
         places = np.flatnonzero((expected[slots] == codes) & within)
-        rule = table[slots[places]]
-        known = chosen[rule] == codes[places]  # an unused slot expects code 0
-        places, rule = places[known], rule[known]
         if not len(places):
             break
         # of pairs that overlap in a run, every second one
-        begins = np.concatenate([[True], np.diff(places) > 1])
-        run = places[begins][np.cumsum(begins) - 1]
-        taken = (places - run) % 2 == 0
-        places, rule = places[taken], rule[taken]
-        s[places] = rule + np.uint32(terminals + len(rules))
+        begins = np.flatnonzero(np.diff(places, prepend=-2) > 1)
+        odd = np.arange(len(places)) - np.repeat(begins, np.diff(begins, append=len(places))) & 1
+        places = places[odd == 0]
+        s[places] = table[slots[places]] + np.uint32(terminals + len(rules))
         ends[places] = ends[places + 1]
         keep = np.ones(len(s), bool)
         keep[places + 1] = False
+        keep = np.flatnonzero(keep)
         s, ends = s[keep], ends[keep]
         rules = np.concatenate([rules, np.stack([chosen >> np.uint32(16), chosen & np.uint32(0xFFFF)], 1)])
     return s.astype("<u2"), ends, rules.astype("<u2")
