@@ -34,7 +34,8 @@ class Meta:
     series cover the same span. ``max_rows`` is a bound on the rows of one series, when known.
     ``costly`` marks a table whose plan already holds a two-pass operation. ``lattice`` says that all
     distances in a series are known to be multiples of the interval. An interval of 0 units is one whose
-    count is still to be found: ``require_interval`` does (a job).
+    count is still to be found: ``require_interval`` does (a job). ``ties`` order the observations of one instant,
+    as long as the table has these columns.
     """
 
     index: str
@@ -49,6 +50,7 @@ class Meta:
     costly: bool = False
     lattice: bool = False
     layout: Layout = field(default_factory=Layout)
+    ties: tuple[str, ...] = ()
 
     @property
     def regular(self) -> bool:
@@ -110,6 +112,11 @@ class TemporalFrame:
         zone = self.df.sparkSession.conf.get("spark.sql.session.timeZone")
         return Axis.of(self.df.schema[self.meta.index].dataType, self.meta.interval, zone)
 
+    @property
+    def ties(self) -> tuple[str, ...]:
+        """The columns that order observations of one instant; none after a verb that leaves one per instant."""
+        return tuple(c for c in self.meta.ties if c in self.df.columns)
+
     @property
     def measures(self) -> list[str]:
         """Columns that are neither index, key nor index group."""
@@ -181,9 +188,9 @@ class TemporalFrame:
         return self.mutate(**columns).select(*columns)
 
     def select(self, *columns: str) -> "TemporalFrame":
-        """Keep columns; the key, the index and the groups stay whether named or not."""
+        """Keep columns; the key, the index, the ties and the groups stay whether named or not."""
         m = self.meta
-        fixed = [m.index, *m.key, *m.groups, *([m.index_by[0]] if m.index_by else [])]
+        fixed = [m.index, *m.key, *self.ties, *m.groups, *([m.index_by[0]] if m.index_by else [])]
         kept = list(columns) + [c for c in dict.fromkeys(fixed) if c not in columns]
         return self.with_(self.df.select(*kept))
 
@@ -203,6 +210,7 @@ class TemporalFrame:
             nesting=tuple(Nested(name(n.child), name(n.parent)) for n in m.nesting),
             groups=tuple(map(name, m.groups)),
             index_by=period,
+            ties=tuple(map(name, m.ties)),
         )
 
     def pull(self, column: str) -> DataFrame:

@@ -22,6 +22,7 @@ def as_temporal(
     validate: bool = True,
     max_rows: int | None = None,
     layout: L.Layout | None = None,
+    ties: list[str] | None = None,
 ) -> TemporalFrame:
     """Declare the index and the key of a table.
 
@@ -30,6 +31,9 @@ def as_temporal(
     distance isn't a multiple of a stated interval (a job each). With a stated interval and
     ``validate=False`` nothing runs.
 
+    ``ties`` names columns that order observations of one instant, where a series may have several: key, index
+    and ties then identify a row. Windows follow that order; observations of one instant stay in one block.
+
     An index that holds the first days of periods is declared as ``yearmonth("month")``: distances are
     then counted in that unit.
     """
@@ -37,7 +41,10 @@ def as_temporal(
     unit = None
     if isinstance(index, Period):
         index, unit = index.source, Interval(0, index.unit)
-    meta = Meta(index, columns, nesting, unit, max_rows=max_rows, layout=layout or L.Layout())
+    meta = Meta(index, columns, nesting, unit, max_rows=max_rows, layout=layout or L.Layout(), ties=tuple(ties or ()))
+    missing = [c for c in meta.ties if c not in df.columns]
+    if missing:
+        raise ValueError(f"ties not in the table: {', '.join(missing)}")
     tf = TemporalFrame(df, meta)
     if validate:
         if not duplicates(tf).isEmpty():
@@ -63,8 +70,8 @@ def off_lattice(tf: TemporalFrame) -> DataFrame:
 
 
 def duplicates(tf: TemporalFrame) -> DataFrame:
-    """(key, index) pairs that occur more than once, with their count ``n``."""
-    return tf.df.groupBy(*tf.meta.key, tf.meta.index).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
+    """(key, index) pairs, with ties if declared, that occur more than once, with their count ``n``."""
+    return tf.df.groupBy(*tf.meta.key, tf.meta.index, *tf.ties).agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > 1)
 
 
 def broken_nesting(tf: TemporalFrame) -> DataFrame:

@@ -292,7 +292,7 @@ def slide_answers(df: DataFrame, by: list[str], order: list[str], calls: dict[st
 
 def stretch_answers(placed: L.Placed, calls: dict[str, "WindowCall"]) -> DataFrame:
     """Answers over everything up to each row. Blocks get the state before them as a marker row."""
-    by, order = placed.by, [L.O]
+    by, order = placed.by, placed.sort
     if not placed.blocked:
         return answers(placed.df, by, order, calls, _Stretch)
     hot = placed.df.where(F.col(L.HOT))
@@ -301,7 +301,7 @@ def stretch_answers(placed: L.Placed, calls: dict[str, "WindowCall"]) -> DataFra
     states = group_states(hot, by, order, counted)
     marks = states_before(states, list(placed.key), [L.C], counted).withColumn(L.MARK, F.lit(0))
     df = placed.df.withColumn(L.MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
-    return answers(df, by, [L.MARK, L.O], calls, _Stretch).drop(L.MARK, STATE)
+    return answers(df, by, [L.MARK, *placed.sort], calls, _Stretch).drop(L.MARK, STATE)
 
 
 def _counting(call: "WindowCall") -> "WindowCall":
@@ -313,7 +313,7 @@ def _counting(call: "WindowCall") -> "WindowCall":
 
 def opaque_stretch(placed: L.Placed, calls: dict[str, "WindowCall"]) -> DataFrame:
     """Opaque functions over everything up to each row: a series is held once, not once for each of its rows."""
-    return answers(placed.df, list(placed.key), [L.O], calls, _Growing)
+    return answers(placed.df, list(placed.key), placed.sort, calls, _Growing)
 
 
 def is_fold(call: "WindowCall") -> bool:

@@ -77,6 +77,7 @@ class Placed:
     index: str
     blocked: bool
     layout: Layout
+    ties: tuple[str, ...] = ()
 
     @property
     def by(self) -> list[str]:
@@ -85,7 +86,13 @@ class Placed:
     @property
     def order(self) -> Column:
         """The index itself where that is all there is to sort, so that chained windows share a sort."""
-        return F.col(O) if self.blocked else F.col(self.index)
+        at = F.col(O) if self.blocked else F.col(self.index)
+        return F.struct(at, *self.ties) if self.ties else at
+
+    @property
+    def sort(self) -> list[str]:
+        """The columns by which the rows of a series are sorted."""
+        return [O, *self.ties]
 
 
 def mode_of(tf: "TemporalFrame") -> str:
@@ -94,7 +101,8 @@ def mode_of(tf: "TemporalFrame") -> str:
     if meta.max_rows is not None:
         return "short" if meta.max_rows <= meta.layout.hot_rows else cut
     axis = tf.axis
-    return "short" if axis.kind == "date" or axis.unit in ("year", "quarter", "month") else cut
+    by_day = axis.kind == "date" or axis.unit in ("year", "quarter", "month")
+    return "short" if by_day and not tf.ties else cut
 
 
 def _width(n: Column, lo: Column, hi: Column, block: int) -> Column:
@@ -182,7 +190,7 @@ def place(tf: "TemporalFrame") -> Placed:
     meta, axis = tf.meta, tf.axis
     df = tf.df.withColumn(O, axis.ordinal(F.col(meta.index)))
     if mode == "short":
-        return Placed(df, meta.key, meta.index, False, meta.layout)
+        return Placed(df, meta.key, meta.index, False, meta.layout, tf.ties)
     if mode == "mixed":
         df = mark_hot(df, meta.key, meta.layout.hot_rows, meta.layout.block)
         block = F.when(F.col(HOT), _block(F.col(FACTS), meta.layout.block)).otherwise(F.lit(0).cast("bigint"))
@@ -194,7 +202,7 @@ def place(tf: "TemporalFrame") -> Placed:
         facts = ends.select(_facts(F.col("n"), F.col("lo"), F.col("hi"), F.col("cuts"), meta.layout.block)).scalar()
         df = df.withColumn(HOT, F.lit(True)).withColumn(FACTS, facts)
         block = _block(F.col(FACTS), meta.layout.block)
-    return Placed(df.withColumn(C, block).drop(WIDTH, FACTS), meta.key, meta.index, True, meta.layout)
+    return Placed(df.withColumn(C, block).drop(WIDTH, FACTS), meta.key, meta.index, True, meta.layout, tf.ties)
 
 
 def _merge(name: str, combine: str) -> Column:
@@ -242,7 +250,7 @@ def running(placed: Placed, parts: Mapping[str, tuple[Column, str]]) -> DataFram
         carried = {n: f"{n}_carried" for n, c in combines.items() if c in MOMENTS}
         marks = exclusive(summary, placed, combines).withColumnsRenamed(carried).withColumn(MARK, F.lit(0))
         df = df.withColumn(MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
-        order = [F.col(MARK), F.col(O)]
+        order = [F.col(MARK), *map(F.col, placed.sort)]
     else:
         carried, order = {}, [placed.order]
     spec = Window.partitionBy(*placed.by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
@@ -267,7 +275,7 @@ def neighbours(placed: Placed, previous: bool = False) -> DataFrame:
             before = exclusive(blocks.select(*placed.key, C, F.col("__hi").alias(O)), placed, {O: "max"})
             marks = marks.unionByName(before.where(F.col(O).isNotNull()).withColumn(MARK, F.lit(0)))
         df = df.withColumn(MARK, F.lit(1)).unionByName(marks, allowMissingColumns=True)
-        order = [F.col(MARK), F.col(O)]
+        order = [F.col(MARK), *map(F.col, placed.sort)]
     else:
         order = [placed.order]
     spec = Window.partitionBy(*placed.by).orderBy(*order)

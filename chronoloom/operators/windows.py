@@ -153,7 +153,7 @@ def _slide(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalFra
             if name not in folded:
                 df = _slide_column(df, by, order, name, call)
         if folded:
-            df = folds.slide_answers(df, by, [L.P if L.COPY in by else L.O], folded)
+            df = folds.slide_answers(df, by, [L.P] if L.COPY in by else [L.O, *tf.ties], folded)
             for name, call in folded.items():
                 df = _typed(df, name, call.out_type)
         done.append(L.own(df).select(*kept, *calls))
@@ -230,6 +230,11 @@ def _slide_parts(
     return df, out
 
 
+def _ties(tf: "TemporalFrame") -> list[Column]:
+    """The columns that order observations of one instant, under names of their own."""
+    return [F.col(c).alias(f"__t{i}") for i, c in enumerate(tf.ties)]
+
+
 # -- stretch ----------------------------------------------------------------------------------
 
 
@@ -247,7 +252,7 @@ def _stretch(tf: "TemporalFrame", calls: Mapping[str, WindowCall]) -> "TemporalF
         if name in walked:
             continue
         if isinstance(body, OnList):
-            row = F.struct(F.col(L.O).alias("__o"), *[c.alias(n) for c, n in zip(call.inputs, call.columns)])
+            row = F.struct(F.col(L.O).alias("__o"), *_ties(tf), *[c.alias(n) for c, n in zip(call.inputs, call.columns)])
             parts[f"__{i}_list"] = (F.array(row), "concat")
             finish[name] = body.fn(_pluck(F.col(f"__{i}_list"), call.columns))
             continue
@@ -315,7 +320,7 @@ def tiles(tf: "TemporalFrame", **calls: WindowCall) -> "TemporalFrame":
     by = [*m.key, "tile"]
     out = df.groupBy(*by).agg(F.min(m.index).alias(m.index), *[_tile_value(df, call).alias(name) for name, call in plain.items()])
     if folded:
-        states = folds.group_states(df, by, [L.O], folded).withColumnsRenamed({c: f"__r_{c}" for c in by})
+        states = folds.group_states(df, by, placed.sort, folded).withColumnsRenamed({c: f"__r_{c}" for c in by})
         out = out.join(states, [out[c].eqNullSafe(states[f"__r_{c}"]) for c in by])
         answers = {name: folds.finished(F.array(F.col(folds.STATE)), folded, name) for name in folded}
         out = out.withColumns(answers).select(*by, m.index, *calls)
@@ -449,10 +454,10 @@ def _period_states(tf, data: DataFrame, period: Period, name: str, size: int, pa
     placed = L.place(tf)
     df, by = placed.df.withColumn(name, period.column()), [*tf.meta.key, name]
     if placed.blocked:
-        states = folds.group_states(df, [*by, L.C], [L.O], calls)
+        states = folds.group_states(df, [*by, L.C], placed.sort, calls)
         states = folds.merged_states(states, by, [L.C], calls)
     else:
-        states = folds.group_states(df, by, [L.O], calls)
+        states = folds.group_states(df, by, placed.sort, calls)
     window = WindowCall("slide", (folds.STATE,), OnList(), size, partial=partial)
     out = _of_periods(tf, states, period, name).mutate(__states=window).df
     return out.withColumns({label: folds.finished(F.col("__states"), calls, label) for label in calls})
@@ -469,14 +474,14 @@ def _period_rows(tf, data: DataFrame, period: Period, name: str, size: int, part
     ends = periods.mutate(__in=WindowCall("slide", (name,), OnList(), size, partial=partial)).df
     link = ends.select(*[F.col(k).alias(f"__l_{k}") for k in key], F.col(name).alias("__end"), F.explode("__in").alias("__l_in"))
     inputs = list(dict.fromkeys(c for call in calls.values() for c in call.columns if c not in key))
-    rows = data.select(*key, F.col(name).alias("__in"), L.O, *[F.col(c).alias(f"__v_{c}") for c in inputs])
+    rows = data.select(*key, F.col(name).alias("__in"), L.O, *_ties(tf), *[F.col(c).alias(f"__v_{c}") for c in inputs])
     sent = spread_join(rows, link, {k: f"__l_{k}" for k in key} | {"__in": "__l_in"}, [L.O])
     value = lambda call: [F.col(c) if c in key else F.col(f"__v_{c}") for c in call.columns]
     windows = {n: c for n, c in calls.items() if not isinstance(c.body, Opaque)}
-    aggregates = []
+    aggregates, ties = [], [f"__t{i}" for i in range(len(tf.ties))]
     for label, call in windows.items():
         if isinstance(call.body, OnList):
-            held = F.struct(F.col(L.O), *[v.alias(c) for v, c in zip(value(call), call.columns)])
+            held = F.struct(F.col(L.O), *ties, *[v.alias(c) for v, c in zip(value(call), call.columns)])
             aggregates.append(call.body.fn(_pluck(F.array_sort(F.collect_list(held)), call.columns)).alias(label))
         else:
             aggregates.append(call.body.value(value(call), lambda a: a).alias(label))
@@ -487,7 +492,7 @@ def _period_rows(tf, data: DataFrame, period: Period, name: str, size: int, part
     opaque = {n: c for n, c in calls.items() if n not in windows}
     if opaque:
         whole = {n: dataclasses.replace(c, columns=tuple(c if c in key else f"__v_{c}" for c in c.columns), body=_whole(c.body)) for n, c in opaque.items()}
-        states = folds.group_states(sent, [*key, "__end"], [L.O], whole)
+        states = folds.group_states(sent, [*key, "__end"], [L.O, *ties], whole)
         states = states.withColumns({n: folds.finished(F.array(F.col(folds.STATE)), whole, n) for n in whole})
         out = _attached(out, states, key, name, list(opaque))
     return out

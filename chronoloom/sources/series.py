@@ -90,6 +90,7 @@ def write_series(tf: TemporalFrame, path: str, buckets: int | None = None) -> No
         rows.write.option("compression", "gzip").parquet(f"{path}/hot")
     about = {k: getattr(meta, k) for k in KEPT}
     about |= {
+        "ties": list(tf.ties),
         "nesting": [asdict(x) for x in meta.nesting],
         "interval": meta.interval and asdict(meta.interval),
         "layout": asdict(replace(meta.layout, hot_rows=limit)),
@@ -114,6 +115,7 @@ def read_series(spark: SparkSession, path: str) -> StoredSeries:
         **{k: about[k] for k in KEPT if k != "key"},
         key=key,
         nesting=tuple(Nested(**x) for x in about["nesting"]),
+        ties=tuple(about.get("ties", ())),
         interval=about["interval"] and Interval(**about["interval"]),
         layout=L.Layout(**about["layout"]),
     )

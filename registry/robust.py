@@ -86,9 +86,9 @@ def fill_default(spark, sf_dir):
       count(*) OVER ({ALL} ROWS UNBOUNDED PRECEDING) AS n FROM events"""
 )
 def events_auto_interval(spark, sf_dir):
-    """One irregular series, declared without any option."""
+    """One irregular series, checked and its interval found; several events may share an instant."""
     events = star.table(spark, sf_dir, "events").select("ts", "event_id", "value")
-    tf = cl.as_temporal(events, "ts").mutate(m=fam["slide_dbl"]("value", "mean", size=20))
+    tf = cl.as_temporal(events, "ts", ties=["event_id"]).mutate(m=fam["slide_dbl"]("value", "mean", size=20))
     return tf.mutate(n=fam["stretch"]("value", "length")).df.select("event_id", "m", "n")
 
 

@@ -456,3 +456,34 @@ def test_distinct_count_in_place_and_of_an_empty_table(spark):
         out = tf.mutate(s=slide("x", "sum", size=3, partial=True), x=slide("x", "n_distinct", size=3, partial=True)).df
         assert [r["x"] for r in out.orderBy("day").collect()] == [a for a, _ in expected]
     assert out.columns == ["day", "s", "x"]
+
+
+LISTED = cl.fold(list, lambda s, v: s + v.tolist(), lambda a, b: a + b, str, "string")
+
+
+@pytest.mark.parametrize("key, options", [(None, {"layout": cl.Layout(block=4)}), (["k"], {"layout": cl.Layout(hot_rows=8, block=4)}), (["k"], {})])
+def test_ties_order_observations_of_one_instant(spark, key, options):
+    rnd = random.Random(5)
+    at = [dt.datetime(2024, 1, 1) + dt.timedelta(seconds=s) for s in (0, 1, 1, 1, 1, 1, 1, 7, 7, 60) * 3]
+    rows = [(f"k{i % 2}" if key else "k", t, i, rnd.randrange(50)) for i, t in enumerate(at)]
+    rnd.shuffle(rows)
+    df = spark.createDataFrame(rows, "k string, t timestamp_ntz, id int, x int").repartition(5)
+    with pytest.raises(ValueError, match="identify a row"):
+        cl.as_temporal(df, "t", key, **options)
+    with pytest.raises(ValueError, match="ties not in the table"):
+        cl.as_temporal(df, "t", key, ties=["none"], **options)
+    tf = cl.as_temporal(df, "t", key, ties=["id"], **options)
+    assert tf.meta.interval == cl.Interval(1, "second")
+    with pytest.raises(ValueError, match="identify a row"):
+        cl.as_temporal(df.union(df.limit(1)), "t", key, ties=["id"], **options)
+    tf = tf.mutate(s=fam["slide"]("x", "sum", size=3), l=fam["slide"]("x", size=2), f=fam["slide"]("x", LISTED, size=4))
+    tf = tf.mutate(n=fam["stretch"]("x", "length"), a=fam["stretch"]("x"), g=fam["stretch"]("x", LISTED))
+    want = []
+    for k in sorted({r[0] for r in rows}):
+        xs = sorted((t, i, x) for j, t, i, x in rows if j == k)
+        for p, (_, i, x) in enumerate(xs):
+            past = [v for _, _, v in xs[: p + 1]]
+            last = lambda n: past[-n:] if len(past) >= n else None  # noqa: B023, E731
+            want.append((i, last(3) and sum(last(3)), last(2), last(4) and str(last(4)), p + 1, past, str(past)))
+    got = tf.df.select("id", "s", "l", "f", "n", "a", "g").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
