@@ -114,29 +114,67 @@ def sample(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray, seeds: in
     For an element of weight w: r, c ~ Gamma(2, 1) and b ~ Uniform(0, 1) from its hash and the seed,
     t = floor(ln w / r + b), y = exp(r * (t - b)), a = c / (y * exp(r)). The element with the smallest a
     is drawn, together with its t.
+
+    With r = -ln(u0 u1) and c = -ln(1 - v2) - ln(1 - v3) an element's a is at least u0 u1 (v2 + v3) / w. The
+    smallest a of a set is exponential with the rate of its total weight, so it is nearly always below ``REACH``
+    divided by that: the rest is worked out for elements only whose bound, by the first 16 bits of each uniform
+    number, is below too, and for whole sets in which none turns out to be.
     """
     out = np.empty((len(starts), seeds), np.uint64)
+    sizes = np.diff(np.append(starts, len(hashes)))
     log_w = np.log(weight).astype(np.float32)
-    places = np.arange(len(hashes), dtype=np.int64)
-    scale = np.float32(2.0**-32)
-    for k in range(seeds):
-        one = mix(hashes + np.uint64((2 * k + 1) * _GOLDEN % (1 << 64)))
-        two = mix(one + np.uint64(_GOLDEN))
-        u = [((x >> s) & np.uint64(0xFFFFFFFF)).astype(np.float32) * scale + scale for x in (one, two) for s in _HALVES]
+    reach = REACH / np.add.reduceat(weight, starts)
+    log_reach = np.log(reach)
+    limit = (np.repeat(reach, sizes) * weight * (1.001 * 2.0**48)).astype(np.float32)
+    coarse, spare = np.empty(len(hashes), np.uint64), np.empty(len(hashes), np.uint64)
+    bound, other = np.empty(len(hashes), np.float32), np.empty(len(hashes), np.float32)
+    quarters = [coarse.view(np.uint16)[q::4] for q in range(4)]
+
+    def draw(at: np.ndarray, begins: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each run of elements from ``begins``: the place of the smallest a, its logarithm, its t."""
+        more = mix(coarse[at] + np.uint64(_GOLDEN))
+        fine = more.view(np.uint16)
+        u = [(quarters[q][at] + (fine[q::4] + _HALF) * _SCALE) * _SCALE for q in range(4)]
         r = -np.log(u[0] * u[1])
         r += np.float32(1e-6)
-        c = -np.log(u[2] * u[3]) + np.float32(1e-9)
-        b = (mix(two ^ one) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
-        t = np.floor(log_w / r + b)
+        c = -np.log1p(-np.minimum(u[2], _BELOW)) - np.log1p(-np.minimum(u[3], _BELOW))
+        b = (mix(more ^ hashes[at]) >> np.uint64(40)).astype(np.float32) * np.float32(2.0**-24)
+        t = np.floor(log_w[at] / r + b)
         a = np.log(c) - r * (t - b) - r
         bits = a.view(np.int32).astype(np.int64)
-        key = ((bits ^ ((bits >> 31) & 0x7FFFFFFF)) << 32) | places
-        drawn = np.minimum.reduceat(key, starts) & 0xFFFFFFFF
-        out[:, k] = mix(hashes[drawn] ^ (t[drawn].astype(np.int64).view(np.uint64) * np.uint64(_GOLDEN)))
+        key = ((bits ^ ((bits >> 31) & 0x7FFFFFFF)) << 32) | np.arange(len(at))
+        won = np.minimum.reduceat(key, begins) & 0xFFFFFFFF
+        return at[won], a[won], t[won]
+
+    drawn, turn, sure = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.float32), np.zeros(len(starts), bool)
+    for k in range(seeds):
+        np.multiply(hashes, np.uint64((2 * k + 1) * _GOLDEN % (1 << 64)), out=coarse)
+        for shift, factor in _ROUNDS:
+            coarse ^= np.right_shift(coarse, shift, out=spare)
+            coarse *= factor
+        coarse ^= np.right_shift(coarse, np.uint64(32), out=spare)
+        np.multiply(quarters[0], quarters[1], out=bound, dtype=np.float32)
+        np.add(quarters[2], quarters[3], out=other, dtype=np.float32)
+        bound *= other
+        at = np.flatnonzero(bound <= limit)
+        begins = np.searchsorted(at, starts)
+        some = np.diff(np.append(begins, len(at))) > 0
+        sure[:] = False
+        if len(at):
+            drawn[some], least, turn[some] = draw(at, begins[some])
+            sure[some] = least <= log_reach[some]
+        if not sure.all():
+            n = sizes[~sure]
+            begins = np.cumsum(n) - n
+            at = np.arange(n.sum()) + np.repeat(starts[~sure] - begins, n)
+            drawn[~sure], _, turn[~sure] = draw(at, begins)
+        out[:, k] = mix(hashes[drawn] ^ (turn.astype(np.int64).view(np.uint64) * np.uint64(_GOLDEN)))
     return out
 
 
-_HALVES = (np.uint64(0), np.uint64(32))
+REACH = 6.0
+_HALF, _SCALE, _BELOW = np.float32(0.5), np.float32(2.0**-16), np.float32(1 - 2.0**-24)
+_ROUNDS = ((np.uint64(30), np.uint64(0xBF58476D1CE4E5B9)), (np.uint64(29), np.uint64(0x94D049BB133111EB)))
 
 
 def _keys(hashes: np.ndarray, weight: np.ndarray, starts: np.ndarray) -> np.ndarray:
@@ -338,43 +376,126 @@ def _cross_links(
     as_member = F.transform(every("blocks"), lambda b: place(b, deal("chunks"), F.lit(False)))
     as_stray = F.transform(every("chunks"), lambda c: place(deal("blocks"), c, F.lit(True)))
     places = F.when(F.col("label") == F.col("main"), as_member).otherwise(F.concat(as_member, as_stray))
-    dealt = rows.select("key", "node", "label", "text", F.explode(places).alias("at"))
-    groups = dealt.select("key", "at.block", "at.chunk", "at.stray", "node", "label", "text").groupBy("key", "block", "chunk")
-    return groups.applyInPandas(
-        lambda frame: _compare_blocks(frame, table.value, n_docs, least, plain), "a bigint, b bigint"
+    main = (F.col("label") == F.col("main")).alias("main")
+    dealt = rows.select("key", "node", "label", "text", main, F.explode(places).alias("at"))
+    group = ["key", "block", "chunk"]
+    dealt = dealt.select("key", "at.block", "at.chunk", "at.stray", "node", "label", "main", "text")
+    ordered = dealt.repartition(*group).sortWithinPartitions(*group)
+    return ordered.mapInArrow(
+        lambda it: _compare_groups(it, table.value, n_docs, least, plain), "a bigint, b bigint"
     ).distinct()
 
 
-def _compare_blocks(frame: pd.DataFrame, table: np.ndarray, n_docs: int, least: float, plain: bool) -> pd.DataFrame:
-    """Links between the strays and the members of one group that are in different components."""
+def _group_starts(batch: pa.RecordBatch) -> np.ndarray:
+    """Where each group of rows of equal key, block and chunk starts, and the end."""
+    at = [batch.column(c).to_numpy() for c in ("key", "block", "chunk")]
+    new = np.logical_or.reduce([c[1:] != c[:-1] for c in at])
+    return np.concatenate([[0], np.flatnonzero(new) + 1, [batch.num_rows]])
+
+
+def _compare_groups(batches: Iterator[pa.RecordBatch], table: np.ndarray, n_docs: int, least: float, plain: bool):
+    """Links (a, b) of all groups, from rows sorted by group; the last group of a slice waits for its other rows."""
+
+    def joined(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+        return parts[0] if len(parts) == 1 else pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
+
+    held: list[pa.RecordBatch] = []
+    for batch in slices(batches, "text"):
+        if not batch.num_rows:
+            continue
+        if held and len(_group_starts(joined([held[-1].slice(held[-1].num_rows - 1), batch]))) == 2:
+            held.append(batch)  # all of the group that waits
+            continue
+        batch = joined([*held, batch])
+        last = int(_group_starts(batch)[-2])
+        if last:
+            yield _compare_blocks(batch.slice(0, last), table, n_docs, least, plain)
+        held = [batch.slice(last)]
+    if held:
+        yield _compare_blocks(joined(held), table, n_docs, least, plain)
+
+
+def _compare_blocks(batch: pa.RecordBatch, table: np.ndarray, n_docs: int, least: float, plain: bool) -> pa.RecordBatch:
+    """Links between the strays and the members of each group that are in different components.
+
+    A text with less than ``least`` of another's weight is not alike it, so most pairs are settled by their totals;
+    others are compared one by one, or through an index of the strays' shingles where a member has many. Of two
+    strays one looks at the other.
+    """
     links: list[tuple[int, int]] = []
-    strays = frame[frame["stray"]].drop_duplicates("node")
-    members = frame[~frame["stray"]].drop_duplicates("node")
-    if len(strays) and len(members):
-        hashes, owner, counts = _shingles(pa.array(strays["text"], pa.string()))
-        measures = _measures(table, n_docs, hashes, counts, plain)
-        totals = [np.bincount(owner, weight, len(strays)) for weight in measures]
-        order = np.argsort(hashes, kind="stable")
-        kinds, first = np.unique(hashes[order], return_index=True)
-        owner, measures, stops = owner[order], [weight[order] for weight in measures], np.append(first[1:], len(order))
-        nodes, labels = strays["node"].to_numpy(), strays["label"].to_numpy()
-        m_hash, m_owner, m_counts = _shingles(pa.array(members["text"], pa.string()))
-        m_measures = _measures(table, n_docs, m_hash, m_counts, plain)
-        cuts = np.searchsorted(m_owner, np.arange(len(members) + 1))
-        for k, (node, label) in enumerate(zip(members["node"].tolist(), members["label"].tolist(), strict=True)):
-            h = m_hash[cuts[k] : cuts[k + 1]]
-            at = np.minimum(np.searchsorted(kinds, h), len(kinds) - 1)
-            shared = kinds[at] == h
-            n = (stops - first)[at[shared]]
-            begin = np.repeat(first[at[shared]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
-            own, good = owner[begin], np.zeros(len(strays), bool)
-            for weight, total, m_weight in zip(measures, totals, m_measures, strict=True):
-                w = m_weight[cuts[k] : cuts[k + 1]]
-                common = np.bincount(own, np.minimum(weight[begin], np.repeat(w[shared], n)), len(strays))
-                good |= common >= (least - 1e-9) * (total + w.sum() - common)
-            good &= labels != label
-            links += [(min(node, x), max(node, x)) for x in nodes[good].tolist()]
-    return pd.DataFrame(links, columns=["a", "b"], dtype="int64")
+    text = batch.column("text").dictionary_encode()
+    code, n_texts = text.indices.to_numpy(), len(text.dictionary)
+    hashes, owner, counts = _shingles(text.dictionary)
+    measures = _measures(table, n_docs, hashes, counts, plain)
+    totals = [np.bincount(owner, weight, n_texts)[code] for weight in measures]
+    cuts = np.searchsorted(owner, np.arange(n_texts + 1)).tolist()
+    stray, main = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("stray", "main"))
+    nodes, labels = batch.column("node").to_numpy(), batch.column("label").to_numpy()
+    starts = _group_starts(batch).tolist()
+    for begin, end in zip(starts[:-1], starts[1:], strict=True):
+        rows = np.arange(begin, end)
+        strays, members = rows[stray[begin:end]], rows[~stray[begin:end]]
+        may = np.zeros((len(members), len(strays)), bool)
+        for total in totals:
+            one, two = total[members][:, None], total[strays][None, :]
+            may |= np.minimum(one, two) * (1 + 1e-9) >= (least - 1e-9) * np.maximum(one, two)
+        may &= labels[members][:, None] != labels[strays][None, :]
+        may &= main[members][:, None] | (nodes[members][:, None] > nodes[strays][None, :])
+        index = None
+        for k in np.flatnonzero(may.any(1)).tolist():
+            member, wanted = int(members[k]), strays[may[k]]
+            p, q = cuts[code[member]], cuts[code[member] + 1]
+            if len(wanted) > FEW:
+                index = index or _Index(code[strays], cuts, hashes, measures)
+                shared = [x[may[k]] for x in index.shared(hashes[p:q], [weight[p:q] for weight in measures])]
+            else:
+                shared = np.zeros((len(measures), len(wanted)))
+                for j, c in enumerate(code[wanted].tolist()):
+                    u, v = cuts[c], cuts[c + 1]
+                    at = np.minimum(np.searchsorted(hashes[u:v], hashes[p:q]), max(v - u - 1, 0))
+                    both = np.flatnonzero(hashes[u:v][at] == hashes[p:q]) if v > u else np.zeros(0, np.int64)
+                    for i, weight in enumerate(measures):
+                        shared[i, j] = np.minimum(weight[u:v][at[both]], weight[p:q][both]).sum()
+            good = np.zeros(len(wanted), bool)
+            for common, total in zip(shared, totals, strict=True):
+                union = total[wanted] + total[member] - common
+                good |= (union > 0) & (common >= (least - 1e-9) * union)
+            node = int(nodes[member])
+            links += [(min(node, x), max(node, x)) for x in nodes[wanted[good]].tolist()]
+    a, b = zip(*links, strict=True) if links else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+
+FEW = 8  # comparisons of a member one by one
+
+
+class _Index:
+    """The shingles of several texts, each with the texts that have it."""
+
+    def __init__(self, codes: np.ndarray, cuts: list[int], hashes: np.ndarray, measures: list[np.ndarray]):
+        spans = [np.arange(cuts[c], cuts[c + 1]) for c in codes.tolist()]
+        places = np.concatenate(spans)
+        order = np.argsort(hashes[places], kind="stable")
+        places = places[order]
+        self.n = len(codes)
+        self.owner = np.repeat(np.arange(self.n), [len(s) for s in spans])[order]
+        self.weights = [weight[places] for weight in measures]
+        self.kinds, self.first = np.unique(hashes[places], return_index=True)
+        self.many = np.diff(np.append(self.first, len(places)))
+
+    def shared(self, hashes: np.ndarray, measures: list[np.ndarray]) -> list[np.ndarray]:
+        """For each measure, the weight that a text has in common with each text of the index."""
+        if not len(self.kinds):
+            return [np.zeros(self.n) for _ in measures]
+        at = np.minimum(np.searchsorted(self.kinds, hashes), len(self.kinds) - 1)
+        both = np.flatnonzero(self.kinds[at] == hashes)
+        n = self.many[at[both]]
+        begin = np.repeat(self.first[at[both]] - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        own = self.owner[begin]
+        return [
+            np.bincount(own, np.minimum(held[begin], np.repeat(weight[both], n)), self.n)
+            for held, weight in zip(self.weights, measures, strict=True)
+        ]
 
 
 def keep_one(
