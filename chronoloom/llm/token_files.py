@@ -55,12 +55,10 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUN
             break
         codes = (s[:-1] << np.uint32(16)) | s[1:]
         within = ~ends[:-1]
-        pairs, counts = np.unique(codes[within], return_counts=True)
-        frequent = np.flatnonzero(counts >= min_count)
-        if not len(frequent):
+        pairs, counts = _frequent(codes[within], min_count)
+        if not len(pairs):
             break
-        frequent = frequent[np.argsort(-counts[frequent], kind="stable")[:quota]]
-        chosen = pairs[frequent]
+        chosen = pairs[np.argsort(-counts, kind="stable")[:quota]]
         # a table by hash says which pair may be at a place; one pair per slot, the others next round
         _, first = np.unique(_slots(chosen), return_index=True)
         chosen = chosen[np.sort(first)]
@@ -86,6 +84,18 @@ def repair(ids: np.ndarray, ends: np.ndarray, terminals: int, rounds: int = ROUN
     return s.astype("<u2"), ends, rules.astype("<u2")
 
 
+def _frequent(codes: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The codes found ``least`` times or more, ascending, and how often; sorts ``codes``."""
+    codes.sort()
+    reach = max(least, 1) - 1
+    most = codes[: len(codes) - reach] if reach < len(codes) else codes[:0]
+    found = most[most == codes[reach:]]
+    first = np.ones(len(found), bool)
+    first[1:] = found[1:] != found[:-1]
+    pairs = found[first]
+    return pairs, np.searchsorted(codes, pairs, "right") - np.searchsorted(codes, pairs, "left")
+
+
 def _slots(codes: np.ndarray) -> np.ndarray:
     return (codes * np.uint32(0x9E3779B1)) >> np.uint32(12)
 

@@ -15,14 +15,14 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces of words kept per worker, some 200 bytes each; beyond them a worker starts anew.
-CACHED_PIECES = 800_000
+#: Pieces of words kept per worker, some 200 bytes each; beyond them a worker keeps those that came up again.
+CACHED_PIECES = 400_000
 
 #: Distinct words cut into pieces at a time, which bounds the lists of a long text.
 WORDS = 1 << 18
 
 #: Bytes of text encoded at a time: each distinct word of a slice is looked up once, so longer slices take fewer.
-TEXT_BYTES = 16 << 20
+TEXT_BYTES = 8 << 20
 
 #: How the word tokenizer cuts a lower-cased word of the characters of ``_PLAIN``. Words with
 #: others, whose lower case or composition may depend on neighbours, go to the library whole.
@@ -39,8 +39,12 @@ class WordEncoder:
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
+        from tokenizers.pre_tokenizers import ByteLevel, Sequence, WhitespaceSplit
 
         self.tokenizer = Tokenizer.from_file(path)
+        # the same model for pieces, which are lower-cased and cut already
+        self.cut = Tokenizer(self.tokenizer.model)
+        self.cut.pre_tokenizer = Sequence([WhitespaceSplit(), ByteLevel(add_prefix_space=False, use_regex=False)])
         vocab = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocab.values()) + 1, bool)
         self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
@@ -50,14 +54,26 @@ class WordEncoder:
         """Know only the line end, which closes a word and has no ids."""
         self.pieces = {"\n": 0}
         self.table, self.lengths = np.zeros(0, "<u4"), np.zeros(1, np.int64)
+        self.again = np.zeros(1, bool)
 
-    def _encode(self, texts: list[str]) -> list[np.ndarray]:
-        done = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
+    def _keep_recurring(self) -> None:
+        """Keep the pieces found again since they were learned; none of them, if they are over half of all."""
+        self.again[0] = True  # the line end
+        kept, pieces = np.flatnonzero(self.again), self.pieces
+        if 2 * len(kept) > CACHED_PIECES:
+            self._forget()
+            return
+        self.pieces = dict(zip(compress(pieces, self.again.tolist()), range(len(kept)), strict=True))
+        self.table, _ = _gather(self.table, self.lengths, kept)
+        self.lengths, self.again = self.lengths[kept], np.zeros(len(kept), bool)
+
+    def _encode(self, texts: list[str], cut: bool = False) -> list[np.ndarray]:
+        done = (self.cut if cut else self.tokenizer).encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(e.ids, "<u4") for e in done]
 
     def _learn(self, pieces: list[str]) -> None:
         """Ids of plain pieces, encoded many to a text; the word-end ids say where each piece ends."""
-        ids = np.concatenate(self._encode([" ".join(pieces[k : k + 512]) for k in range(0, len(pieces), 512)]))
+        ids = np.concatenate(self._encode([" ".join(pieces[k : k + 512]) for k in range(0, len(pieces), 512)], True))
         ends = np.flatnonzero(self.ends[ids]) + 1
         lengths = np.diff(ends, prepend=0)
         if len(ends) != len(pieces) or ends[-1] != len(ids):
@@ -66,15 +82,19 @@ class WordEncoder:
         self.pieces.update(zip(pieces, range(len(self.pieces), len(self.pieces) + len(pieces)), strict=True))
         self.table = np.concatenate([self.table, ids])
         self.lengths = np.concatenate([self.lengths, lengths])
+        self.again = np.concatenate([self.again, np.zeros(len(pieces), bool)])
 
-    def _plain_words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    def _plain_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of plain words one after the other, and how many each has, by their pieces, which recur more
         than words do."""
         if len(self.pieces) > CACHED_PIECES:
-            self._forget()
-        cut = _PIECES.findall("\n".join(words).lower() + "\n")
+            self._keep_recurring()
+        lines = pc.binary_join(pa.LargeListArray.from_arrays([0, len(words)], words), "\n")[0].as_py()
+        cut = _PIECES.findall(lines.lower() + "\n")
         piece = np.fromiter(map(self.pieces.get, cut, repeat(-1)), np.int64, len(cut))
-        if (unknown := piece < 0).any():
+        unknown = piece < 0
+        self.again[piece[~unknown]] = True
+        if unknown.any():
             fresh = list(compress(cut, unknown.tolist()))
             self._learn(list(dict.fromkeys(fresh)))
             piece[unknown] = np.fromiter(map(self.pieces.__getitem__, fresh), np.int64, len(fresh))
@@ -90,7 +110,7 @@ class WordEncoder:
         ids, lengths = np.zeros(0, "<u4"), np.zeros(len(words), np.int64)
         plain, odd = plain.to_numpy(zero_copy_only=False), words.filter(odd).to_pylist()
         if plain.any():
-            ids, lengths[plain] = self._plain_words(words.filter(pa.array(plain)).to_numpy(zero_copy_only=False).tolist())
+            ids, lengths[plain] = self._plain_words(words.filter(pa.array(plain)))
         if odd:
             whole = self._encode(odd)
             before = np.cumsum(lengths)[~plain]  # ids of plain words ahead of each

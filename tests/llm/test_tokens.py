@@ -9,8 +9,8 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from chronoloom.llm import packing, token_files
-from chronoloom.llm.tokens import encoder
+from chronoloom.llm import packing, token_files, tokens
+from chronoloom.llm.tokens import WordEncoder, encoder
 
 from .data import edge, edge_texts, empty, prose, table
 
@@ -36,6 +36,29 @@ def test_special_strings_and_slices(spark):
         assert ids[starts[k] : starts[k + 1]].tolist() == ids_of(t), k
 
 
+def test_pieces_that_recur_are_kept_and_others_go(monkeypatch):
+    monkeypatch.setattr(tokens, "CACHED_PIECES", 60)
+    words, learned = WordEncoder(PATH), Counter()
+    learn = words._learn
+    monkeypatch.setattr(words, "_learn", lambda pieces: learned.update(pieces) or learn(pieces))
+    letters = str.maketrans("0123456789", "abcdefghij")
+    texts = ["often " + " ".join(f"w{k}x{j}q".translate(letters) for j in range(9)) for k in range(40)]
+    for t in texts:
+        assert words.encode(pa.array([t]))[0].tolist() == ids_of(t)
+        assert len(words.pieces) <= 60 + 10
+    assert learned["often"] == 1
+    for many in (texts[30:], texts[30:], texts):  # more of them recur than may be kept
+        assert words.encode(pa.array(many))[0].tolist() == [i for t in many for i in ids_of(t)]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.integers(0, 9), max_size=60), st.integers(1, 20))
+def test_frequent_codes_are_counted(codes, least):
+    pairs, counts = token_files._frequent(np.array(codes, np.uint32), least)
+    want = {c: n for c, n in sorted(Counter(codes).items()) if n >= least}
+    assert list(zip(pairs.tolist(), counts.tolist(), strict=True)) == list(want.items())
+
+
 def check_packing(rows, docs, capacity):
     sequences, pieces = {}, Counter()
     want = Counter()
