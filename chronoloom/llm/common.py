@@ -61,7 +61,10 @@ def column(name: str):
 
 
 def slices(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None) -> Iterator[pa.RecordBatch]:
-    """Cut record batches so that each has at most ``most`` bytes (``SLICE_BYTES``) of the text column, or one row."""
+    """Cut record batches so that each has at most ``most`` bytes (``SLICE_BYTES``) of the text column, or one row.
+
+    At the end Arrow returns the memory it no longer uses, which a worker kept for later tasks would hold on to.
+    """
     most = most or SLICE_BYTES
     for batch in batches:
         lengths = batch.column(text)
@@ -77,3 +80,5 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int | None = None
                 at, held = k, 0
             held += int(n)
         yield batch.slice(at)
+    batch = lengths = None
+    pa.default_memory_pool().release_unused()

@@ -10,6 +10,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from chronoloom.llm import packing, token_files, tokens
+from chronoloom.llm.common import slices
 from chronoloom.llm.tokens import WordEncoder, encoder
 
 from .data import edge, edge_texts, empty, prose, table
@@ -51,6 +52,19 @@ def test_pieces_that_recur_are_kept_and_others_go(monkeypatch):
         assert words.encode(pa.array(many))[0].tolist() == [i for t in many for i in ids_of(t)]
 
 
+def test_arrow_gives_memory_back_after_the_last_slice(monkeypatch):
+    class Pool:
+        given = 0
+
+        def release_unused(self):
+            self.given += 1
+
+    pool, batch = Pool(), pa.RecordBatch.from_pydict({"text": ["a" * 50, None, "b"]})
+    monkeypatch.setattr(pa, "default_memory_pool", lambda: pool)
+    assert sum(b.num_rows for b in slices(iter([batch, batch]), "text", 20)) == 6
+    assert pool.given == 1 and list(slices(iter([]), "text")) == []
+
+
 @settings(max_examples=200, deadline=None)
 @given(st.lists(st.integers(0, 9), max_size=60), st.integers(1, 20))
 def test_frequent_codes_are_counted(codes, least):
