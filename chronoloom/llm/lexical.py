@@ -12,7 +12,9 @@
 4. Each document whose bound reaches the floor is scored exactly from its text, in the block that holds it.
    No other can be among the ten. Per task and query ten remain, and a window ranks those.
 
-Texts aren't shuffled. What is broadcast is a block of queries (``QUERY_TERMS``) with its weights and floors.
+Texts aren't shuffled or sorted. What is broadcast is a block of queries (``QUERY_TERMS``) with its weights and floors.
+A block's texts and signature are two compressed values, opened by the worker that looks at the block, one block at
+a time; the index has row groups of a few blocks (``GROUPS``), however large the parts of the input are.
 """
 
 from __future__ import annotations
@@ -45,8 +47,11 @@ WIDTH, PROBES = 16, 3
 LEVELS = np.array([1, 2, 3, 4, 5, 6, 8, 11, 16, 24, 48, 128])
 #: A block of queries has at most so many of them and so many terms (or is one query).
 QUERIES, QUERY_TERMS = 512, 1 << 16
-#: Terms that a task holds before it passes their counts on.
-HELD_TERMS = 1 << 18
+#: Terms that a task holds, and bytes of the texts they are from, before it passes their counts on.
+HELD_TERMS, HELD_BYTES = 1 << 18, 32 << 20
+#: Row groups of the index: a writer holds one and a reader opens one whole. Left alone, Parquet looks at the size
+#: of pages and groups after 100 rows, which here are 100 blocks.
+GROUPS = {"parquet.block.size": 16 << 20, "parquet.page.size.row.check.min": 1, "parquet.page.size.row.check.max": 16}
 #: Terms of a query block that are looked up at a time.
 LOOK = 2048
 
@@ -80,14 +85,14 @@ def _codes(words) -> np.ndarray:
 
 # -- the index --------------------------------------------------------------------------------------
 
-_NAMES = ["kind", "block", "n_docs", "n_terms", "width", "ids", "counts", "slices", "texts", "term", "df"]
+_NAMES = ["kind", "block", "n_docs", "n_terms", "width", "ids", "counts", "slices", "sizes", "texts", "term", "df"]
 _SCHEMA = (
     "kind string, block bigint, n_docs bigint, n_terms bigint, width bigint, ids array<bigint>, counts binary, slices binary, "
-    "texts array<binary>, term binary, df bigint"
+    "sizes binary, texts binary, term binary, df bigint"
 )
 _TYPES = [
     pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64()), pa.binary(), pa.binary(),
-    pa.list_(pa.binary()), pa.binary(), pa.int64(),
+    pa.binary(), pa.binary(), pa.binary(), pa.int64(),
 ]
 
 
@@ -108,7 +113,7 @@ def _rows(n: int, **columns) -> pa.RecordBatch:
 
 
 def _signed(block: _Block, number: int) -> pa.RecordBatch:
-    """One row: the block with its signature, a bitmap of documents for each position."""
+    """One row: the block with its signature, a bitmap of documents for each position, and its texts in a row."""
     n = len(block.ids)
     codes, times = (np.concatenate(parts) for parts in zip(*block.entries, strict=True))
     doc = np.repeat(np.arange(n), [len(c) for c, _ in block.entries])
@@ -120,10 +125,11 @@ def _signed(block: _Block, number: int) -> pa.RecordBatch:
         for places in _places(codes[here], level, width):
             signed[places, doc[here]] = True
     bits = np.packbits(signed, axis=1, bitorder="little")
-    counts = np.array(block.counts, "<i8")
+    counts, sizes = np.array(block.counts, "<i8"), np.array([len(t) for t in block.texts], "<i8")
     return _rows(
         1, kind=["block"], block=[number], n_docs=[n], n_terms=[int(counts.sum())], width=[width], ids=[block.ids],
-        counts=[counts.tobytes()], slices=[bits.tobytes()], texts=[block.texts],
+        counts=[counts.tobytes()], slices=[pa.compress(bits.tobytes(), "zstd", asbytes=True)], sizes=[sizes.tobytes()],
+        texts=[pa.compress(b"".join(block.texts), "zstd", asbytes=True)],
     )
 
 
@@ -131,6 +137,7 @@ def _index(batches: Iterator[pa.RecordBatch]):
     """Blocks of documents, and (term, number of documents) counted within the task."""
     open_: dict[int, _Block] = {}
     found: Counter[bytes] = Counter()
+    passed = 0  # bytes of text since terms were passed on
     numbers = count(TaskContext.get().partitionId() << 32)
     for batch in batches:
         for part in slices([batch], "text"):
@@ -140,6 +147,7 @@ def _index(batches: Iterator[pa.RecordBatch]):
                 if not held:
                     continue
                 found.update(held.keys())
+                passed += len(text)
                 times = np.fromiter(held.values(), np.int64, len(held))
                 # Documents of one block differ in size by a factor of two at most, so one width fits all.
                 block = open_.setdefault(len(held).bit_length(), _Block())
@@ -150,9 +158,10 @@ def _index(batches: Iterator[pa.RecordBatch]):
                 block.size += len(text) + 16 * len(held)
                 if len(block.ids) >= BLOCK_DOCS or block.size >= BLOCK_BYTES:
                     yield _signed(open_.pop(len(held).bit_length()), next(numbers))
-                if len(found) >= HELD_TERMS:
+                if len(found) >= HELD_TERMS or passed >= HELD_BYTES:
                     yield _rows(len(found), kind=["term"] * len(found), term=list(found), df=list(found.values()))
                     found.clear()
+                    passed = 0
     for block in open_.values():
         yield _signed(block, next(numbers))
     if found:
@@ -163,9 +172,10 @@ def build_index(docs: DataFrame, stages: Stages, id_col: str = "doc_id", text_co
     """The blocks of all documents with a term, and the document frequency of every term; both written."""
     narrow = docs.select(column(id_col).cast("long").alias("doc_id"), column(text_col).alias("text"))
     path = stages.path("index")
-    narrow.mapInArrow(_index, _SCHEMA).write.partitionBy("kind").option("compression", "zstd").parquet(path)
+    # Both kinds in one file: a folder for each would be written from a sort of all blocks.
+    narrow.mapInArrow(_index, _SCHEMA).write.options(compression="zstd", **GROUPS).parquet(path)
     read = stages.spark.read.schema(_SCHEMA).parquet(path)
-    blocks = read.where("kind = 'block'").select("block", "n_docs", "n_terms", "width", "ids", "counts", "slices", "texts")
+    blocks = read.where("kind = 'block'").select("block", "n_docs", "n_terms", "width", "ids", "counts", "slices", "sizes", "texts")
     blocks._stage_path = path
     counts = read.where("kind = 'term'").groupBy("term").agg(F.sum("df").alias("df"))
     return blocks, stages.write(counts, "frequencies")
@@ -221,21 +231,36 @@ def _bounds(queries: Queries, width: int, counts: np.ndarray, bits: np.ndarray)
     return out, m
 
 
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
+    """One row after another, so that a worker holds the values of one block beside the batch."""
+    for batch in batches:
+        for at in range(batch.num_rows):
+            yield batch.slice(at, 1).to_pylist()[0]
+    batch = None
+    pa.default_memory_pool().release_unused()
+
+
 def _opened(row: dict) -> tuple[np.ndarray, np.ndarray]:
     counts = np.frombuffer(row["counts"], "<i8")
-    return counts, np.frombuffer(row["slices"], np.uint8).reshape(row["width"], -1)
+    bits = pa.decompress(row["slices"], row["width"] * -(-len(counts) // 8), "zstd")
+    return counts, np.frombuffer(bits, np.uint8).reshape(row["width"], -1)
+
+
+def _texts(row: dict) -> tuple[bytes, list[int]]:
+    """The texts of a block in a row, and where each begins and the last ends."""
+    at = [0, *np.frombuffer(row["sizes"], "<i8").cumsum().tolist()]
+    return pa.decompress(row["texts"], at[-1], "zstd", asbytes=True), at
 
 
 def _first_docs(batches: Iterator[pa.RecordBatch], queries: Queries):
     """For each query the k highest bounds of the task: query, bound, block, place."""
     best: list[list[tuple[int, int, int]]] = [[] for _ in queries.rows]
-    for batch in batches:
-        for row in batch.to_pylist():
-            counts, bits = _opened(row)
-            bounds, _ = _bounds(queries, row["width"], counts, bits)
-            for q, found in enumerate(bounds):
-                top = np.argpartition(-found, min(queries.k, len(found)) - 1)[: queries.k]
-                best[q] = sorted([*best[q], *[(-int(found[d]), row["block"], int(d)) for d in top if found[d] > 0]])[: queries.k]
+    for row in _each(batches):
+        counts, bits = _opened(row)
+        bounds, _ = _bounds(queries, row["width"], counts, bits)
+        for q, found in enumerate(bounds):
+            top = np.argpartition(-found, min(queries.k, len(found)) - 1)[: queries.k]
+            best[q] = sorted([*best[q], *[(-int(found[d]), row["block"], int(d)) for d in top if found[d] > 0]])[: queries.k]
     out = [(q, -b, block, d) for q, rows in enumerate(best) for b, block, d in rows]
     columns = list(zip(*out, strict=True)) or [()] * 4
     types = (pa.int32(), pa.int64(), pa.int64(), pa.int32())
@@ -244,14 +269,13 @@ def _first_docs(batches: Iterator[pa.RecordBatch], queries: Queries):
 
 def _score_places(batches: Iterator[pa.RecordBatch], queries: Queries, wanted: dict[int, dict[int, list[int]]]):
     """Exact scores of chosen documents: query, score."""
-    for batch in batches:
+    for row in _each(batches):
         out = []
-        for row in batch.to_pylist():
-            counts = np.frombuffer(row["counts"], "<i8")
-            for place, qs in wanted.get(row["block"], {}).items():
-                held = Counter(terms(row["texts"][place]))
-                m = length_part(int(counts[place]), queries.n_docs, queries.n_terms)
-                out += [(q, queries.exact(q, held, m)) for q in qs]
+        counts, (texts, at) = np.frombuffer(row["counts"], "<i8"), _texts(row)
+        for place, qs in wanted.get(row["block"], {}).items():
+            held = Counter(terms(texts[at[place] : at[place + 1]]))
+            m = length_part(int(counts[place]), queries.n_docs, queries.n_terms)
+            out += [(q, queries.exact(q, held, m)) for q in qs]
         columns = list(zip(*out, strict=True)) or [(), ()]
         yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int32()), pa.array(columns[1], pa.int64())], ["q", "score"])
 
@@ -260,21 +284,21 @@ def _score_all(batches: Iterator[pa.RecordBatch], queries: Queries, floors: np.n
     """Exact scores of all documents whose bound reaches the floor of a query, the k best of the task for each."""
     best: list[list[tuple]] = [[] for _ in queries.rows]
     scored = 0
-    for batch in batches:
-        for row in batch.to_pylist():
-            counts, bits = _opened(row)
-            bounds, m = _bounds(queries, row["width"], counts, bits)
-            able = bounds >= floors[:, None]
-            for place in np.flatnonzero(able.any(axis=0)).tolist():
-                held, key = Counter(terms(row["texts"][place])), row["ids"][place]
-                for q in np.flatnonzero(able[:, place]).tolist():
-                    score = queries.exact(q, held, int(m[place]))
-                    scored += 1
-                    if score > 0:
-                        best[q].append((-score, key is None, key))
-            for q, rows in enumerate(best):
-                if len(rows) > queries.k:
-                    best[q] = sorted(rows, key=lambda r: (r[0], r[1], r[2] or 0))[: queries.k]
+    for row in _each(batches):
+        counts, bits = _opened(row)
+        bounds, m = _bounds(queries, row["width"], counts, bits)
+        able = bounds >= floors[:, None]
+        texts, at = _texts(row) if able.any() else (b"", [])
+        for place in np.flatnonzero(able.any(axis=0)).tolist():
+            held, key = Counter(terms(texts[at[place] : at[place + 1]])), row["ids"][place]
+            for q in np.flatnonzero(able[:, place]).tolist():
+                score = queries.exact(q, held, int(m[place]))
+                scored += 1
+                if score > 0:
+                    best[q].append((-score, key is None, key))
+        for q, rows in enumerate(best):
+            if len(rows) > queries.k:
+                best[q] = sorted(rows, key=lambda r: (r[0], r[1], r[2] or 0))[: queries.k]
     out = [(q, key, -s, 0) for q, rows in enumerate(best) for s, _, key in rows]
     out.append((-1, None, 0, scored))
     columns = list(zip(*out, strict=True))
@@ -347,7 +371,7 @@ def search(
             chosen.setdefault(r["block"], {}).setdefault(r["place"], []).append(r["q"])
         picked = spark.sparkContext.broadcast(chosen)
         named = spark.createDataFrame([(b,) for b in sorted(chosen)], "block bigint")
-        known = blocks.select("block", "counts", "texts").join(F.broadcast(named), "block", "left_semi")
+        known = blocks.select("block", "counts", "sizes", "texts").join(F.broadcast(named), "block", "left_semi")
         scores = known.mapInArrow(lambda it, s=shared, p=picked: _score_places(it, s.value, p.value), "q int, score bigint")
         reached: dict[int, list[int]] = {}
         for r in scores.collect():
@@ -356,7 +380,7 @@ def search(
         for q, found in reached.items():
             if len(found) >= k:
                 floors[q] = max(1, sorted(found)[-k])
-        full = blocks.select("width", "counts", "slices", "ids", "texts")
+        full = blocks.select("width", "counts", "slices", "ids", "sizes", "texts")
         final = full.mapInArrow(lambda it, s=shared, f=floors: _score_all(it, s.value, f), "q int, doc_id bigint, score bigint, scored bigint")
         found = stages.write(final, "scores")
         if measure is not None:

@@ -2,9 +2,15 @@
 
 import math
 import random
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow.parquet as pq
+from pyspark.sql import functions as F
+
 from chronoloom.llm import lexical
+from chronoloom.llm.common import Stages
 
 from .data import edge_texts, empty, prose, table
 
@@ -80,3 +86,24 @@ def test_empty_tables(spark):
     assert lexical.search(empty(spark), some).count() == 0
     assert lexical.search(table(spark, [(1, "the end"), (2, None)]), none).count() == 0
     assert lexical.search(table(spark, [(1, None), (2, " .")]), some).count() == 0
+
+
+def test_memory_does_not_follow_a_part(spark, monkeypatch):
+    """One part of 300 blocks: row groups of the index and what a worker holds are a few blocks."""
+    monkeypatch.setattr(lexical, "BLOCK_DOCS", 1)
+    text = F.expr("array_join(transform(sequence(1, 3000), x -> sha2(concat(id, ' ', x), 256)), '')")
+    docs = spark.range(0, 300, 1, 1).select(F.col("id").alias("doc_id"), text.alias("text"))
+    blocks, frequencies = lexical.build_index(docs, Stages(spark, "lexical"))
+    assert blocks.count() == frequencies.count() == 300
+    for path in blocks.inputFiles():
+        meta = pq.ParquetFile(path.removeprefix("file://")).metadata
+        groups = [meta.row_group(k) for k in range(meta.num_row_groups)]
+        assert max(sum(g.column(c).total_compressed_size for c in range(g.num_columns)) for g in groups) < 18 << 20
+    (batch,) = blocks.toArrow().combine_chunks().to_batches()
+    queries = lexical.Queries([b"none"], [np.array([0])], [np.array([1])], 300, 300, 10)
+    tracemalloc.start()
+    try:
+        rows = [len(b) for b in lexical._score_all(iter([batch]), queries, np.array([1 << 60]))]
+        assert rows == [1] and tracemalloc.get_traced_memory()[1] < batch.nbytes / 4
+    finally:
+        tracemalloc.stop()
